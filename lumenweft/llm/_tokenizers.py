@@ -8,9 +8,12 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
-#: Words whose ids a worker remembers; then it forgets all and starts anew. Bounds memory, not results.
-MEMO_ENTRIES = 400_000
+import numpy as np
+
+#: Words in the newer half of what a worker remembers; there is an older half as well. Bounds memory, not results.
+MEMO_ENTRIES = 500_000
 MEMO_CHARS = 64
 
 
@@ -29,14 +32,16 @@ class WordEncoder:
         if self.tokenizer.get_vocab_size() > 1 << width:
             raise ValueError(f"{path} has ids of more than {width} bits")
         self.glue, self.size = glue, width // 8
+        self.kind = f"<u{self.size}"
+        self.mark, self.joint = ("\t", "\t") if glue else ("|", " | ")
+        own = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = own[0] if len(own) == 1 else -1
         self.memo: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.odd = re.compile(r" \s").search  # a blank before white space does not begin a word
 
     def _ask(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        kind = f"<u{self.size}"
-        return [np.array(e.ids, kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, text: str) -> list[str] | None:
         if not self.glue:
@@ -47,14 +52,13 @@ class WordEncoder:
         return [words[0], *[" " + w for w in words[1:]]]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-            memo[""] = b""
+        if len(self.memo) > MEMO_ENTRIES:  # words that come up again move from the older half to the newer one
+            self.old, self.memo = self.memo, {"": b""}
+        memo, old = self.memo, self.old
         cut = [self._words(t) for t in texts]
-        new = list({w for words in cut if words for w in words if w not in memo and len(w) <= MEMO_CHARS})
-        for i in range(0, len(new), 1024):
-            memo.update(zip(new[i : i + 1024], self._ask(new[i : i + 1024]), strict=True))
+        missing = set(chain.from_iterable(w for w in cut if w)).difference(memo)
+        memo.update((w, old[w]) for w in missing if w in old)
+        self._learn([w for w in missing if w not in memo and len(w) <= MEMO_CHARS])
         out = []
         for text, words in zip(texts, cut, strict=True):
             if words is None:
@@ -66,6 +70,26 @@ class WordEncoder:
                 out.append(b"".join(memo[w] if w in memo else self._ask([w])[0] for w in words))
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        """Asks for many words in one text, put apart by a mark that is a token of its own and in none of them."""
+        mark, memo = self.mark, self.memo
+        plain = [w for w in words if mark not in w and not w[-1].isspace() and not w[:1].isspace() ^ (self.glue and w[0] == " " and not w[1:2].isspace())]
+        rest = set(words).difference(plain)
+        for i in range(0, len(plain), 2048):
+            some = plain[i : i + 2048]
+            data = self._ask([self.joint.join(some)])[0]
+            ids = np.frombuffer(data, self.kind)
+            ends = np.flatnonzero(ids == self.mark_id)
+            if len(ends) != len(some) - 1:
+                rest.update(some)
+                continue
+            size = self.size
+            begins = [0, *((ends + 1) * size).tolist()]
+            memo.update(zip(some, [data[x:y] for x, y in zip(begins, [*(ends * size).tolist(), len(data)], strict=True)], strict=True))
+        more = list(rest)
+        for i in range(0, len(more), 1024):
+            memo.update(zip(more[i : i + 1024], self._ask(more[i : i + 1024]), strict=True))
+
 
 _ENCODERS: dict[tuple[str, bool, int], WordEncoder] = {}
 
