@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from lumenweft.llm._common import small_batches, table, text_of
 
 WORD_BITS = 256
-#: Pre-tokens whose ids a worker remembers; then it forgets all and starts anew. Bounds memory, not results.
-MEMO_ENTRIES = 400_000
-MEMO_BYTES = 64
+#: Pre-tokens in the newer half of what a worker remembers; there is an older half as well. Bounds memory, not results.
+MEMO_ENTRIES = 500_000
+MEMO_CHARS = 64
 
 
 class RankQueue:
@@ -77,6 +77,7 @@ class Codec:
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.queue = RankQueue(max(ranks.values()) + 1)
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> Codec:
@@ -134,22 +135,23 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text; each match of the pattern is merged separately."""
-        pieces, memo = self.find(text), self.memo
-        try:
-            return list(chain.from_iterable(map(memo.__getitem__, pieces)))
-        except KeyError:
-            pass
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        out: list[int] = []
-        for p in pieces:
-            ids = memo.get(p)
-            if ids is None:
-                ids = self.merge(p.encode())
-                if len(p) <= MEMO_BYTES:
-                    memo[p] = ids
-            out.extend(ids)
-        return out
+        return next(self.encode_all([text]))
+
+    def encode_all(self, texts: list[str]) -> Iterator[list[int]]:
+        if len(self.memo) > MEMO_ENTRIES:  # pre-tokens that come up again move from the older half to the newer one
+            self.old, self.memo = self.memo, {}
+        memo, old = self.memo, self.old
+        pieces = [self.find(t) for t in texts]
+        for p in set(chain.from_iterable(pieces)).difference(memo):
+            if p in old:
+                memo[p] = old[p]
+            elif len(p) <= MEMO_CHARS:
+                memo[p] = self.merge(p.encode())
+        for found in pieces:
+            try:
+                yield list(chain.from_iterable(map(memo.__getitem__, found)))
+            except KeyError:  # very long pre-tokens are not remembered
+                yield list(chain.from_iterable(memo[p] if p in memo else self.merge(p.encode()) for p in found))
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocab.__getitem__, ids))
@@ -181,7 +183,7 @@ def encode(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id", tex
     """doc_id, ids array<int> of every whole text. Null text: no ids. Repeated rows are encoded each."""
 
     def row(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
-        ids = [c.encode(t) for t in batch.column(1).to_pylist()]
+        ids = list(c.encode_all(batch.column(1).to_pylist()))
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return _mapped(text_of(docs, doc_id, text), "doc_id bigint, ids array<int>", path, pattern, row)
@@ -205,8 +207,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, doc_id: str = "doc_id",
 
     def row(c: Codec, batch: pa.RecordBatch) -> pa.RecordBatch:
         n, a, b = [], [], []
-        for t in batch.column(1).to_pylist():
-            ids = c.encode(t)
+        for ids in c.encode_all(batch.column(1).to_pylist()):
             n.append(len(ids))
             a.append(hashlib.sha256(" ".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest())
             b.append(hashlib.sha256(c.decode(ids)).hexdigest())
