@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenweft.llm import block_dedup, bpe, secret_ledger, token_files, topk
+from lumenweft.llm import block_dedup, bpe, packing, secret_ledger, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (token_files, bpe, block_dedup, secret_ledger, topk):
+for _module in (token_files, bpe, packing, block_dedup, secret_ledger, topk):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
