@@ -53,7 +53,7 @@ HEADER_NAMES = frozenset("header head".split())
 #: Even an article element is none of the article's text if it is a reader's comment.
 COMMENT_NAMES = frozenset("comment comments reply replies".split())
 #: Names that say that something is there or is not, not what the element is.
-ABSENT = re.compile(r"\b(?:has|with|no|without)[-_ ]?[a-z]+")
+ABSENT = re.compile(r"\b(?:has|with|no|without)[-_][a-z]+")
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
