@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenweft.llm import block_dedup, bpe, main_text, packing, secret_ledger, set_join, token_files, topk
+from lumenweft.llm import block_dedup, bpe, language, main_text, packing, secret_ledger, set_join, token_files, topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (main_text, token_files, set_join, bpe, packing, block_dedup, secret_ledger, topk):
+for _module in (main_text, language, token_files, set_join, bpe, packing, block_dedup, secret_ledger, topk):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
