@@ -8,13 +8,12 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import chain
+from itertools import compress, repeat
 
 import numpy as np
 
 #: Words in the newer half of what a worker remembers; there is an older half as well. Bounds memory, not results.
-MEMO_ENTRIES = 500_000
-MEMO_CHARS = 64
+MEMO_ENTRIES = 1_000_000
 
 
 class WordEncoder:
@@ -33,62 +32,67 @@ class WordEncoder:
             raise ValueError(f"{path} has ids of more than {width} bits")
         self.glue, self.size = glue, width // 8
         self.kind = f"<u{self.size}"
-        self.mark, self.joint = ("\t", "\t") if glue else ("|", " | ")
+        self.mark = "\t" if glue else "|"
         own = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
         self.mark_id = own[0] if len(own) == 1 else -1
-        self.memo: dict[str, bytes] = {"": b""}
+        self.memo: dict[str, bytes] = {}  # if glue, of words with a blank before them
+        # words are asked for once, so the library's own cache only costs
+        getattr(self.tokenizer.model, "_resize_cache", lambda n: None)(0)
         self.old: dict[str, bytes] = {}
         self.odd = re.compile(r" \s").search  # a blank before white space does not begin a word
 
     def _ask(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, text: str) -> list[str] | None:
-        if not self.glue:
-            return text.replace("\n", " ").split(" ")
-        if self.odd(text):
-            return None
-        words = text.split(" ")
-        return [words[0], *[" " + w for w in words[1:]]]
-
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_ENTRIES:  # words that come up again move from the older half to the newer one
-            self.old, self.memo = self.memo, {"": b""}
-        memo, old = self.memo, self.old
-        cut = [self._words(t) for t in texts]
-        missing = set(chain.from_iterable(w for w in cut if w)).difference(memo)
-        memo.update((w, old[w]) for w in missing if w in old)
-        self._learn([w for w in missing if w not in memo and len(w) <= MEMO_CHARS])
-        out = []
-        for text, words in zip(texts, cut, strict=True):
-            if words is None:
-                out.append(self._ask([text])[0])
+            self.old, self.memo = self.memo, {}
+        get, out = self.memo.get, [b""] * len(texts)
+        rows: list[tuple[int, str, list[str], list[bytes | None]]] = []
+        whole: list[int] = []
+        missing: set[str] = set()
+        for i, text in enumerate(texts):
+            if not self.glue:
+                first, words = "", text.replace("\n", " ").split(" ")
+            elif self.odd(text):
+                whole.append(i)
                 continue
-            try:
-                out.append(b"".join(map(memo.__getitem__, words)))
-            except KeyError:  # very long words are not remembered
-                out.append(b"".join(memo[w] if w in memo else self._ask([w])[0] for w in words))
+            else:
+                words = text.split(" ")
+                first = words.pop(0)
+            known = list(map(get, words))
+            if None in known:
+                missing.update(compress(words, [x is None for x in known]))
+            rows.append((i, first, words, known))
+        self._learn(missing)
+        memo = self.memo
+        firsts = self._ask([first for _, first, _, _ in rows]) if self.glue else repeat(b"")
+        for (i, _, words, known), head in zip(rows, firsts):
+            out[i] = head + b"".join([memo[w] if x is None else x for w, x in zip(words, known)])
+        for i in whole:
+            out[i] = self._ask([texts[i]])[0]
         return out
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, missing: set[str]) -> None:
         """Asks for many words in one text, put apart by a mark that is a token of its own and in none of them."""
-        mark, memo = self.mark, self.memo
-        plain = [w for w in words if mark not in w and not w[-1].isspace() and not w[:1].isspace() ^ (self.glue and w[0] == " " and not w[1:2].isspace())]
-        rest = set(words).difference(plain)
-        for i in range(0, len(plain), 2048):
-            some = plain[i : i + 2048]
-            data = self._ask([self.joint.join(some)])[0]
-            ids = np.frombuffer(data, self.kind)
-            ends = np.flatnonzero(ids == self.mark_id)
-            if len(ends) != len(some) - 1:
-                rest.update(some)
+        memo, old, size, blank = self.memo, self.old, self.size, " " if self.glue else ""
+        memo.update((w, old[w]) for w in missing if w in old)
+        words = [w for w in missing if w not in old]
+        joint = self.mark + blank if self.glue else f" {self.mark} "
+        alone: list[str] = []
+        for i in range(0, len(words), 2048):
+            some = words[i : i + 2048]
+            text = blank + joint.join(some)
+            data = self._ask([text])[0] if text.count(self.mark) == len(some) - 1 and "" not in some else b""
+            ends = np.flatnonzero(np.frombuffer(data, self.kind) == self.mark_id)
+            if not data or len(ends) != len(some) - 1:  # a word holds the mark, or white space that takes it in
+                alone.extend(some)
                 continue
-            size = self.size
             begins = [0, *((ends + 1) * size).tolist()]
             memo.update(zip(some, [data[x:y] for x, y in zip(begins, [*(ends * size).tolist(), len(data)], strict=True)], strict=True))
-        more = list(rest)
-        for i in range(0, len(more), 1024):
-            memo.update(zip(more[i : i + 1024], self._ask(more[i : i + 1024]), strict=True))
+        for i in range(0, len(alone), 1024):
+            some = alone[i : i + 1024]
+            memo.update(zip(some, self._ask([blank + w for w in some]), strict=True))
 
 
 _ENCODERS: dict[tuple[str, bool, int], WordEncoder] = {}
