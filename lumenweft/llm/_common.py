@@ -45,3 +45,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only (doc_id, text); a null text is empty. Other columns, whatever their names, go."""
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+
+
+#: Up to so many ids a filter by doc_id is broadcast (8 bytes each); beyond, it is a shuffled join.
+BROADCAST_IDS = 500_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but for the rows whose doc_id is in ids (doc_id, no nulls). Rows without a doc_id stay."""
+    ids = stored(ids.distinct(), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)

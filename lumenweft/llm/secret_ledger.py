@@ -168,6 +168,32 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
+#: Up to so many blobs with findings they are broadcast to the texts; beyond, texts and findings meet in a shuffled join.
+BROADCAST_BLOBS = 50_000
+
+
+def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs with every secret of text replaced by a mark, and n_chars, if there, as long as the new text.
+
+    Rows without a secret are as they were, null texts too.
+    """
+    hidden = "_blob"
+    while hidden in docs.columns:
+        hidden += "_"
+    marked = docs.withColumn(hidden, F.sha2(F.coalesce("text", F.lit("")), 256))
+    new = update(marked.select(F.col(hidden).alias("blob"), F.coalesce("text", F.lit("")).alias("text")), ledger, rules)
+    found = stored(findings(new if ledger is None else ledger.unionByName(new), rules), "findings").select(F.col("blob").alias(hidden), F.struct("spans").alias(f"{hidden}spans"))
+    few = found.count() <= BROADCAST_BLOBS
+    joined = marked.join(F.broadcast(found) if few else found, hidden, "left")
+    spans = F.col(f"{hidden}spans")["spans"]
+    text = F.when(spans.isNotNull(), redacted(F.col("text"), spans)).otherwise(F.col("text"))
+    columns = {"text": text}
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(spans.isNotNull(), F.length(text).cast(kind)).otherwise(F.col("n_chars"))
+    return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = scan(table(spark, sf_dir, "documents"))
     return digest(found)

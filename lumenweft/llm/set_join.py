@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweft.llm._common import small_batches, stored, table, text_of
+from lumenweft.llm._common import BROADCAST_IDS, small_batches, stored, table, text_of
 from lumenweft.llm.components import components
 
 #: Size of the table of common shingles (8 MB), and from how many index entries on a shingle may be in it.
@@ -36,8 +36,6 @@ COMMON_SHINGLES = 1 << 20
 COMMON_FROM = 4
 #: Entries of a block of an index list.
 BLOCK_ENTRIES = 256
-#: Up to so many ids the filter of the texts to be compared is broadcast (8 bytes each); beyond, it is a shuffled join.
-BROADCAST_IDS = 500_000
 SKETCH = 64
 MAX_ROUNDS = 6
 
