@@ -83,59 +83,93 @@ class Model:
     switch: float = SWITCH
 
     def __post_init__(self) -> None:
-        self.memo: dict[str, tuple[np.ndarray, int] | None] = {}
+        self.memo: dict[str, int] = {}
+        self.rows = np.zeros((1024, len(self.languages)), np.float32)
+        self.sizes = np.zeros(1024, np.int32)
 
-    def word(self, raw: str) -> tuple[np.ndarray, int] | None:
-        """Scores by language and the number of letters; None without letters."""
+    def word(self, raw: str) -> int:
+        """The row of a word's scores; -1 without letters."""
         w = letters(raw)
         if not w:
-            return None
+            return -1
+        at = len(self.memo)
+        if at >= len(self.rows):
+            self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
         scores = self.table[features(w)].sum(0)
         ok = self.allowed[script(w[0])]
         if ok.any():
             scores = np.where(ok, scores, scores.min() - 50.0)
-        return (scores - scores.max()).astype(np.float32), len(w)
+        self.rows[at] = scores - scores.max()
+        self.sizes[at] = len(w)
+        return at
 
-    def look_up(self, raws: list[str]) -> list[tuple[np.ndarray, int]]:
-        memo = self.memo
+    def look_up(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(scores by language, number of letters) of each word with letters."""
+        memo, raws = self.memo, words(text or "")
         if len(memo) > MEMO_ENTRIES:
             memo.clear()
         for w in set(raws).difference(memo):
             memo[w] = self.word(w)
-        return [x for x in map(memo.__getitem__, raws) if x is not None]
-
-    def paths(self, texts: list[list[tuple[np.ndarray, int]]]) -> list[np.ndarray]:
-        """For each text the language of each of its words: Viterbi over all texts of the batch, word by word."""
-        order = sorted((i for i, x in enumerate(texts) if x), key=lambda i: -len(texts[i]))
-        n_words = np.array([len(texts[i]) for i in order], np.int64)
+        at = np.fromiter(map(memo.__getitem__, raws), np.int64, len(raws))
+        at = at[at >= 0]
+        return self.rows[at], self.sizes[at]
+
+    def constant(self, scores: np.ndarray) -> int | None:
+        """The language of the whole text, if no stretch of words could pay for a change to others and back; else None.
+
+        The gain of any detour is at most the sum of the best other scores over its own; inside of a text a detour costs
+        two changes, at its begin or end one.
+        """
+        if scores.shape[1] == 1:
+            return 0
+        k = int(scores.sum(0).argmax())
+        gain = np.delete(scores, k, axis=1).max(1).astype(np.float64) - scores[:, k]
+        sums = np.cumsum(gain)
+        before = np.concatenate([[0.0], sums[:-1]])
+        inside = (sums - np.minimum.accumulate(before)).max()
+        edge = max(sums.max(), (sums[-1] - before).max())
+        return k if inside <= 2 * self.switch and edge <= self.switch else None
+
+    def paths(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """For each text the language of each of its words. Viterbi runs over all texts of the batch at once, word by word."""
         out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
+        mixed = []
+        for i, x in enumerate(texts):
+            if len(x):
+                k = self.constant(x)
+                if k is None:
+                    mixed.append(i)
+                else:
+                    out[i] = np.full(len(x), k, np.int8)
+        order = sorted(mixed, key=lambda i: -len(texts[i]))
         if not order:
             return out
+        n_words = np.array([len(texts[i]) for i in order], np.int64)
         count = len(self.languages)
         steps = int(n_words[0])
         begins = np.concatenate([[0], np.cumsum(n_words)])
-        scores = np.concatenate([np.array([s for s, _ in texts[i]], np.float32) for i in order])
+        scores = np.concatenate([texts[i] for i in order])
         active = np.searchsorted(-n_words, -np.arange(1, steps + 1), side="right")  # texts with a word t
-        best = scores[begins[:-1]].astype(np.float64)
+        rows = begins[:-1]
+        best = scores[rows].astype(np.float64)
         back = np.zeros((int(begins[-1]), count), np.int8)
         own = np.arange(count, dtype=np.int8)
-        rows = begins[:-1]
         for t in range(1, steps):
             a = active[t]
             now = best[:a]
             top = now.argmax(1)
-            leave = now[np.arange(a), top] - self.switch
+            leave = now.max(1) - self.switch
             stay = now >= leave[:, None]
             back[rows[:a] + t] = np.where(stay, own, top[:, None])
             best[:a] = np.where(stay, now, leave[:, None]) + scores[rows[:a] + t]
         path = np.zeros(int(begins[-1]), np.int8)
-        state = np.zeros(len(order), np.int8)
+        state = best.argmax(1).astype(np.int8)
         for t in range(steps - 1, -1, -1):
             a = active[t]
-            last = n_words[:a] == t + 1
-            state[:a][last] = best[:a][last].argmax(1)
             path[rows[:a] + t] = state[:a]
-            state[:a] = back[rows[:a] + t, state[:a]] if t else state[:a]
+            if t:
+                state[:a] = back[rows[:a] + t, state[:a]]
         for k, i in enumerate(order):
             out[i] = path[begins[k] : begins[k + 1]]
         return out
@@ -203,15 +237,16 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            texts = [m.look_up(words(x)) if m is not None and x else [] for x in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            looked = [m.look_up(x) for x in texts] if m is not None else []
             names, scores, found = [], [], []
-            for looked, path in zip(texts, m.paths(texts) if m is not None else [None] * len(texts), strict=True):
-                if not looked:
+            for (_, sizes), path in zip(looked, m.paths([x for x, _ in looked]), strict=True) if m is not None else [((), ())] * len(texts):
+                if not len(path):
                     names.append(UNKNOWN)
                     scores.append(0.0)
                     found.append("")
                     continue
-                mass = np.bincount(path, weights=[n for _, n in looked], minlength=len(m.languages))
+                mass = np.bincount(path, weights=sizes, minlength=len(m.languages))
                 names.append(m.languages[int(mass.argmax())])
                 scores.append(float(mass.max() / mass.sum()))
                 found.append(" ".join(f"{m.languages[k]}:{a}:{b}" for k, a, b in spans(path)))
