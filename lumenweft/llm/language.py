@@ -9,10 +9,11 @@ penalty: runs of one language are the spans. The language with the most letters
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +24,15 @@ from lumenweft.llm._common import small_batches, table
 
 #: About so many labelled documents are learned from (a bounded sample, by a hash of doc_id).
 TRAIN_DOCUMENTS = 20_000
-BUCKETS = 1 << 15
+BUCKET_BITS = 15
+BUCKETS = 1 << BUCKET_BITS
 NGRAMS = (1, 2, 3)
 SWITCH = 12.0
 #: A language with a smaller share of a script's letters is no candidate for its words.
 SCRIPT_SHARE = 0.001
 UNKNOWN = "und"
-MEMO_ENTRIES = 300_000
+#: Words that a worker remembers; then it forgets all and starts anew. Bounds memory, not results.
+MEMO_ENTRIES = 600_000
 
 #: First and last code points of script ranges (Unicode blocks; fixed values).
 SCRIPTS = (
@@ -50,29 +53,43 @@ SCRIPTS = (
 )
 OTHER = len(SCRIPTS)
 _BOUNDS = sorted((lo, hi, k) for k, (_, ranges) in enumerate(SCRIPTS) for lo, hi in ranges)
-_LOWS = [b[0] for b in _BOUNDS]
-
-
-def script(ch: str) -> int:
-    """The number of the letter's script."""
-    from bisect import bisect_right
-
-    i = bisect_right(_LOWS, ord(ch)) - 1
-    return _BOUNDS[i][2] if i >= 0 and ord(ch) <= _BOUNDS[i][1] else OTHER
+_LOWS, _HIGHS, _KINDS = (np.array(c, np.int64) for c in zip(*_BOUNDS, strict=True))
+#: Letters and the like: what is a word character but no decimal digit and no underscore.
+WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return text.lower().split()
+    """Runs of letters, in lower case."""
+    return WORD.findall(text.lower())
 
 
 def letters(word: str) -> str:
+    """A word without the numerals that the pattern for words lets through."""
     return word if word.isalpha() else "".join(filter(str.isalpha, word))
 
 
-def features(word: str) -> np.ndarray:
-    """Buckets of the n-grams of a word's letters, with marks at both ends. word: letters only."""
-    w = f"\x02{word}\x03"
-    return np.array([zlib.crc32(w[i : i + n].encode("utf-8", "surrogatepass")) % BUCKETS for n in NGRAMS for i in range(n == 1, len(w) - n + 1 - (n == 1))], np.int64)
+def ngrams(found: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, number of the word) of all n-grams of the words, for each n, with marks at both ends of a word."""
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) + 2
+    code = np.frombuffer("".join([f"\x02{w}\x03" for w in found]).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(found)), sizes)
+    for n in NGRAMS:
+        if len(code) < n:
+            continue
+        h = code[: len(code) - n + 1].copy()
+        for j in range(1, n):
+            h = h * np.uint64(0x100000001B3) + code[j : len(code) - n + 1 + j]
+        ok = owner[: len(h)] == owner[n - 1 :]
+        if n == 1:
+            ok &= code > 3  # the marks alone say nothing
+        yield ((h[ok] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), owner[: len(h)][ok]
+
+
+def scripts(found: list[str]) -> np.ndarray:
+    """The script of each word, by its first letter."""
+    first = np.fromiter((ord(w[0]) for w in found), np.int64, len(found))
+    at = np.maximum(np.searchsorted(_LOWS, first, side="right") - 1, 0)
+    return np.where((first >= _LOWS[at]) & (first <= _HIGHS[at]), _KINDS[at], OTHER)
 
 
 @dataclass
@@ -87,33 +104,43 @@ class Model:
         self.rows = np.zeros((1024, len(self.languages)), np.float32)
         self.sizes = np.zeros(1024, np.int32)
 
-    def word(self, raw: str) -> int:
-        """The row of a word's scores; -1 without letters."""
-        w = letters(raw)
-        if not w:
-            return -1
+    def meet(self, new: list[str]) -> None:
+        """Scores words that have not been met, all at once."""
+        real = [letters(w) for w in new]
+        kept = [i for i, w in enumerate(real) if w]
         at = len(self.memo)
-        if at >= len(self.rows):
+        self.memo.update((w, -1) for w in new)
+        if not kept:
+            return
+        found = [real[i] for i in kept]
+        while at + len(new) > len(self.rows):
             self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
             self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        scores = self.table[features(w)].sum(0)
-        ok = self.allowed[script(w[0])]
-        if ok.any():
-            scores = np.where(ok, scores, scores.min() - 50.0)
-        self.rows[at] = scores - scores.max()
-        self.sizes[at] = len(w)
-        return at
-
-    def look_up(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(scores by language, number of letters) of each word with letters."""
-        memo, raws = self.memo, words(text or "")
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        for w in set(raws).difference(memo):
-            memo[w] = self.word(w)
-        at = np.fromiter(map(memo.__getitem__, raws), np.int64, len(raws))
-        at = at[at >= 0]
-        return self.rows[at], self.sizes[at]
+        total = np.zeros((len(found), len(self.languages)))
+        for buckets, owner in ngrams(found):
+            for k in range(total.shape[1]):
+                total[:, k] += np.bincount(owner, weights=self.table[:, k][buckets], minlength=len(found))
+        ok = self.allowed[scripts(found)]
+        ok |= ~ok.any(1, keepdims=True)
+        total = np.where(ok, total, total.min(1, keepdims=True) - 50.0)
+        self.rows[at : at + len(found)] = total - total.max(1, keepdims=True)
+        self.sizes[at : at + len(found)] = [len(w) for w in found]
+        self.memo.update((new[i], at + j) for j, i in enumerate(kept))
+
+    def look_up(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(scores by language, number of letters) of each word with letters, for each text."""
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        raws = [words(t or "") for t in texts]
+        new = set(chain.from_iterable(raws)).difference(self.memo)
+        if new:
+            self.meet(list(new))
+        out = []
+        for r in raws:
+            at = np.fromiter(map(self.memo.__getitem__, r), np.int64, len(r))
+            at = at[at >= 0]
+            out.append((self.rows[at], self.sizes[at]))
+        return out
 
     def constant(self, scores: np.ndarray) -> int | None:
         """The language of the whole text, if no stretch of words could pay for a change to others and back; else None.
@@ -198,12 +225,15 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
                 seen.setdefault(lang, Counter()).update(words(text))
         for lang, counter in seen.items():
-            grams, scripts = np.zeros(BUCKETS), np.zeros(OTHER + 1)
-            for raw, c in counter.items():
-                if w := letters(raw):
-                    np.add.at(grams, features(w), c)
-                    scripts[script(w[0])] += c * len(w)
-            both = np.concatenate([grams, scripts])
+            grams, by_script = np.zeros(BUCKETS), np.zeros(OTHER + 1)
+            pairs = [(w, c) for raw, c in counter.items() if (w := letters(raw))]
+            if not pairs:
+                continue
+            found, times = [w for w, _ in pairs], np.array([c for _, c in pairs], np.float64)
+            for buckets, owner in ngrams(found):
+                grams += np.bincount(buckets, weights=times[owner], minlength=BUCKETS)
+            by_script += np.bincount(scripts(found), weights=times * [len(w) for w in found], minlength=OTHER + 1)
+            both = np.concatenate([grams, by_script])
             at = np.flatnonzero(both)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(both[at], pa.float64())], ["lang", "k", "c"])
 
@@ -213,8 +243,8 @@ def learn(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
         return None
     counts = np.zeros((BUCKETS + OTHER + 1, len(languages)))
     counts[sums["k"].to_numpy(), sums["lang"].map({x: i for i, x in enumerate(languages)}).to_numpy()] = sums["c"].to_numpy()
-    grams, scripts = counts[:BUCKETS] + 0.1, counts[BUCKETS:]
-    share = scripts / np.maximum(scripts.sum(0), 1)
+    grams, letters_in = counts[:BUCKETS] + 0.1, counts[BUCKETS:]
+    share = letters_in / np.maximum(letters_in.sum(0), 1)
     return Model(languages, np.log(grams / grams.sum(0)).astype(np.float32), share >= SCRIPT_SHARE, switch)
 
 
@@ -238,7 +268,7 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
         m = shared.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            looked = [m.look_up(x) for x in texts] if m is not None else []
+            looked = m.look_up(texts) if m is not None else []
             names, scores, found = [], [], []
             for (_, sizes), path in zip(looked, m.paths([x for x, _ in looked]), strict=True) if m is not None else [((), ())] * len(texts):
                 if not len(path):
