@@ -56,3 +56,8 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     ids = stored(ids.distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def sized(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A stored table of some whole numbers a row, to be broadcast in a join if it has at most so many rows."""
+    return F.broadcast(df) if df.count() <= most else df

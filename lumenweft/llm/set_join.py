@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweft.llm._common import BROADCAST_IDS, small_batches, stored, table, text_of
+from lumenweft.llm._common import small_batches, sized, stored, table, text_of
 from lumenweft.llm.components import components
 
 #: Size of the table of common shingles (8 MB), and from how many index entries on a shingle may be in it.
@@ -37,6 +37,8 @@ COMMON_FROM = 4
 #: Entries of a block of an index list.
 BLOCK_ENTRIES = 256
 SKETCH = 64
+#: Up to so many pairs of blocks they are broadcast to the entries.
+BROADCAST_BLOCKS = 100_000
 MAX_ROUNDS = 6
 
 
@@ -120,9 +122,9 @@ def _rarest(s: np.ndarray, p: int, hashes: np.ndarray, ranks: np.ndarray) -> np.
 
 # ---- pairs ------------------------------------------------------------------------------------------------------
 def _bounded(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The pairs (a, b) whose sketches leave room for the threshold."""
+    """The stored pairs (a, b) whose sketches leave room for the threshold."""
     side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
-    rows = pairs.join(side("a"), "a").join(side("b"), "b")
+    rows = side("a").join(sized(pairs), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,10 +141,8 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
     """The pairs (a, b) of doc_ids whose whole sets meet the threshold."""
-    pairs = stored(pairs, "pairs")
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+    texts = docs.join(sized(ids), "doc_id", "left_semi")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,7 +160,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFr
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
 
-    return stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(compare, "a bigint, b bigint"), "links")
+    return stored(side("a").join(sized(pairs), "a").join(side("b"), "b").mapInArrow(compare, "a bigint, b bigint"), "links")
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -203,7 +203,8 @@ def _cross_pairs(index: DataFrame, t: Threshold) -> DataFrame:
     other = ~((F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")))
     met = one.join(two, "shingle").where((F.col("block_a") <= F.col("block_b")) & near & room & other).select("shingle", "block_a", "block_b")
     left, right = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "shingle"]) for s in "ab")
-    pairs = met.join(left, ["shingle", "block_a"]).join(right, ["shingle", "block_b"])
+    met = stored(met, "met")
+    pairs = left.join(sized(met, BROADCAST_BLOCKS), ["shingle", "block_a"]).join(right, ["shingle", "block_b"])
     pairs = pairs.where((F.col("comp_a") != F.col("comp_b")) & _fits(t, "n_a", "pos_a", "n_b", "pos_b"))
     return pairs.select(*_ordered(F.col("node_a"), F.col("node_b"))).distinct()
 
@@ -234,15 +235,16 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
     size = index.count()
     sketches = sets.select("node", "n", "sketch")
 
-    links, roots = None, None
+    roots: DataFrame | None = None
 
     def placed() -> DataFrame:
         if roots is None:
             return index.withColumn("comp", F.col("node"))
-        return index.join(roots, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        return index.join(sized(roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        found = _verified(_bounded(pairs, sketches, t), rows, k, t)
+        pairs = stored(pairs, "pairs")
+        found = _verified(stored(_bounded(pairs, sketches, t), "bounded"), rows, k, t)
         return found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     for turn in range(MAX_ROUNDS):
@@ -252,10 +254,9 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
             crossing = by.agg(F.sum("x") / 2).first()[0] or 0
             if crossing <= 20 * size + 1_000_000:
                 break
-        links = linked(_leader_pairs(at, t, turn))
-        roots = components(links)
+        roots = components(linked(_leader_pairs(at, t, turn)))
     roots = components(linked(_cross_pairs(placed(), t)))
-    out = first.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes, ["s1", "s2"], "left").join(roots, "node", "left")
+    out = first.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes, ["s1", "s2"], "left").join(sized(roots), "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
 
 
