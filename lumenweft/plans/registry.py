@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenweft.plans import pages
+from lumenweft.plans import media, pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (pages,):
+for _module in (pages, media):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
