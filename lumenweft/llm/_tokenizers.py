@@ -22,7 +22,7 @@ class WordEncoder:
     glue: whether a blank belongs to the word behind it (byte-level files) or to no word (files that drop white space).
     """
 
-    def __init__(self, path: str, glue: bool, width: int = 16) -> None:
+    def __init__(self, path: str, glue: bool, width: int = 16, entries: int = MEMO_ENTRIES) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -30,7 +30,7 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if self.tokenizer.get_vocab_size() > 1 << width:
             raise ValueError(f"{path} has ids of more than {width} bits")
-        self.glue, self.size = glue, width // 8
+        self.glue, self.size, self.entries = glue, width // 8, entries
         self.kind = f"<u{self.size}"
         self.mark = "\t" if glue else "|"
         own = self.tokenizer.encode(self.mark, add_special_tokens=False).ids
@@ -45,7 +45,7 @@ class WordEncoder:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:  # words that come up again move from the older half to the newer one
+        if len(self.memo) > self.entries:  # words that come up again move from the older half to the newer one
             self.old, self.memo = self.memo, {}
         get, out = self.memo.get, [b""] * len(texts)
         rows: list[tuple[int, str, list[str], list[bytes | None]]] = []
@@ -95,12 +95,12 @@ class WordEncoder:
             memo.update(zip(some, self._ask([blank + w for w in some]), strict=True))
 
 
-_ENCODERS: dict[tuple[str, bool, int], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int, int], WordEncoder] = {}
 
 
-def encoder(path: str, glue: bool, width: int = 16) -> WordEncoder:
+def encoder(path: str, glue: bool, width: int = 16, entries: int = MEMO_ENTRIES) -> WordEncoder:
     """The worker's encoder for this file; kept between batches and tasks."""
-    key = (path, glue, width)
+    key = (path, glue, width, entries)
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(*key)
     return _ENCODERS[key]

@@ -38,6 +38,8 @@ ISLANDS = 6
 POPULATION = 4
 GENERATIONS = 4
 EPOCHS = 2
+#: Words that a worker remembers (twice as many at most); other stages of a pipeline need memory beside it.
+MEMO_ENTRIES = 300_000
 
 Bins = list[tuple[int, ...]]
 
@@ -190,7 +192,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc, seen = encoder(tokenizer, False), Counter()
+        enc, seen = encoder(tokenizer, False, entries=MEMO_ENTRIES), Counter()
         end = end_id.to_bytes(2, "little")
         for batch in batches:
             rows: list[tuple] = []
