@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 
 def iso_seconds(x: Column) -> Column:
     """Seconds of an ISO-8601 PT… duration; 0 for anything else."""
-    part = lambda unit: F.coalesce(F.expr("try_cast(1 as double)") * F.regexp_extract(F.trim(x), rf"^PT(?:[\d.]+[HMS])*?([\d.]+){unit}", 1).try_cast("double"), F.lit(0.0))
+    part = lambda unit: F.coalesce(F.regexp_extract(F.trim(x), rf"^PT(?:[\d.]+[HMS])*?([\d.]+){unit}", 1).try_cast("double"), F.lit(0.0))
     ok = F.trim(x).rlike(r"^PT(?:\d+(?:\.\d+)?H)?(?:\d+(?:\.\d+)?M)?(?:\d+(?:\.\d+)?S)?$")
     return F.when(F.coalesce(ok, F.lit(False)), part("H") * 3600 + part("M") * 60 + part("S")).otherwise(0.0)
 
 
 def variant_label(height: Column, bandwidth: Column) -> Column:
     """1080p · 5.2 Mbps; only the rate where no height is known; kbps below 1 Mbps."""
-    rate = F.when(bandwidth >= 1_000_000, F.concat(F.format_number(bandwidth / 1_000_000, "0.0"), F.lit(" Mbps"))).otherwise(F.concat(F.floor(bandwidth / 1000 + 0.5).cast("string"), F.lit(" kbps")))
+    rate = F.when(bandwidth >= 1_000_000, F.format_string("%.1f Mbps", bandwidth / 1_000_000)).otherwise(F.concat(F.floor(bandwidth / 1000 + 0.5).cast("string"), F.lit(" kbps")))
     return F.when(F.coalesce(height, F.lit(0)) > 0, F.concat(height.cast("string"), F.lit("p · "), rate)).otherwise(rate)
 
 

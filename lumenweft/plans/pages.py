@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumenweft.functions import url as U
+from lumenweft.operators import extract as X
+from lumenweft.operators import resolve as R
+from lumenweft.operators.manifest import absolute
+
 ANCHOR = r'<a[^>]*?href="([^"]*)"'
 
 
@@ -22,10 +27,70 @@ def anchor_dedup_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.groupBy("page_id", "href").agg(F.min("ord").cast("bigint").alias("first_ord"), F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {"anchor_scan": anchor_scan, "anchor_dedup_first_seen": anchor_dedup_first_seen}
+def page_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reads only the addresses; the html column is pruned."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    h = U.host(F.col("url"))
+    return p.select(h.alias("host"), U.registrable_domain(h).alias("domain")).groupBy("host", "domain").agg(F.count(F.lit(1)).alias("n"))
+
+
+def open_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    ok = U.injectable(F.col("url"))
+    return p.agg(F.sum(ok.cast("bigint")).alias("scanned"), F.sum((~ok).cast("bigint")).alias("skipped"))
+
+
+def resolved_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    a = anchors(p).join(p.select("page_id", "url"), "page_id")
+    return a.select("page_id", "ord", absolute(F.col("href"), F.col("url")).alias("target"))
+
+
+def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = X.elements(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return e.where(F.col("tag").isin("a", "p", "li", "h1", "article", "nav", "footer")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def gallery_page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    a = anchors(p).join(p.select("page_id", "url"), "page_id").withColumn("thumb_width", (F.col("ord") * 40).cast("int"))
+    return X.gallery_links(a, cap=3).select("page_id", "ord")
+
+
+def embed_id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    n = F.lpad(F.col("page_id").cast("string"), 11, "0")
+    made = (
+        F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("https://www.youtube.com/watch?t=1&v="), n))
+        .when(F.col("page_id") % 4 == 1, F.concat(F.lit("https://player.vimeo.com/video/"), F.col("page_id").cast("string")))
+        .when(F.col("page_id") % 4 == 2, F.concat(F.lit("https://www.twitch.tv/videos/"), F.col("page_id").cast("string")))
+        .otherwise("https://example.com/video/1")
+    )
+    e = R.embed(made)
+    return p.select("page_id", e["site"].alias("site"), e["id"].alias("id"))
+
+
+def resolver_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    n = F.col("page_id").cast("string")
+    made = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("https://preview.redd.it/"), n, F.lit(".png?width=100&s=x"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("https://youtu.be/"), F.lpad(n, 11, "0"))).otherwise(F.concat(F.lit("https://plain.example/"), n, F.lit(".jpg")))
+    return R.candidates(p.withColumn("url", made)).select("page_id", "resolver", "original")
+
+
+QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate, embed_id_scan, resolver_dispatch)}
+_H = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
+_O = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 _A = """a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1)) AS href,
   generate_subscripts(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1), 1) - 1 AS ord FROM pages)"""
 ORACLES = {
     "anchor_scan": f"WITH {_A} SELECT page_id, CAST(ord AS INTEGER) AS ord, href FROM a",
     "anchor_dedup_first_seen": f"WITH {_A} SELECT page_id, href, CAST(min(ord) AS BIGINT) AS first_ord, count(*) AS n FROM a GROUP BY page_id, href",
+    "page_host": f"""WITH h AS (SELECT {_H} AS host FROM pages) SELECT host, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS domain, count(*) AS n FROM h GROUP BY ALL""",
+    "open_pages": "SELECT CAST(count(*) FILTER (WHERE regexp_matches(url, '^https?://')) AS BIGINT) AS scanned, CAST(count(*) FILTER (WHERE NOT regexp_matches(url, '^https?://')) AS BIGINT) AS skipped FROM pages",
+    "resolved_anchors": f"WITH {_A} SELECT page_id, CAST(ord AS INTEGER) AS ord, {_O} || href AS target FROM a JOIN pages USING (page_id)",
+    "element_counts": """SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', ''), '<(a|p|li|h1|article|nav|footer)[ >]', 1)) AS tag FROM pages) GROUP BY page_id, tag""",
+    "gallery_page_gate": f"""WITH {_A} SELECT page_id, CAST(ord AS INTEGER) AS ord FROM (SELECT page_id, ord, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM a WHERE (ord * 40 = 0 OR ord * 40 >= 64)
+  AND NOT regexp_matches(href, '(?i)/(?:tags?|categor(?:y|ies)|search|users?|authors?|login|signup|register|about|contact|privacy|terms|page)(?:/|$)')) WHERE n <= 3""",
+    "embed_id_scan": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' WHEN 2 THEN 'twitch-vod' END AS site, CASE page_id % 4 WHEN 0 THEN lpad(CAST(page_id AS VARCHAR), 11, '0') WHEN 3 THEN NULL ELSE CAST(page_id AS VARCHAR) END AS id FROM pages",
+    "resolver_dispatch": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'reddit' WHEN 1 THEN 'youtube' ELSE 'generic' END AS resolver, CASE page_id % 3 WHEN 0 THEN 'https://i.redd.it/' || page_id || '.png' WHEN 1 THEN 'https://i.ytimg.com/vi/' || lpad(CAST(page_id AS VARCHAR), 11, '0') || '/hqdefault.jpg' ELSE 'https://plain.example/' || page_id || '.jpg' END AS original FROM pages",
 }
