@@ -270,7 +270,7 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
             texts = batch.column(1).to_pylist()
             looked = m.look_up(texts) if m is not None else []
             names, scores, found = [], [], []
-            for (_, sizes), path in zip(looked, m.paths([x for x, _ in looked]), strict=True) if m is not None else [((), ())] * len(texts):
+            for (_, sizes), path in zip(looked, m.paths([x for x, _ in looked]), strict=True) if m is not None else [(((), ()), ())] * len(texts):
                 if not len(path):
                     names.append(UNKNOWN)
                     scores.append(0.0)

@@ -187,11 +187,11 @@ def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule,
     joined = marked.join(F.broadcast(found) if few else found, hidden, "left")
     spans = F.col(f"{hidden}spans")["spans"]
     text = F.when(spans.isNotNull(), redacted(F.col("text"), spans)).otherwise(F.col("text"))
-    columns = {"text": text}
+    out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(spans.isNotNull(), F.length(text).cast(kind)).otherwise(F.col("n_chars"))
-    return joined.select(*[columns.get(c, F.col(c)).alias(c) for c in docs.columns])
+        out = out.withColumn("n_chars", F.when(spans.isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
 
 
 def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
