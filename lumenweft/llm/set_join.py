@@ -7,15 +7,16 @@ Exact self-join of word-shingle sets at a Jaccard threshold, down to its connect
    first n - ceil(t n) + 1 of each. The index has an entry (shingle, set, size, position) for each of these.
 3. Answers from a similar set: every set of an index list is compared with the list's leader only. Sets found similar
    to it take over its component; from then on no two sets of one component are compared, whatever their number. The
-   round is repeated with other leaders while too many pairs of different components would be left.
+   round is repeated with other leaders while many pairs of different components are left and their number halves.
 4. Index-level skipping: what remains are pairs of sets in different components. The lists are cut into blocks by size
    and by position; a pair of blocks is skipped when the sizes differ too much, when the positions leave too little
    to share, or when both blocks lie in one component; only in the other pairs entries meet.
 5. Candidates pass a bound (shingles counted in 64 classes: the sum of the lesser counts is the most that two sets can
    share) and are then compared in full, on sets made anew from the texts of those documents alone.
 
-The order of the shingles only decides the work, never the result. So counts of the common shingles come from the index
-itself, and a table of a fixed size holds the most common ones. Shingles are 64-bit hashes of their words' 64-bit
+The order of the shingles only decides the work, never the result. So the common ones are counted within stretches of
+each task's documents (a shingle that never repeats within any is not common), and a table of a fixed size holds the
+most common ones. Shingles are 64-bit hashes of their words' 64-bit
 hashes; classes are told apart by 128 bits.
 """
 
@@ -31,9 +32,11 @@ from pyspark.sql import functions as F
 from lumenweft.llm._common import small_batches, sized, stored, table, text_of
 from lumenweft.llm.components import components
 
-#: Size of the table of common shingles (8 MB), and from how many index entries on a shingle may be in it.
+#: Size of the table of common shingles (8 MB), and from how many sets on a shingle may be in it.
 COMMON_SHINGLES = 1 << 20
 COMMON_FROM = 4
+#: Shingles of a stretch of documents within which a task counts (8 bytes each).
+STRETCH = 4_000_000
 #: Entries of a block of an index list.
 BLOCK_ENTRIES = 256
 SKETCH = 64
@@ -84,28 +87,65 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
 
 
-def _profiles(docs: DataFrame, k: int, t: Threshold, common=None) -> DataFrame:
-    """doc_id, n, s1, s2 (of the whole set), prefix, and with the table of common shingles also sketch. Empty sets have n = 0."""
+def _marks(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each whole set, as two whole numbers."""
     import xxhash
 
+    return np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
+
+
+def _profiles(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, n, s1, s2 (of the whole set); empty sets have n = 0.
+
+    Beside them, in rows of n = -1, the shingles that different sets of a stretch of a task's documents share, with the
+    number of these sets. A stretch holds STRETCH shingles at most.
+    """
+    small_batches(docs.sparkSession)
+    names = ["doc_id", "n", "s1", "s2", "shingles", "counts"]
+
+    def shared(held: list[np.ndarray]) -> pa.RecordBatch:
+        values, counts = np.unique(np.concatenate(held), return_counts=True)
+        more = counts > 1
+        one = lambda kind: pa.nulls(1, kind)
+        row = [one(pa.int64()), pa.array([-1], pa.int64()), one(pa.int64()), one(pa.int64()), _lists([values[more]]), _lists([counts[more].astype(np.int64)])]
+        return pa.RecordBatch.from_arrays(row, names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size, seen = 0, set()
+        for batch in batches:
+            sets = [shingles(x, k) for x in batch.column(1).to_pylist()]
+            marks = _marks(sets)
+            no = pa.nulls(len(sets), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), no, no], names)
+            for s, m in zip(sets, map(tuple, marks.tolist()), strict=True):
+                if len(s) and m not in seen:
+                    seen.add(m)
+                    held.append(s)
+                    size += len(s)
+            if size > STRETCH:
+                yield shared(held)
+                held, size, seen = [], 0, set()
+        if held:
+            yield shared(held)
+
+    return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, shingles array<bigint>, counts array<bigint>")
+
+
+def _prefixes(docs: DataFrame, k: int, t: Threshold, common) -> DataFrame:
+    """node (doc_id), n, s1, s2, prefix in the global order, sketch, of every set that is not empty."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, ranks = common.value
         for batch in batches:
             sets = [shingles(x, k) for x in batch.column(1).to_pylist()]
-            marks = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
-            cols = [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1])]
-            names = ["doc_id", "n", "s1", "s2", "prefix"]
-            if common is None:
-                cols.append(_lists([s[: t.prefix(len(s))] for s in sets]))
-            else:
-                hashes, ranks = common.value
-                cols.append(_lists([_rarest(s, t.prefix(len(s)), hashes, ranks) for s in sets]))
-                cols.append(pa.array([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SKETCH).astype("<i4").tobytes() for s in sets], pa.binary()))
-                names.append("sketch")
-            yield pa.RecordBatch.from_arrays(cols, names)
+            marks = _marks(sets)
+            prefix = _lists([_rarest(s, t.prefix(len(s)), hashes, ranks) for s in sets])
+            sketch = pa.array([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SKETCH).astype("<i4").tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), prefix, sketch], ["node", "n", "s1", "s2", "prefix", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>" + (", sketch binary" if common is not None else ""))
+    return docs.mapInArrow(run, "node bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, sketch binary").where("n > 0")
 
 
 def _rarest(s: np.ndarray, p: int, hashes: np.ndarray, ranks: np.ndarray) -> np.ndarray:
@@ -218,17 +258,17 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
     """
     t, rows = Threshold(num, den), text_of(docs, doc_id, text)
     spark: SparkSession = docs.sparkSession
-    first = stored(_profiles(rows, k, t), "profiles")
+    profiles = stored(_profiles(rows, k), "profiles")
+    first = profiles.where("n >= 0")
     classes = stored(first.where("n > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "classes")
     members = classes.where("node is not null")
     # The shingles that would make the longest lists go to the end of the order.
-    counts = first.where("n > 0").select(F.explode("prefix").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("c"))
+    counts = profiles.where("n = -1").select(F.explode(F.arrays_zip("shingles", "counts")).alias("x")).groupBy(F.col("x.shingles").alias("shingle")).agg(F.sum("x.counts").alias("c"))
     top = counts.where(F.col("c") >= COMMON_FROM).orderBy(F.desc("c"), "shingle").limit(COMMON_SHINGLES).toPandas()
     hashes = top["shingle"].to_numpy(np.int64).view(np.uint64)
     by_hash = np.argsort(hashes)
     common = spark.sparkContext.broadcast((hashes[by_hash], (len(hashes) - 1 - by_hash).astype(np.int64)))
-    second = _profiles(rows, k, t, common).where("n > 0").withColumnRenamed("doc_id", "node")
-    sets = stored(second.join(members, ["node", "s1", "s2"]).dropDuplicates(["node", "s1", "s2"]).select("node", "n", "prefix", "sketch"), "sets")
+    sets = stored(_prefixes(rows, k, t, common).join(members, ["node", "s1", "s2"]).dropDuplicates(["node", "s1", "s2"]).select("node", "n", "prefix", "sketch"), "sets")
     entries = sets.select("node", "n", F.posexplode("prefix").alias("pos", "shingle"))
     lists = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
     index = stored(entries.join(lists, "shingle", "left_semi"), "index")
@@ -247,13 +287,15 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
         found = _verified(stored(_bounded(pairs, sketches, t), "bounded"), rows, k, t)
         return found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
+    before = float("inf")
     for turn in range(MAX_ROUNDS):
         at = placed()
         if turn:
             by = at.groupBy("shingle", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("shingle").agg((F.pow(F.sum("c"), 2) - F.sum(F.col("c") * F.col("c"))).alias("x"))
             crossing = by.agg(F.sum("x") / 2).first()[0] or 0
-            if crossing <= 20 * size + 1_000_000:
-                break
+            if crossing <= 20 * size + 1_000_000 or crossing > before / 2:
+                break  # few are left, or other leaders do not help
+            before = crossing
         roots = components(linked(_leader_pairs(at, t, turn)))
     roots = components(linked(_cross_pairs(placed(), t)))
     out = first.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes, ["s1", "s2"], "left").join(sized(roots), "node", "left")
