@@ -15,6 +15,8 @@ from lumenweft.llm._common import small_batches, stored, table, without
 
 #: The near-duplicate stage: word shingles and similarity.
 SHINGLE_WORDS, SIMILAR_NUM, SIMILAR_DEN = 5, 8, 10
+#: Words that the packing stage's workers remember; less than on its own, as other stages' workers need memory, too.
+PACKING_WORDS = 300_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +50,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), entries=PACKING_WORDS)
 
 
 STAGES = [
