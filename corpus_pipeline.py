@@ -16,7 +16,7 @@ from lumenweft.llm._common import small_batches, stored, table, without
 #: The near-duplicate stage: word shingles and similarity.
 SHINGLE_WORDS, SIMILAR_NUM, SIMILAR_DEN = 5, 8, 10
 #: Words that the packing stage's workers remember; less than on its own, as other stages' workers need memory, too.
-PACKING_WORDS = 300_000
+PACKING_WORDS = 200_000
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,6 +38,28 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: What operators remember in a worker between tasks; each is a dict that may be cleared at any time between tasks.
+REMEMBERED: list[dict] = []
+
+
+def release(forget: bool = False) -> None:
+    """Gives a worker's free memory back to the system, and with forget what other operators remember in it.
+
+    Spark uses workers again; without this, one stage's memory stays while the next stages run.
+    """
+    import ctypes
+
+    import pyarrow as pa
+
+    if forget:
+        for memo in REMEMBERED:
+            memo.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

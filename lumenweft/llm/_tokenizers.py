@@ -12,6 +12,8 @@ from itertools import compress, repeat
 
 import numpy as np
 
+from lumenweft.llm._common import REMEMBERED
+
 #: Words in the newer half of what a worker remembers; there is an older half as well. Bounds memory, not results.
 MEMO_ENTRIES = 1_000_000
 
@@ -96,6 +98,7 @@ class WordEncoder:
 
 
 _ENCODERS: dict[tuple[str, bool, int, int], WordEncoder] = {}
+REMEMBERED.append(_ENCODERS)
 
 
 def encoder(path: str, glue: bool, width: int = 16, entries: int = MEMO_ENTRIES) -> WordEncoder:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenweft.llm._common import small_batches, stored, table, text_of
+from lumenweft.llm._common import release, small_batches, stored, table, text_of
 from lumenweft.llm._tokenizers import encoder
 
 CAPACITY = 2048
@@ -207,6 +207,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        release()
 
     return stored(text_of(docs, doc_id, text).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"), "pieces")
 

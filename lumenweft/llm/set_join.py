@@ -29,14 +29,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweft.llm._common import small_batches, sized, stored, table, text_of
+from lumenweft.llm._common import release, small_batches, sized, stored, table, text_of
 from lumenweft.llm.components import components
 
 #: Size of the table of common shingles (8 MB), and from how many sets on a shingle may be in it.
 COMMON_SHINGLES = 1 << 20
 COMMON_FROM = 4
 #: Shingles of a stretch of documents within which a task counts (8 bytes each).
-STRETCH = 4_000_000
+STRETCH = 1_000_000
 #: Entries of a block of an index list.
 BLOCK_ENTRIES = 256
 SKETCH = 64
@@ -111,6 +111,7 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays(row, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(forget=True)
         held: list[np.ndarray] = []
         size, seen = 0, set()
         for batch in batches:
@@ -128,6 +129,8 @@ def _profiles(docs: DataFrame, k: int) -> DataFrame:
                 held, size, seen = [], 0, set()
         if held:
             yield shared(held)
+        del held
+        release()
 
     return docs.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, shingles array<bigint>, counts array<bigint>")
 
@@ -144,6 +147,7 @@ def _prefixes(docs: DataFrame, k: int, t: Threshold, common) -> DataFrame:
             prefix = _lists([_rarest(s, t.prefix(len(s)), hashes, ranks) for s in sets])
             sketch = pa.array([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SKETCH).astype("<i4").tobytes() for s in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]), prefix, sketch], ["node", "n", "s1", "s2", "prefix", "sketch"])
+        release()
 
     return docs.mapInArrow(run, "node bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>, sketch binary").where("n > 0")
 
@@ -199,6 +203,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFr
                 keep.append(t.met(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v)))
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+        release()
 
     return stored(side("a").join(sized(pairs), "a").join(side("b"), "b").mapInArrow(compare, "a bigint, b bigint"), "links")
 
