@@ -4,8 +4,10 @@ Markup is stripped in one pass that leaves lines: runs of text between block-lev
 text, the part of it inside links, and whether it lies in a boilerplate container (menu, header, footer, sidebar,
 notice, advert, form, comments). The text lengths of the lines, less link text and boilerplate, are summed over a
 sliding window of lines. A surge point is where the sum rises over a threshold and stays up in the next lines; the next
-dive point is where it falls to nothing. Lines from a surge to its dive are kept. Where the page marks its article, the
-lines inside take the place of the page's and any text there is a surge. A line of links alone is never kept.
+dive point is where it falls to nothing. Lines from a surge to its dive are kept. Article and main elements are a weight
+on their lines' text, so less of it is a surge; boilerplate inside of them is left out of the windows, so it makes no
+dive. Lines outside count for nothing only where the element holds at least half of the page's text. Outside of such
+elements a line of links alone is never kept.
 """
 
 from __future__ import annotations
@@ -21,9 +23,11 @@ from pyspark.sql import functions as F
 
 from lumenweft.llm._common import small_batches, table
 
-#: Lines in a window, and the text that a window of a page without a marked article must hold at a surge.
+#: Lines in a window, and the weighted text that a window must hold at a surge.
 WINDOW = 3
 SURGE = 60
+#: What a character counts elsewhere, in a main element and in an article.
+WEIGHT = (1, 2, 4)
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -186,12 +190,12 @@ def regions(sums: list[int], own: list[int], surge: int) -> list[tuple[int, int]
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text; empty if it has none. Null: empty."""
-    found = lines(page or "")
-    level = max((x.article for x in found if not x.boiler), default=0)
-    if level:
-        # what the page itself marks as its article is all there is; anything there is a surge
-        found, surge = [x for x in found if x.article >= level], 1
-    own = [0 if x.boiler or x.linked and x.linked >= 0.9 * len(x.text) and not level else len(x.text) - (0 if level else min(x.linked, len(x.text))) for x in found]
+    found = [x for x in lines(page or "") if not (x.boiler and x.article)]
+    plain = [0 if x.boiler or x.linked and x.linked >= 0.9 * len(x.text) and not x.article else len(x.text) - (0 if x.article else min(x.linked, len(x.text))) for x in found]
+    # a marked element stands for the page only if it holds at least half of its text
+    held = [sum(n for x, n in zip(found, plain) if x.article >= k) for k in (0, 1, 2)]
+    level = next(k for k in (2, 1, 0) if 2 * held[k] >= held[0])
+    own = [n * WEIGHT[x.article] if x.article >= level else 0 for x, n in zip(found, plain)]
     sums = [sum(own[i : i + window]) for i in range(len(own))]
     surge = min(surge, max(sums, default=0) // 2 + 1)  # a page of little text has its surge, too
     kept = [found[i].text for a, b in regions(sums, own, surge) for i in range(a, b) if own[i]]

@@ -70,6 +70,19 @@ def test_main_text_keeps_articles_whole(sf):
         assert main_text.main_text(page) == want
 
 
+def test_main_text_windows_choose_on_marked_pages():
+    long = "A long paragraph with plenty of text to be found by the surge. " * 4
+    # a small article in a large main does not stand for it, nor a small main for the page
+    assert main_text.main_text(f"<main><p>{long}</p><article><p>Teaser</p></article></main>") == f"{long}Teaser"
+    assert main_text.main_text(f"<div><p>{long}</p></div><main><p>Teaser</p></main>") == f"{long}Teaser"
+    # a marked line behind a dive needs a surge of its own
+    apart = f"<article><p>{long}</p></article><p>a</p><p>b</p><p>c</p><article><p>Tiny</p></article>"
+    assert main_text.main_text(apart) == long.strip()
+    assert main_text.main_text(apart, surge=1) == f"{long}Tiny"
+    # boilerplate inside makes no dive, and lines outside of the page's main part are left
+    assert main_text.main_text(f'<p>Out</p><article><h1>Title</h1><p>{long}</p><div class="ad"><p>a<p>b<p>c<p>d</div><p>End</p></article>') == f"Title {long}End"
+
+
 # ---- 2 and 5 ----------------------------------------------------------------------------------------------------
 def reference_ids(texts, file):
     from tokenizers import Tokenizer
