@@ -305,7 +305,17 @@ SELECT page_id, count(*) AS image_count, round(max(CAST(width AS DOUBLE) * heigh
   CASE WHEN count(*) >= 20 AND count(*) * 40000.0 / 1024000 >= 0.5 AND var_pop(CAST(width AS DOUBLE) / height) < 0.1 THEN 'gallery' WHEN page_id % 2 = 0 AND count(*) >= 10 THEN 'feed' WHEN page_id % 3 = 0 THEN 'article' ELSE 'unknown' END AS page_class
 FROM p GROUP BY page_id""")
 def page_signals(spark, d):
-    images = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 100 < 50").select((F.col("l_orderkey") % 100).cast("bigint").alias("page_id"), (F.col("l_quantity") * 20).cast("int").alias("width"), (F.col("l_linenumber") * 150).cast("int").alias("height"))
+    return _signals(spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 100 < 50"))
+
+
+@query(ORACLES["page_signals"].replace(" WHERE l_orderkey % 100 < 50", ""))
+def page_signals_whole(spark, d):
+    """page_signals of all rows and pages; that query's SQL has half of them."""
+    return _signals(spark.read.parquet(f"{d}/lineitem.parquet"))
+
+
+def _signals(lineitem: DataFrame) -> DataFrame:
+    images = lineitem.select((F.col("l_orderkey") % 100).cast("bigint").alias("page_id"), (F.col("l_quantity") * 20).cast("int").alias("width"), (F.col("l_linenumber") * 150).cast("int").alias("height"))
     pages = images.select("page_id").distinct().select("page_id", (F.col("page_id") % 3 == 0).alias("has_article"), (F.col("page_id") % 2 == 0).alias("feed_markers"))
     out = M.page_signals(images, pages)
     return out.select("page_id", "image_count", F.round("dominant_area_ratio", 9).alias("dominant"), F.round("aspect_spread", 6).alias("spread"), M.page_class().alias("page_class"))

@@ -16,3 +16,9 @@ def test_repeats(spark, sf, name):
     q = registry.QUERIES[name]
     first = q(spark, sf).toPandas()
     assert len(first) and rows(first) == rows(q(spark, sf).toPandas())
+
+
+def test_page_signals_whole(spark, sf):
+    got = registry.QUERIES["page_signals_whole"](spark, sf).toPandas()
+    assert len(got) == 100
+    assert got.image_count.sum() == spark.read.parquet(f"{sf}/lineitem.parquet").count()
