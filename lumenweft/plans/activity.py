@@ -52,7 +52,7 @@ def deep_scan_rounds(spark, d):
         (F.col("user_id") % 40).cast("string").alias("scan_id"), (e % 30).cast("int").alias("round_no"), (e % 30 * 500).alias("now_ms"), ((e % 30) * 41 % 900).cast("double").alias("settle_ms"), F.lit(False).alias("at_bottom"), F.lit(False).alias("aborted"),
         F.concat(F.lit("m"), (e * 13 % 400).cast("string")).alias("identity"), (e % 5 == 0).alias("keyed"), e.alias("seq"),
     )
-    return D.scans(r, max_items=300)
+    return D.scans(r)
 
 
 def quiet_windows(spark, d):

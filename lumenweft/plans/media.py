@@ -262,8 +262,19 @@ def merge_scanned(spark, d):
 @query("""SELECT seq, time_ms FROM (SELECT *, row_number() OVER (ORDER BY time_ms DESC, r, seq) AS p FROM (SELECT seq, key, r, time_ms, row_number() OVER (PARTITION BY key ORDER BY r, CASE WHEN r = 0 THEN -time_ms END, seq) AS n
 FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS r, (seq * 7919) % 100003 AS time_ms FROM k)) WHERE n = 1) WHERE p <= 100""")
 def merge_history(spark, d):
+    return _history(spark, d, cap=100, budget=None)
+
+
+@query("""SELECT seq, time_ms FROM (SELECT *, sum(strlen('{"src":"' || src || '","time_ms":' || time_ms || '}')) OVER (ORDER BY p) AS bytes FROM (SELECT *, row_number() OVER (ORDER BY time_ms DESC, r, seq) AS p FROM (SELECT seq, src, key, r, time_ms, row_number() OVER (PARTITION BY key ORDER BY r, CASE WHEN r = 0 THEN -time_ms END, seq) AS n
+FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS r, (seq * 7919) % 100003 AS time_ms FROM k)) WHERE n = 1) WHERE p <= 500) WHERE p = 1 OR bytes <= 2000000""")
+def merge_history_whole(spark, d):
+    """merge_history at the production limits; that query's SQL has 100 entries and no bytes."""
+    return _history(spark, d)
+
+
+def _history(spark: SparkSession, d: str, **limits) -> DataFrame:
     m = items(spark, d).select("seq", "src", ((F.col("seq") * 7919) % 100003).alias("time_ms"))
-    return M.merge_entries(m.where("seq % 3 <> 0"), m.where("seq % 3 = 0"), cap=100, budget=None).select("seq", "time_ms")
+    return M.merge_entries(m.where("seq % 3 <> 0"), m.where("seq % 3 = 0"), **limits).select("seq", "time_ms")
 
 
 @query("SELECT page_id, seq FROM (SELECT page_id, seq, sum(length(src)) OVER w AS t, row_number() OVER w AS n FROM k WINDOW w AS (PARTITION BY page_id ORDER BY seq DESC)) WHERE n = 1 OR t <= 300")

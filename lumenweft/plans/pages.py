@@ -52,9 +52,17 @@ def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gallery_page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.gallery_links(_thumbs(spark, sf_dir), cap=3).select("page_id", "ord")
+
+
+def gallery_page_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """gallery_page_gate at the production limit; that query's SQL has 3 links a page."""
+    return X.gallery_links(_thumbs(spark, sf_dir)).select("page_id", "ord")
+
+
+def _thumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    a = anchors(p).join(p.select("page_id", "url"), "page_id").withColumn("thumb_width", (F.col("ord") * 40).cast("int"))
-    return X.gallery_links(a, cap=3).select("page_id", "ord")
+    return anchors(p).join(p.select("page_id", "url"), "page_id").withColumn("thumb_width", (F.col("ord") * 40).cast("int"))
 
 
 def embed_id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +85,7 @@ def resolver_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.candidates(p.withColumn("url", made)).select("page_id", "resolver", "original")
 
 
-QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate, embed_id_scan, resolver_dispatch)}
+QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate, gallery_page_gate_whole, embed_id_scan, resolver_dispatch)}
 _H = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 _O = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 _A = """a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1)) AS href,
@@ -94,3 +102,4 @@ ORACLES = {
     "embed_id_scan": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' WHEN 2 THEN 'twitch-vod' END AS site, CASE page_id % 4 WHEN 0 THEN lpad(CAST(page_id AS VARCHAR), 11, '0') WHEN 3 THEN NULL ELSE CAST(page_id AS VARCHAR) END AS id FROM pages",
     "resolver_dispatch": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'reddit' WHEN 1 THEN 'youtube' ELSE 'generic' END AS resolver, CASE page_id % 3 WHEN 0 THEN 'https://i.redd.it/' || page_id || '.png' WHEN 1 THEN 'https://i.ytimg.com/vi/' || lpad(CAST(page_id AS VARCHAR), 11, '0') || '/hqdefault.jpg' ELSE 'https://plain.example/' || page_id || '.jpg' END AS original FROM pages",
 }
+ORACLES["gallery_page_gate_whole"] = ORACLES["gallery_page_gate"].replace("n <= 3", "n <= 60")
