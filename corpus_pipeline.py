@@ -30,11 +30,17 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal normalised texts the smallest doc_id stays; of rows that repeat a doc_id and its text, one. Rows without a doc_id stay."""
     found = stored(block_dedup.exact_dedup(docs), "exact")
-    kept = without(docs, found.where("not kept and doc_id is not null").select("doc_id"))
-    repeated = found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
+    ids = found.where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("any"), F.count(F.lit(1)).alias("rows"))
+    decided = stored(ids.where("not any or rows > 1"), "decided")
+    kept = without(docs, decided.where("not any").select("doc_id"))
+    several = decided.where("any and rows > 1").select("doc_id")
+    if several.isEmpty():
         return kept
-    return without(kept, repeated).unionByName(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    # an id with several rows may have several texts, and each is kept or not by itself
+    key = ["doc_id", "text_sha256"]
+    rows = kept.join(several, "doc_id", "left_semi").select("doc_id", F.sha2(block_dedup.normalised(F.coalesce("text", F.lit(""))), 256).alias("text_sha256"), F.struct(*docs.columns).alias("row"))
+    rows = rows.join(found.where("kept").select(*key), key, "left_semi").groupBy(*key).agg(F.min("row").alias("row"))
+    return without(kept, several).unionByName(rows.select("row.*"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -407,6 +407,15 @@ def test_pipeline_odd(spark, odd, none, sf):
         at.count()
 
 
+def test_pipeline_exact_dedup_by_text(spark, sf):
+    def left(*rows):
+        docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOC)
+        return sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.exact_dedup(spark, docs, sf).collect())
+
+    assert left((3, "A"), (5, "A"), (5, "B")) == [(3, "A"), (5, "B")]
+    assert left((5, "B"), (5, "C"), (5, "B"), (7, "C"), (5, "C")) == [(5, "B"), (5, "C")]
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in glob.glob("lumenweft/**/*.py", recursive=True):
         if "/llm/" not in path:
