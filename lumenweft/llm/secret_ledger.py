@@ -55,6 +55,16 @@ EXTRA = (
     Rule("github", 1, "gh[pousr]_[A-Za-z0-9]{36,}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
 )
 RULES = BASE + EXTRA
+#: What redact() takes out: of a private key also its headers, body and END line, or what there is of a body without one.
+#: Line ends may be written as \\n, as in JSON.
+_GAP = r"[\x20\x09-\x0D\\nr]*"
+_BODY = r"[A-Za-z0-9+/=\x20\x09-\x0D\\]*"
+WHOLE_PEM = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----"
+    rf"(?:{_GAP}Proc-Type: [0-9]+,[A-Z]+{_GAP}DEK-Info: [A-Z0-9-]+,[0-9A-Fa-f]+)?"
+    rf"(?:{_BODY}-----END [A-Z ]*PRIVATE KEY-----|{_GAP}[A-Za-z0-9+/=]{{20,}}{_BODY})?"
+)
+REDACTED = tuple(Rule("pem", 2, WHOLE_PEM, r.needles) if r.name == "pem" else r for r in RULES)
 
 
 def _spans(rule: Rule, text: Column) -> Column:
@@ -172,7 +182,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 BROADCAST_BLOBS = 50_000
 
 
-def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     """docs with every secret of text replaced by a mark, and n_chars, if there, as long as the new text.
 
     Rows without a secret are as they were, null texts too.

@@ -378,6 +378,15 @@ def test_redaction(spark, odd):
     assert got == {1: ("é [SECRET], [SECRET] end", 24, 9), 2: ("clean", 5, 9), 3: (None, None, 9)}
 
 
+def test_redaction_takes_whole_keys(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA7bq+/" + "Ab9z" * 11 for _ in range(3000)) + "\nq1Q=\n"
+    head = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0A1B2C\n\n"
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [f"a {begin}\n{body}{end} b", f"a {begin}\r\n{head}{body}{end} b", f'a {begin}\n{body}', f"a {begin}\nshort=\n{end}, {begin}\n{body}{end} b", f"{begin}\n{body}".replace("\n", "\\n") + end, f"a {begin} is how a key begins"]
+    got = {r["doc_id"]: r["text"] for r in secret_ledger.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(["a [SECRET] b", "a [SECRET] b", "a [SECRET]", "a [SECRET], [SECRET] b", "[SECRET]", "a [SECRET] is how a key begins"]))
+
+
 # ---- pipeline ---------------------------------------------------------------------------------------------------
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
