@@ -302,7 +302,14 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
                 break  # few are left, or other leaders do not help
             before = crossing
         roots = components(linked(_leader_pairs(at, t, turn)))
-    roots = components(linked(_cross_pairs(placed(), t)))
+    # A document with several sets ties their classes, whose nodes may be other documents.
+    several = first.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("s1", "s2") for f in (F.min, F.max)])
+    several = stored(several.where("s1_min <> s1_max or s2_min <> s2_max").select("doc_id"), "several")
+    links = linked(_cross_pairs(placed(), t))
+    if not several.isEmpty():
+        ties = first.where("n > 0").join(sized(several), "doc_id", "left_semi").join(classes, ["s1", "s2"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
+        links = links.unionByName(ties)
+    roots = components(links)
     out = first.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes, ["s1", "s2"], "left").join(sized(roots), "node", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
 

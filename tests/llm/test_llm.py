@@ -208,6 +208,13 @@ def test_set_join_odd(odd, none):
     assert set_join.jaccard_components(none, 3, 9, 10).count() == 0
 
 
+def test_set_join_ties_the_texts_of_a_document(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(60)) for c in "xyz")
+    docs = [(3, x), (5, x), (5, y), (7, y + " end"), (8, y), (9, z), (7, z)]
+    got = set_join.jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), 3, 9, 10).collect()
+    assert len(got) == 7 and {r["component_id"] for r in got} == {3}
+
+
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_components(spark, monkeypatch, few):
     monkeypatch.setattr(components, "FEW_LINKS", few)
