@@ -13,9 +13,12 @@ DEFAULT_SHARED = "/tmp/checkpoints"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the session names none (tests on one machine) a local folder stands in.
+    Where the session names none a local folder stands in, on a local master only; on a cluster this is an error.
     """
-    return spark.conf.get("spark.checkpoint.dir", None) or DEFAULT_SHARED
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return named or DEFAULT_SHARED
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -83,3 +86,21 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def sized(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     """A stored table of some whole numbers a row, to be broadcast in a join if it has at most so many rows."""
     return F.broadcast(df) if df.count() <= most else df
+
+
+#: Parts that the rows of one key are dealt into before they meet the key's values.
+SALTS = 256
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: list[str], by: list[str]) -> DataFrame:
+    """rows joined with values (one row a key), the rows of a key being dealt into SALTS parts by the columns `by`.
+
+    A key's value is copied only to the parts that the key's rows are in, so a key that holds a third of all rows makes
+    SALTS groups, and a key of one row one. rows must give the same values each time they are read.
+    """
+    salt = "_salt"
+    while salt in rows.columns:
+        salt += "_"
+    salted = rows.withColumn(salt, F.pmod(F.xxhash64(*by, F.lit(5)), F.lit(SALTS)).cast("int"))
+    placed = salted.select(*key, salt).distinct().join(values, key)
+    return salted.join(placed, [*key, salt]).drop(salt)
