@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html as html_module
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,10 +32,12 @@ WEIGHT = (1, 2, 4)
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""([A-Za-z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-RAW = frozenset("script style textarea title noscript template xmp iframe noembed noframes".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Without their end tags these take all that follows; the others of RAW are then nothing but a tag.
+ENDLESS = frozenset("script style".split())
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
 #: Elements whose whole content is not text of the article.
-SKIPPED = frozenset("nav footer aside form button select option datalist head dialog menu svg math canvas object audio video map fieldset label input".split())
+SKIPPED = frozenset("nav footer aside noscript template form button select option datalist head dialog menu svg math canvas object audio video map fieldset label input".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: An open element of the first kind ends where one of the second begins.
@@ -102,8 +105,10 @@ def _inside(tag: str, attributes: str, boiler: bool, article: int) -> tuple[bool
 def lines(page: str) -> list[Line]:
     """The page's lines in order. Damaged markup ends what it can: an open tag or comment at the end is dropped."""
     out: list[Line] = []
-    # open elements: (tag, boilerplate inside, article level inside)
-    stack: list[tuple[str, bool, int]] = [("", False, 0)]
+    # open elements: (tag, boilerplate inside, article level inside, innermost block up to it, number of blocks up to it)
+    stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, 0, 0)]
+    places: dict[str, list[int]] = defaultdict(list)  # of each tag in the stack
+    unended: set[str] = set()  # raw elements that have no end tag behind this place
     parts: list[str] = []
     linked = links = at = 0
 
@@ -116,6 +121,10 @@ def lines(page: str) -> list[Line]:
             parts.clear()
         linked = 0
 
+    def shut(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop()[0]].pop()
+
     def add(piece: str) -> None:
         nonlocal linked
         if piece:
@@ -139,33 +148,34 @@ def lines(page: str) -> list[Line]:
                 links = 0
             if tag not in INLINE:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-            if depth:
-                flush_needed = any(t not in INLINE for t, _, _ in stack[depth:])
-                if flush_needed and tag in INLINE:
+            if places[tag]:
+                depth = places[tag][-1]
+                if tag in INLINE and stack[-1][4] > stack[depth - 1][4]:
                     continue  # an inline end tag does not end blocks
-                del stack[depth:]
+                shut(depth)
             continue
         attributes = m[3] or ""
         if tag in RAW:
-            if tag not in INLINE:
-                flush()
-            end = RAW_END[tag].search(page, at)
-            at = end.end() if end else size
+            flush()
+            end = None if tag in unended else RAW_END[tag].search(page, at)
+            if end is None:
+                unended.add(tag)
+            at = end.end() if end else size if tag in ENDLESS else at
             continue
         if tag not in INLINE:
             flush()
             while len(stack) > 1 and tag in CLOSES.get(stack[-1][0], ()):
-                stack.pop()
-            if tag in CLOSES["p"]:  # a block inside the p's inline elements ends the p, too
-                inner = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] not in INLINE), 0)
-                if inner and stack[inner][0] == "p":
-                    del stack[inner:]
+                shut(len(stack) - 1)
+            inner = stack[-1][3]
+            if tag in CLOSES["p"] and stack[inner][0] == "p":  # a block inside the p's inline elements ends the p, too
+                shut(inner)
         if tag == "a":
             links = 1  # links do not nest
         if tag in VOID or attributes.rstrip().endswith("/") and tag in INLINE:
             continue
-        stack.append((tag, *_inside(tag, attributes, *stack[-1][1:])))
+        block = tag not in INLINE
+        places[tag].append(len(stack))
+        stack.append((tag, *_inside(tag, attributes, *stack[-1][1:3]), len(stack) if block else stack[-1][3], stack[-1][4] + block))
     flush()
     return out
 
