@@ -22,14 +22,18 @@ class WordEncoder:
     """Ids of whole texts, as bytes of unsigned `width`-bit little-endian integers.
 
     glue: whether a blank belongs to the word behind it (byte-level files) or to no word (files that drop white space).
+    special: whether the string of a special token in a text is that token, as is the library's default, or plain text.
     """
 
-    def __init__(self, path: str, glue: bool, width: int = 16, entries: int = MEMO_ENTRIES) -> None:
+    def __init__(self, path: str, glue: bool, width: int = 16, entries: int = MEMO_ENTRIES, special: bool = False) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = not special
+        # Texts that may hold the string of a special token go to the library whole; what it normalises are letters.
+        signs = {re.split("[A-Za-z]", t.content)[0] for t in self.tokenizer.get_added_tokens_decoder().values()}
+        self.signs = [x for x in signs if not any(y != x and y in x for y in signs)] if special else []
         if self.tokenizer.get_vocab_size() > 1 << width:
             raise ValueError(f"{path} has ids of more than {width} bits")
         self.glue, self.size, self.entries = glue, width // 8, entries
@@ -54,6 +58,9 @@ class WordEncoder:
         whole: list[int] = []
         missing: set[str] = set()
         for i, text in enumerate(texts):
+            if any(x in text for x in self.signs):
+                whole.append(i)
+                continue
             if not self.glue:
                 first, words = "", text.replace("\n", " ").split(" ")
             elif self.odd(text):
@@ -97,13 +104,13 @@ class WordEncoder:
             memo.update(zip(some, self._ask([blank + w for w in some]), strict=True))
 
 
-_ENCODERS: dict[tuple[str, bool, int, int], WordEncoder] = {}
+_ENCODERS: dict[tuple[str, bool, int, int, bool], WordEncoder] = {}
 REMEMBERED.append(_ENCODERS)
 
 
-def encoder(path: str, glue: bool, width: int = 16, entries: int = MEMO_ENTRIES) -> WordEncoder:
+def encoder(path: str, glue: bool, width: int = 16, entries: int = MEMO_ENTRIES, special: bool = False) -> WordEncoder:
     """The worker's encoder for this file; kept between batches and tasks."""
-    key = (path, glue, width, entries)
+    key = (path, glue, width, entries, special)
     if key not in _ENCODERS:
         _ENCODERS[key] = WordEncoder(*key)
     return _ENCODERS[key]

@@ -4,7 +4,8 @@ The documents are dealt by ranges of doc_id, so file k holds the ids of the k-th
 A file is an Arrow IPC stream of record batches (ids: fixed_size_list<uint16|uint32>[length], mask:
 fixed_size_list<bool>[length]); every row is one training sequence, the last row of a file is filled up with zeros,
 and the mask tells real ids from filling. Buffers are not compressed: a memory map gives sequence i without a copy.
-Beside it lies an Arrow stream file of the documents' ids and token counts.
+Beside it lie two more Arrow stream files: the documents' ids and token counts, and where each record batch begins, so
+that a reader goes to the batch that it wants at once.
 
 Text is shuffled once (by range); ids are never shuffled. A task writes under a name of its own attempt and renames,
 so a lost or repeated task leaves a whole file. The driver gets one row for each file, never one for each document.
@@ -42,7 +43,8 @@ class SequenceWriter:
         self.length, self.kind, self.rows = length, kind, rows
         self.item = pa.uint16() if kind == "<u2" else pa.uint32()
         self.schema = pa.schema([("ids", pa.list_(self.item, length)), ("mask", pa.list_(pa.bool_(), length))])
-        self.out = pa.ipc.new_stream(sink, self.schema)
+        self.sink, self.out = sink, pa.ipc.new_stream(sink, self.schema)
+        self.begins: list[int] = []  # where each record batch is in the file
         self.parts: list[bytes] = []
         self.held = 0
         self.size = int(kind[-1])
@@ -56,7 +58,7 @@ class SequenceWriter:
     def _flush(self, last: bool) -> None:
         import numpy as np
 
-        data, step = b"".join(self.parts), self.length * self.size
+        data, step = b"".join(self.parts), self.rows * self.length * self.size  # whole batches, so that their rows can be counted
         whole = len(data) // step * step
         rest = data[whole:]
         data, self.parts, self.held = (data, [], 0) if last else (data[:whole], [rest], len(rest))
@@ -70,6 +72,7 @@ class SequenceWriter:
             lists = lambda x: pa.FixedSizeListArray.from_arrays(x, self.length)
             batch = pa.RecordBatch.from_arrays([lists(pa.array(ids, self.item)), lists(pa.array(mask))], schema=self.schema)
             for i in range(0, len(batch), self.rows):
+                self.begins.append(self.sink.tell() or self.schema.serialize().size)  # the schema is written with the first batch
                 self.out.write_batch(batch.slice(i, self.rows))
 
     def close(self) -> None:
@@ -77,11 +80,11 @@ class SequenceWriter:
         self.out.close()
 
 
-def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, glue: bool = True, width: int = 16, length: int = SEQUENCE_LENGTH, doc_id: str = "doc_id", text: str = "text") -> list[tuple[int, int, int]]:
+def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, glue: bool = True, width: int = 16, length: int = SEQUENCE_LENGTH, doc_id: str = "doc_id", text: str = "text", special: bool = False) -> list[tuple[int, int, int]]:
     """Writes every whole text's ids and end_id after them, in ascending doc_id order. Returns (file number, documents, ids) by file.
 
     Null text: only end_id. Null doc_id: comes first. Repeated rows: each is written, one after the other. An empty
-    table gives no file. width: bits of an id in the files, 16 or 32; 16 must hold the whole vocabulary.
+    table gives no file. width: bits of an id in the files, 16 or 32; 16 must hold the whole vocabulary. special: as in WordEncoder.
     """
     small_batches(docs.sparkSession)
     rows = text_of(docs, doc_id, text)
@@ -94,7 +97,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, glue: bool
         part, attempt = task.partitionId(), task.taskAttemptId()
         kind = f"<u{width // 8}"
         end = end_id.to_bytes(width // 8, "little")
-        enc = encoder(tokenizer, glue, width)
+        enc = encoder(tokenizer, glue, width, special=special)
         fs, base = _open(folder)
         writer = index = None
         n_docs = n_ids = 0
@@ -103,7 +106,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, glue: bool
                 continue
             if writer is None:
                 fs.create_dir(base, recursive=True)
-                sinks = [fs.open_output_stream(f"{base}/_{part}-{attempt}{x}") for x in (".ids", ".docs")]
+                sinks = [fs.open_output_stream(f"{base}/_{part}-{attempt}{x}") for x in (".ids", ".docs", ".begins")]
                 writer = SequenceWriter(sinks[0], length, kind)
                 index = pa.ipc.new_stream(sinks[1], pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64())]))
             ids = [x + end for x in enc.encode(batch.column(1).to_pylist())]
@@ -115,7 +118,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int, glue: bool
         if writer is not None:
             writer.close()
             index.close()
-            for sink, x in zip(sinks, ("ids", "docs"), strict=True):
+            with pa.ipc.new_stream(sinks[2], pa.schema([("begin", pa.int64())])) as out:
+                out.write_batch(pa.RecordBatch.from_arrays([pa.array(writer.begins, pa.int64())], ["begin"]))
+            for sink, x in zip(sinks, ("ids", "docs", "begins"), strict=True):
                 sink.close()
                 fs.move(f"{base}/_{part}-{attempt}.{x}", f"{base}/part-{part:06d}.{x}.arrow")
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n_docs], pa.int64()), pa.array([n_ids], pa.int64())], ["part", "n_docs", "n_ids"])
@@ -131,16 +136,38 @@ def read_sequences(folder: str, part: int) -> Iterator[pa.RecordBatch]:
         yield from r
 
 
-def sequence(folder: str, part: int, i: int, rows: int = BATCH_SEQUENCES) -> tuple:
-    """(ids, mask) of the i-th sequence of a file, as numpy arrays; the ids are a view of the mapped file."""
-    import numpy as np
+class SequenceFile:
+    """One file, open for random access: no batch but the one that holds a sequence is read."""
+
+    def __init__(self, folder: str, part: int, rows: int = BATCH_SEQUENCES) -> None:
+        fs, base = _open(folder)
+        path, self.rows = f"{base}/part-{part:06d}", rows
+        with fs.open_input_file(f"{path}.begins.arrow") as f, pa.ipc.open_stream(f) as r:
+            self.begins = r.read_all().column(0).to_pylist()
+        self.file = pa.memory_map(f"{path}.ids.arrow") if fs.type_name == "local" else fs.open_input_file(f"{path}.ids.arrow")
+        self.schema = pa.ipc.read_schema(self.file)
+
+    def batch(self, k: int) -> pa.RecordBatch:
+        self.file.seek(self.begins[k])
+        return pa.ipc.read_record_batch(pa.ipc.read_message(self.file), self.schema)
+
+    def __getitem__(self, i: int) -> tuple:
+        """(ids, mask) of the i-th sequence, both views of the mapped file: a numpy array and an Arrow array of bits."""
+        import numpy as np
+
+        if not 0 <= i // self.rows < len(self.begins):
+            raise IndexError(i)
+        batch = self.batch(i // self.rows)
+        at = i % self.rows
+        if at >= len(batch):
+            raise IndexError(i)
+        n = batch.column(0).type.list_size
+        return np.asarray(batch.column(0).values)[at * n : (at + 1) * n], batch.column(1).values.slice(at * n, n)
 
-    for k, batch in enumerate(read_sequences(folder, part)):
-        if k == i // rows:
-            ids, mask = batch.column(0), batch.column(1)
-            n, at = ids.type.list_size, i % rows
-            return np.asarray(ids.values)[at * n : (at + 1) * n], mask.values.to_numpy(zero_copy_only=False)[at * n : (at + 1) * n]
-    raise IndexError(i)
+
+def sequence(folder: str, part: int, i: int, rows: int = BATCH_SEQUENCES) -> tuple:
+    """(ids, mask) of the i-th sequence of a file, without a copy on a local file system."""
+    return SequenceFile(folder, part, rows)[i]
 
 
 def _read_documents(folder: str, part: int) -> Iterator[tuple[int | None, int, bytes]]:
@@ -197,7 +224,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
     folder = scratch(spark, "token-files")
-    files = write(table(spark, sf_dir, "documents"), folder, P.path("byte_bpe_50k.json"), end_id=2)
+    files = write(table(spark, sf_dir, "documents"), folder, P.path("byte_bpe_50k.json"), end_id=2, special=True)
     return read(spark, folder, files)
 
 
