@@ -181,10 +181,10 @@ def pack_histogram(spark: SparkSession, counts: Counter, capacity: int = CAPACIT
 
 
 # ---- documents --------------------------------------------------------------------------------------------------
-def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", entries: int = MEMO_ENTRIES) -> DataFrame:
+def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", entries: int = MEMO_ENTRIES, special: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every whole text's ids and end_id, cut only where longer than capacity.
 
-    Also part and nth: the piece is the nth of its length in its partition; so the table is stored before it is used.
+    special: as in WordEncoder. Also part and nth: the piece is the nth of its length in its partition; so the table is stored before it is used.
     """
     small_batches(docs.sparkSession)
 
@@ -192,7 +192,7 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        enc, seen = encoder(tokenizer, False, entries=entries), Counter()
+        enc, seen = encoder(tokenizer, False, entries=entries, special=special), Counter()
         end = end_id.to_bytes(2, "little")
         for batch in batches:
             rows: list[tuple] = []
@@ -212,14 +212,14 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY,
     return stored(text_of(docs, doc_id, text).mapInArrow(run, "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, nth bigint"), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", entries: int = MEMO_ENTRIES, **how) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", entries: int = MEMO_ENTRIES, special: bool = False, **how) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
     Null or empty text: a piece with only end_id. Null doc_id is carried. Rows that repeat a doc_id are packed each.
     Sequences are gapless from 0. Empty table: no rows.
     """
     spark = docs.sparkSession
-    pieces = cut(docs, tokenizer, end_id, capacity, doc_id, text, entries)
+    pieces = cut(docs, tokenizer, end_id, capacity, doc_id, text, entries, special)
     by_part = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     firsts = by_part.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
@@ -254,7 +254,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
 def op6_island_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers as P
 
-    return pack(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"))
+    return pack(table(spark, sf_dir, "documents"), P.path("word_bpe_49k.json"), special=True)
 
 
 QUERIES = {"op6_island_packing": op6_island_packing}
