@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweft.llm._common import release, small_batches, sized, stored, table, text_of
+from lumenweft.llm._common import release, small_batches, sized, spread_join, stored, table, text_of
 from lumenweft.llm.components import components
 
 #: Size of the table of common shingles (8 MB), and from how many sets on a shingle may be in it.
@@ -39,6 +39,8 @@ COMMON_FROM = 4
 STRETCH = 1_000_000
 #: Entries of a block of an index list.
 BLOCK_ENTRIES = 256
+#: Blocks of a list that one task compares with all of its blocks.
+LIST_BLOCKS = 64
 SKETCH = 64
 #: Up to so many pairs of blocks they are broadcast to the entries.
 BROADCAST_BLOCKS = 100_000
@@ -242,11 +244,16 @@ def _cross_pairs(index: DataFrame, t: Threshold) -> DataFrame:
     blocks = rows.groupBy("shingle", "block").agg(
         F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
-    one, two = (blocks.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c != "shingle"]) for s in "ab")
+    # A long list's blocks are dealt into parts on one side and meet each part on the other.
+    share = blocks.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCKS).cast("int").alias("shares"))
+    blocks = stored(blocks.join(share, "shingle"), "block-list")
+    one, two = (blocks.select("shingle", "shares", *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c not in ("shingle", "shares")]) for s in "ab")
+    one = one.withColumn("share", F.pmod(F.xxhash64("block_a"), F.col("shares")).cast("int")).drop("shares")
+    two = two.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
     near = (t.den * F.col("n_hi_a") >= t.num * F.col("n_lo_b")) & (t.den * F.col("n_hi_b") >= t.num * F.col("n_lo_a"))
     room = t.may_share(F.least("rest_a", "rest_b"), F.col("n_lo_a"), F.col("n_lo_b"))
     other = ~((F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")))
-    met = one.join(two, "shingle").where((F.col("block_a") <= F.col("block_b")) & near & room & other).select("shingle", "block_a", "block_b")
+    met = one.join(two, ["shingle", "share"]).where((F.col("block_a") <= F.col("block_b")) & near & room & other).select("shingle", "block_a", "block_b")
     left, right = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "shingle"]) for s in "ab")
     met = stored(met, "met")
     pairs = left.join(sized(met, BROADCAST_BLOCKS), ["shingle", "block_a"]).join(right, ["shingle", "block_b"])
@@ -310,8 +317,10 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
         ties = first.where("n > 0").join(sized(several), "doc_id", "left_semi").join(classes, ["s1", "s2"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
         links = links.unionByName(ties)
     roots = components(links)
-    out = first.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").join(classes, ["s1", "s2"], "left").join(sized(roots), "node", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "node", "doc_id").alias("component_id"))
+    decided = classes.join(sized(roots), "node", "left").select("s1", "s2", F.coalesce("root", "node").alias("own"))
+    some = first.select("doc_id", F.col("n").alias("n_shingles"), "s1", "s2").where("n > 0")
+    out = spread_join(some, decided, ["s1", "s2"], ["doc_id"]).select("doc_id", "n_shingles", F.coalesce("own", "doc_id").alias("component_id"))
+    return out.unionByName(first.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op3_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -319,4 +328,14 @@ def op3_set_relation_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op3_set_relation_join": op3_set_relation_join}
-ORACLES: dict[str, str] = {}
+#: For small tables: every pair of documents that share a shingle is counted there, and every reachable pair listed.
+ORACLES = {
+    "op3_set_relation_join": r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+l AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(x.n) + any_value(y.n) - count(*))),
+r AS (SELECT doc_id, doc_id AS reached FROM documents UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.reached) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+}
