@@ -2,12 +2,14 @@
 
 One view is the text (counts of character classes, repetition, word and line shapes), the other the metadata (language,
 source, stated length). A logistic model is fitted on each from the labelled documents. Over some rounds each model
-labels a pool of unlabelled documents and hands those it is most sure of to the other one as pseudo-labels of half
+scores every unlabelled document and hands the ones that it is surest of to the other model as pseudo-labels of half
 weight. Then each view's scores are calibrated on labelled documents that no round has seen, and a logistic model over
-both calibrated logits combines the views. Every document is scored in place, without a shuffle.
+both calibrated logits combines the views.
 
-Fitting takes bounded samples (LABELLED and POOL documents, by a hash of doc_id); they come to the driver as features,
-some dozens of numbers each. Everything else covers all rows.
+The text is read once: its features, some dozens of numbers a document, are stored in the shared folder, and rounds and
+scores work on these. A round's surest documents are the best of each task's best, so no row moves but these. Fitting
+takes a bounded sample of the labelled documents (LABELLED, by a hash of doc_id) and GIVEN pseudo-labels a view and
+round; everything else covers all rows.
 """
 
 from __future__ import annotations
@@ -16,20 +18,22 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweft.llm._common import small_batches, table
+from lumenweft.llm._common import BROADCAST_IDS, small_batches, stored, table
 
+#: At most about so many labelled documents are fitted on.
 LABELLED = 20_000
-POOL = 20_000
-ROUNDS = 4
-#: A pseudo-label must be at least so sure, and at most this share of the pool goes over in a round.
+#: Pseudo-labels that a view gives the other in a round, in the labels' proportion, and how sure each must be.
+GIVEN = 2_000
 SURE = 0.98
-SHARE = 0.1
+ROUNDS = 4
 KEEP_FROM = 0.5
 SOURCE_BUCKETS = 64
 LANG_BUCKETS = 16
@@ -44,7 +48,7 @@ SENTENCE = re.compile(r"[.!?\n]+")
 
 def text_features(text: str | None) -> np.ndarray:
     """What the text view sees. Null and empty: zeros with a mark."""
-    out = np.zeros(TEXT_FEATURES)
+    out = np.zeros(TEXT_FEATURES, np.float32)  # as they are stored
     words = (text or "").split()
     if not words:
         out[0] = 1
@@ -138,8 +142,74 @@ class CoTrained:
         return sigmoid(a), sigmoid(b), sigmoid(self.combined.logit(np.stack([a, b], 1)))
 
 
-def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np.ndarray, np.ndarray], rounds: int = ROUNDS) -> CoTrained | None:
-    """None if the labels do not hold both classes. Every fourth labelled row, by class, is kept for calibration."""
+# ---- learning ---------------------------------------------------------------------------------------------------
+FEATURES = "doc_id bigint, lang string, source string, n_chars double, x array<float>"
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, source, n_chars, x (the text view) of every row, stored; and twin, a hash of all but doc_id."""
+    small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [text_features(t) for t in b.column(4).to_pylist()]
+            flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.float32), pa.float32())
+            x = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * TEXT_FEATURES), flat)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), x], ["doc_id", "lang", "source", "n_chars", "x"])
+
+    return stored(rows.mapInArrow(run, FEATURES).withColumn("twin", F.xxhash64("lang", "source", "n_chars", "x")), "features")
+
+
+def _views(f: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Both views of some rows of features()."""
+    if not len(f):
+        return np.zeros((0, TEXT_FEATURES)), np.zeros((0, 4 + LANG_BUCKETS + SOURCE_BUCKETS))
+    meta = [meta_features(*r) for r in zip(*(f[c].astype(object).where(f[c].notna(), None) for c in ("lang", "source", "n_chars")), strict=True)]
+    return np.stack(f["x"].to_list()).astype(np.float64), np.stack(meta)
+
+
+def surest(pool: DataFrame, models: tuple[Logistic, Logistic], taken: set[int], amounts: tuple[int, int]) -> pd.DataFrame:
+    """view, c, twin, sure, lang, source, n_chars, x: for each view and class the `amounts` rows of the pool that its
+    model is surest of, at least SURE; ties go to the smaller twin. Twins, whose views are equal, count as one; those
+    taken go. Every row of the pool is scored; a task gives back no more than is asked for.
+    """
+    shared = pool.sparkSession.sparkContext.broadcast(taken)
+
+    def best(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["view", "c", "sure", "twin"], ascending=[True, True, False, True], kind="stable").drop_duplicates(["view", "c", "twin"])
+        nth = f.groupby(["view", "c"]).cumcount()
+        return f[nth < np.where(f["c"] == 1, amounts[1], amounts[0])]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+        gone = np.fromiter(shared.value, np.int64)
+        for f in batches:
+            f = f[~f["twin"].isin(gone)]
+            if not len(f):
+                continue
+            for v, (model, x) in enumerate(zip(models, _views(f), strict=True)):
+                p = sigmoid(model.logit(x))
+                f2 = f.assign(view=v, c=(p >= 0.5).astype(int), sure=np.maximum(p, 1 - p))
+                held.append(f2[f2["sure"] >= SURE])
+            if sum(map(len, held)) > 4 * sum(amounts):
+                held = [best(pd.concat(held))]
+        if held:
+            yield best(pd.concat(held))[["view", "c", "twin", "sure", "lang", "source", "n_chars", "x"]]
+
+    found = pool.mapInPandas(run, "view int, c int, twin bigint, sure double, lang string, source string, n_chars double, x array<float>")
+    # over all tasks: an ordered limit, which takes the best of each task's best
+    tops = [found.where((F.col("view") == v) & (F.col("c") == c)).dropDuplicates(["twin"]).orderBy(F.desc("sure"), "twin").limit(amounts[c]) for v in (0, 1) for c in (0, 1)]
+    return reduce(DataFrame.unionByName, tops).toPandas()
+
+
+def co_train(known: pd.DataFrame, pool: DataFrame, rounds: int = ROUNDS, given: int = GIVEN) -> CoTrained | None:
+    """known: labelled rows of features() with y; pool: the unlabelled ones. None if the labels do not hold both classes.
+
+    Every fourth labelled row, by class, is kept for calibration and is in no round.
+    """
+    known = known.sort_values(["doc_id", "twin"], kind="stable")
+    y, views = known["y"].to_numpy(), _views(known)
     if len(np.unique(y)) < 2:
         return None
     held = np.zeros(len(y), bool)
@@ -147,69 +217,52 @@ def co_train(views: tuple[np.ndarray, np.ndarray], y: np.ndarray, pool: tuple[np
         held[np.flatnonzero(y == c)[3::4]] = True
     fit = ~held
     sets = [[(views[v][fit], y[fit], np.ones(fit.sum()))] for v in (0, 1)]
-    left = np.ones(len(pool[0]), bool)
+    taken: set[int] = set()
+    amounts = tuple(max(1, round(given * float((y == c).mean()))) for c in (0, 1))
 
     def model(v: int) -> Logistic:
         xs, ys, ws = (np.concatenate(c) for c in zip(*sets[v], strict=True))
         return Logistic.fit(xs, ys, ws)
 
-    models = [model(0), model(1)]
+    models = (model(0), model(1))
     for _ in range(rounds):
-        given = [[], []]
-        for v in (0, 1):
-            at = np.flatnonzero(left)
-            if not len(at):
-                break
-            p = sigmoid(models[v].logit(pool[v][at]))
-            sure = np.maximum(p, 1 - p)
-            for c in (0, 1):
-                mine = np.flatnonzero((p >= 0.5) == bool(c))
-                mine = mine[sure[mine] >= SURE]
-                most = int(SHARE * len(pool[0]) * max((y == c).mean(), 1e-3)) + 1  # in the labels' proportion
-                best = mine[np.argsort(-sure[mine], kind="stable")][:most]
-                given[1 - v].append((at[best], np.full(len(best), c)))
-        if not any(len(i) for g in given for i, _ in g):
+        got = surest(pool, models, taken, amounts)
+        if not len(got):
             break
         for v in (0, 1):
-            for i, c in given[v]:
-                sets[v].append((pool[v][i], c, np.full(len(i), 0.5)))
-                left[i] = False
-        models = [model(0), model(1)]
-    known = held if len(np.unique(y[held])) == 2 else fit
-    calibrated = tuple(Logistic.fit(models[v].logit(views[v][known])[:, None], y[known]) for v in (0, 1))
-    both = np.stack([calibrated[v].logit(models[v].logit(views[v][known])[:, None]) for v in (0, 1)], 1)
-    return CoTrained(models[0], models[1], calibrated, Logistic.fit(both, y[known]))
-
-
-def _features(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, pd.Series]:
-    small_batches(rows.sparkSession)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "y": b["y"], "x": [text_features(t) for t in b["text"]], "m": [meta_features(*r) for r in zip(*(b[c].where(b[c].notna(), None) for c in ("lang", "source", "n_chars")), strict=True)]})
-
-    got = rows.mapInPandas(run, "doc_id bigint, y double, x array<double>, m array<double>").toPandas().sort_values("doc_id", kind="stable")
-    if not len(got):
-        return np.zeros((0, TEXT_FEATURES)), np.zeros((0, 4 + LANG_BUCKETS + SOURCE_BUCKETS)), got["y"]
-    return np.stack(got["x"].to_list()), np.stack(got["m"].to_list()), got["y"]
-
-
-def _sampled(rows: DataFrame, most: int) -> DataFrame:
-    n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * most / n))
-
+            mine = got[got["view"] == v].sort_values(["c", "sure", "twin"], ascending=[True, False, True])
+            if len(mine):
+                sets[1 - v].append((_views(mine)[1 - v], mine["c"].to_numpy(np.float64), np.full(len(mine), 0.5)))
+        taken.update(got["twin"].tolist())
+        models = (model(0), model(1))
+    calm = held if len(np.unique(y[held])) == 2 else fit
+    calibrated = tuple(Logistic.fit(models[v].logit(views[v][calm])[:, None], y[calm]) for v in (0, 1))
+    both = np.stack([calibrated[v].logit(models[v].logit(views[v][calm])[:, None]) for v in (0, 1)], 1)
+    return CoTrained(*models, calibrated, Logistic.fit(both, y[calm]))
+
+
+def train(found: DataFrame, labels: DataFrame, labelled: int = LABELLED, given: int = GIVEN, rounds: int = ROUNDS) -> CoTrained | None:
+    """Learns from features() and labels (doc_id, quality 0 or 1).
+
+    Labels that are null or neither 0 nor 1 go; where a document has several, the lowest counts. Labelled documents,
+    those beyond the sample too, are not in the pool of the rounds; documents without a doc_id are.
+    """
+    known = stored(labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("double").alias("y")), "known")
+    n = known.count()
+    some = known if n <= labelled else known.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 20)) < int((1 << 20) * labelled / n))
+    # about `labelled` rows at most on both sides: of rows that repeat a doc_id, one is learned from
+    rows = found.join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min(F.struct("twin", "lang", "source", "n_chars", "x", "y")).alias("r")).select("doc_id", "r.*").toPandas()
+    ids = known.select("doc_id")
+    pool = found.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, "doc_id", "left_anti")
+    return co_train(rows, stored(pool, "pool"), rounds, given)
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained | None:
-    """Learns from docs (doc_id, text, lang, source, n_chars) and labels (doc_id, quality 0 or 1).
 
-    Labels that are null or neither 0 nor 1 go; where a document has several, the lowest counts.
-    """
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"))
-    known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min("quality").cast("double").alias("y"))
-    some = _sampled(known, labelled)  # about `labelled` rows at most, so that it can be sent to all executors
-    x, m, y = _features(rows.join(F.broadcast(some), "doc_id"))
-    px, pm, _ = _features(_sampled(rows.where("doc_id is not null"), pool).withColumn("y", F.lit(None).cast("double")))
-    return co_train((x, m), y.to_numpy(), (px, pm), rounds)
+# ---- scores -----------------------------------------------------------------------------------------------------
+def _scores(model: CoTrained | None, x: np.ndarray, m: np.ndarray) -> pd.DataFrame:
+    names = ["text_score", "meta_score", "score"]
+    if model is None or not len(x):
+        return pd.DataFrame(np.ones((len(x), 3)), columns=names)
+    return pd.DataFrame(dict(zip(names, model.scores(x, m), strict=True)))
 
 
 def scored(model: CoTrained | None, text: Column, lang: Column, source: Column, n_chars: Column) -> Column:
@@ -217,11 +270,8 @@ def scored(model: CoTrained | None, text: Column, lang: Column, source: Column,
 
     @F.pandas_udf("text_score double, meta_score double, score double")
     def run(t: pd.Series, l: pd.Series, s: pd.Series, n: pd.Series) -> pd.DataFrame:
-        if model is None or not len(t):
-            return pd.DataFrame(np.ones((len(t), 3)), columns=["text_score", "meta_score", "score"])
-        x = np.stack([text_features(v) for v in t])
-        m = np.stack([meta_features(*v) for v in zip(*(c.where(c.notna(), None) for c in (l, s, n)), strict=True)])
-        return pd.DataFrame(dict(zip(("text_score", "meta_score", "score"), model.scores(x, m), strict=True)))
+        x = pd.Series([text_features(v) for v in t], dtype=object)
+        return _scores(model, *_views(pd.DataFrame({"x": x, "lang": l.to_numpy(), "source": s.to_numpy(), "n_chars": n.to_numpy()})))
 
     return run(text, lang.cast("string"), source.cast("string"), n_chars.cast("double"))
 
@@ -232,9 +282,14 @@ def classify(docs: DataFrame, labels: DataFrame, keep_from: float = KEEP_FROM, *
     Null or empty text is scored as such; null metadata has marks of its own; null doc_id is carried and scored. Without
     labels of both classes there is nothing to tell apart: every score is 1 and all stay. Empty table: no rows.
     """
-    small_batches(docs.sparkSession)
-    q = scored(train(docs, labels, **how), *map(F.col, ("text", "lang", "source", "n_chars")))
-    return docs.select(F.col("doc_id"), q.alias("q")).select("doc_id", "q.*", (F.col("q.score") >= keep_from).alias("kept"))
+    found = features(docs)
+    model = train(found, labels, **how)
+
+    @F.pandas_udf("text_score double, meta_score double, score double")
+    def run(x: pd.Series, l: pd.Series, s: pd.Series, n: pd.Series) -> pd.DataFrame:
+        return _scores(model, *_views(pd.DataFrame({"x": x, "lang": l, "source": s, "n_chars": n})))
+
+    return found.select("doc_id", run("x", "lang", "source", "n_chars").alias("q")).select("doc_id", "q.*", (F.col("q.score") >= keep_from).alias("kept"))
 
 
 def op4_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
