@@ -8,7 +8,8 @@ an identity: blocks are told apart by their content, not by a hash (a 64-bit has
 share one are told apart by content).
 
 Copies are merged before the shuffle (partial aggregation), so a block that a third of all rows hold moves once a task.
-A number goes back to the rows that hold it by a join on the 8-byte hash, in which AQE splits hot keys.
+A number goes back to the rows that hold it by a join on the 8-byte hash, and a group's decision by a join on its
+identity; in both the rows of one key are dealt into parts first, so no key's rows land in one task.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweft.llm._common import stored, table, text_of
+from lumenweft.llm._common import spread_join, stored, table, text_of
 
 BLOCK_CHARS = 4096
 SPACES = r"[\x20\x09-\x0D]+"
@@ -26,11 +27,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACES, " ")
 
 
-def _named(rows: DataFrame, content: list[str], tag: str) -> DataFrame:
+def _named(rows: DataFrame, content: list[str], tag: str, by: list[str]) -> DataFrame:
     """rows (with h, a hash of the content columns) plus name: an integer for each distinct content.
 
     A hash with one content takes the place of the content in the join; the few hashes with several contents, if any,
-    are joined by content as well.
+    are joined by content as well. by: columns that deal the rows of a hash into parts.
     """
     value = content[0] if len(content) == 1 else F.struct(*content)
     by_hash = rows.groupBy("h").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -38,7 +39,7 @@ def _named(rows: DataFrame, content: list[str], tag: str) -> DataFrame:
     numbered = by_hash.select("h", (F.col("lo") != F.col("hi")).alias("mixed")).sortWithinPartitions("h").withColumn("name", F.monotonically_increasing_id())
     names = stored(numbered, tag)
     mixed = names.where("mixed").select("h")
-    out = rows.join(names, "h", "left")
+    out = spread_join(rows, names, ["h"], by)
     if mixed.isEmpty():
         return out.drop("mixed")
     # Several contents under one hash: sort those contents and number them below every other name.
@@ -56,7 +57,7 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     rows = blocks.select("doc_id", "row", "text_sha256", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
     rows = rows.withColumn("text_sha256", F.when(F.col("pos") == 0, F.col("text_sha256")))
     rows = rows.withColumn("h", F.xxhash64("block"))
-    named = stored(_named(rows, ["block"], "blocks").select("doc_id", "row", "n", "pos", "text_sha256", "name"), "level")
+    named = stored(_named(rows, ["block"], "blocks", ["doc_id", "pos"]).select("doc_id", "row", "n", "pos", "text_sha256", "name"), "level")
     level, done, at = 0, [], named
     while True:
         done.append(at.where("n = 1").select("row", F.lit(level).alias("levels"), "name"))
@@ -69,7 +70,7 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
         )
         pairs = pairs.select("row", "n", "pos", "a", F.coalesce("b0", "a").alias("b"), (F.col("c") == 2).cast("int").alias("c"))
         pairs = pairs.withColumn("h", F.xxhash64(F.lit(level), "a", "b", "c"))
-        at = stored(_named(pairs, ["a", "b", "c"], "pairs").select("row", "n", "pos", "name"), "level")
+        at = stored(_named(pairs, ["a", "b", "c"], "pairs", ["row", "pos"]).select("row", "n", "pos", "name"), "level")
     ids = done[0]
     for d in done[1:]:
         ids = ids.unionByName(d)
@@ -85,7 +86,7 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", blo
     """
     ids = stored(identities(docs, doc_id, text, block_chars), "identity")
     groups = ids.groupBy("levels", "name").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    return ids.join(groups, ["levels", "name"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
+    return spread_join(ids, groups, ["levels", "name"], ["doc_id", "row"]).select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False)).alias("kept"), "text_sha256")
 
 
 def op8_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
