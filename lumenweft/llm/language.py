@@ -160,7 +160,8 @@ class Model:
 
     def paths(self, texts: list[np.ndarray]) -> list[np.ndarray]:
         """For each text the language of each of its words. Viterbi runs over all texts of the batch at once, word by word."""
-        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(texts)
+        kind = np.int16 if len(self.languages) <= np.iinfo(np.int16).max else np.int32
+        out: list[np.ndarray] = [np.zeros(0, kind)] * len(texts)
         mixed = []
         for i, x in enumerate(texts):
             if len(x):
@@ -168,7 +169,7 @@ class Model:
                 if k is None:
                     mixed.append(i)
                 else:
-                    out[i] = np.full(len(x), k, np.int8)
+                    out[i] = np.full(len(x), k, kind)
         order = sorted(mixed, key=lambda i: -len(texts[i]))
         if not order:
             return out
@@ -180,8 +181,8 @@ class Model:
         active = np.searchsorted(-n_words, -np.arange(1, steps + 1), side="right")  # texts with a word t
         rows = begins[:-1]
         best = scores[rows].astype(np.float64)
-        back = np.zeros((int(begins[-1]), count), np.int8)
-        own = np.arange(count, dtype=np.int8)
+        back = np.zeros((int(begins[-1]), count), kind)
+        own = np.arange(count, dtype=kind)
         for t in range(1, steps):
             a = active[t]
             now = best[:a]
@@ -190,8 +191,8 @@ class Model:
             stay = now >= leave[:, None]
             back[rows[:a] + t] = np.where(stay, own, top[:, None])
             best[:a] = np.where(stay, now, leave[:, None]) + scores[rows[:a] + t]
-        path = np.zeros(int(begins[-1]), np.int8)
-        state = best.argmax(1).astype(np.int8)
+        path = np.zeros(int(begins[-1]), kind)
+        state = best.argmax(1).astype(kind)
         for t in range(steps - 1, -1, -1):
             a = active[t]
             path[rows[:a] + t] = state[:a]
