@@ -5,8 +5,11 @@ scanned, the rule versions that were applied and the spans that they found. A sc
 and of the known ones only the rules whose version is new; each blob is scanned once however many paths hold it. The
 findings then go back to all paths by the blob's address.
 
-Copies meet in a partial aggregation, so a blob that many paths share moves once a task; the join back is one in
-which AQE splits hot keys. Regular expressions run only over texts that a cheap test lets through.
+With a ledger, addresses meet first: the text of a blob whose pairs are all known never moves. Copies meet in a
+partial aggregation, so a blob that many paths share moves once a task; in the join back the rows of a common blob are
+dealt into parts. Regular expressions run only over texts that a cheap test lets through. The work on a text grows in
+proportion to it, however many matches it has: matches are rows, their places a running sum, and redaction works on
+pieces of a fixed length.
 """
 
 from __future__ import annotations
@@ -14,11 +17,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
-from lumenweft.llm._common import stored, table, text_of
+from lumenweft.llm._common import sized, spread_join, stored, table, text_of
 
 SPAN = "array<struct<rule:string,version:int,start:int,end:int>>"
+LEDGER = f"blob string, rules array<string>, spans {SPAN}"
+#: Up to so many blobs (their addresses and spans) are broadcast to the texts; beyond, both meet in a shuffled join.
+BROADCAST_BLOBS = 50_000
+#: Characters of a piece of a text that is redacted.
+PIECE = 1024
 
 
 @dataclass(frozen=True)
@@ -67,26 +77,14 @@ WHOLE_PEM = (
 REDACTED = tuple(Rule("pem", 2, WHOLE_PEM, r.needles) if r.name == "pem" else r for r in RULES)
 
 
-def _spans(rule: Rule, text: Column) -> Column:
-    """The rule's spans in text: the pieces between matches and the matches, in turn, make up the text."""
+def _matches(rule: Rule, number: int, text: Column) -> Column:
+    """The rule's matches in text, in order: how far each begins behind the end of the one before, its length, and
+    whether it counts. The pieces between matches and the matches, in turn, make up the text."""
     pattern = F.lit(rule.pattern)
     pieces, found = F.split(text, rule.pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0))
     values = F.regexp_extract_all(text, pattern, F.lit(rule.value_group)) if rule.min_value else found
-    steps = F.arrays_zip(
-        F.transform(F.slice(pieces, F.lit(1), F.size(found)), lambda x: F.length(x)).alias("gap"),
-        F.transform(found, lambda x: F.length(x)).alias("size"),
-        F.transform(values, lambda x: F.length(x) >= rule.min_value).alias("ok"),
-    )
-    empty = F.lit(None).cast(SPAN)
-    start = F.struct(F.lit(0).alias("at"), F.coalesce(empty, F.array().cast(SPAN)).alias("spans"))
-
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + x["size"]
-        one = F.array(F.struct(F.lit(rule.name).alias("rule"), F.lit(rule.version).alias("version"), begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
-
-    return F.aggregate(steps, start, step, lambda acc: acc["spans"])
+    zipped = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("gap"), found.alias("match"), values.alias("value"))
+    return F.transform(zipped, lambda x: F.struct(F.lit(number).alias("rule"), F.length(x["gap"]).alias("gap"), F.length(x["match"]).alias("size"), (F.length(x["value"]) >= rule.min_value).alias("ok")))
 
 
 def _gate(rule: Rule, text: Column, lowered: Column) -> Column:
@@ -105,28 +103,37 @@ def _label(rule: Rule) -> str:
 
 def scan_blobs(blobs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blobs (blob, text, seen: rule versions applied before) -> ledger rows (blob, rules, spans) for what is new."""
-    none = F.array().cast(SPAN)
     lowered = F.lower("text")
-    out = blobs.select("blob", "text", "seen", *[(~F.array_contains("seen", _label(r)) & _gate(r, F.col("text"), lowered)).alias(f"go_{r.name}") for r in rules])
-    per_rule = [F.when(F.col(f"go_{r.name}"), _spans(r, F.col("text"))).otherwise(none) for r in rules]
-    return out.select("blob", F.array_except(F.array(*[F.lit(_label(r)) for r in rules]), "seen").alias("rules"), F.concat(*per_rule).alias("spans"))
+    fresh = [~F.array_contains("seen", _label(r)) for r in rules]
+    mask = sum((F.when(f, 1 << i).otherwise(0) for i, f in enumerate(fresh)), F.lit(0))
+    out = blobs.select("blob", "text", mask.alias("mask"), *[(f & _gate(r, F.col("text"), lowered)).alias(f"go_{r.name}") for r, f in zip(rules, fresh, strict=True)])
+    none = F.array().cast("array<struct<rule:int,gap:int,size:int,ok:boolean>>")
+    matches = F.concat(*[F.when(F.col(f"go_{r.name}"), _matches(r, i, F.col("text"))).otherwise(none) for i, r in enumerate(rules)])
+    rows = out.select("blob", "mask", F.posexplode_outer(matches).alias("pos", "m")).select("blob", "mask", "pos", "m.*")
+    end = F.sum(F.col("gap") + F.col("size")).over(W.partitionBy("blob", "rule").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)).cast("int")
+    name, version = (F.element_at(F.array(*[F.lit(getattr(r, x)) for r in rules]), F.col("rule") + 1).alias(x) for x in ("name", "version"))
+    span = F.struct(name.alias("rule"), version.alias("version"), (F.col("end") - F.col("size")).alias("start"), F.col("end").alias("end"))
+    spans = F.collect_list(F.when(F.col("ok"), span)).cast(SPAN)
+    per_blob = rows.withColumn("end", end).groupBy("blob").agg(F.max("mask").alias("mask"), spans.alias("spans"))
+    labels = F.filter(F.array(*[F.when(F.col("mask").bitwiseAND(1 << i) > 0, _label(r)) for i, r in enumerate(rules)]), lambda x: x.isNotNull())
+    return per_blob.select("blob", labels.alias("rules"), "spans")
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([], f"blob string, rules array<string>, spans {SPAN}")
+    return spark.createDataFrame([], LEDGER)
 
 
 def update(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """What to append to the ledger for versions (blob, text): one row for each blob with a rule version that it has not seen."""
-    spark = versions.sparkSession
-    blobs = versions.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is None:
-        seen = blobs.withColumn("seen", F.array().cast("array<string>"))
-    else:
-        past = ledger.select("blob", F.explode("rules").alias("r")).groupBy("blob").agg(F.collect_set("r").alias("seen"))
-        seen = blobs.join(past, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-        seen = seen.where(F.size(F.array_except(F.array(*[F.lit(_label(r)) for r in rules]), "seen")) > 0)
-    return stored(scan_blobs(seen, rules), "ledger")
+        new = versions.groupBy("blob").agg(F.first("text").alias("text")).withColumn("seen", F.array().cast("array<string>"))
+        return stored(scan_blobs(new, rules), "ledger")
+    current = [_label(r) for r in rules]
+    past = ledger.select("blob", F.explode("rules").alias("r")).where(F.col("r").isin(current)).groupBy("blob").agg(F.collect_set("r").alias("seen"))
+    todo = versions.select("blob").distinct().join(past, "blob", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
+    todo = stored(todo.where(F.size("seen") < len(current)), "todo")
+    new = versions.join(sized(todo, BROADCAST_BLOBS), "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("seen").alias("seen"))
+    return stored(scan_blobs(new, rules), "ledger")
 
 
 def addressed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,9 +160,33 @@ def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ..
     new = update(versions.select("blob", "text"), ledger, rules)
     whole = new if ledger is None else ledger.unionByName(new)
     found = findings(whole, rules)
+    return joined_back(versions.select("doc_id", "blob"), found), whole
+
+
+def joined_back(versions: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, blob, spans for every row of versions (doc_id, blob)."""
     none = F.array().cast("array<struct<start:int,place:bigint,end:int,rule:string>>")
-    out = versions.select("doc_id", "blob").join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", none).alias("spans"))
-    return out, whole
+    versions = stored(versions, "versions")
+    whole = versions.select("blob").distinct().join(found, "blob", "left").select("blob", F.coalesce("spans", none).alias("spans"))
+    return spread_join(versions, whole, ["blob"], ["doc_id"]).select("doc_id", "blob", "spans")
+
+
+def ledger_at(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger that scan_into() keeps in folder; empty before its first run."""
+    try:
+        return spark.read.schema(LEDGER).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_ledger(spark)
+
+
+def scan_into(docs: DataFrame, folder: str, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As scan(), with a ledger that stays in folder: what this scan added is appended there. A run that is repeated adds nothing."""
+    spark = docs.sparkSession
+    versions = addressed(docs, doc_id, text)
+    update(versions.select("blob", "text"), ledger_at(spark, folder), rules).write.mode("append").parquet(folder)
+    return joined_back(versions.select("doc_id", "blob"), findings(ledger_at(spark, folder), rules))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -167,41 +198,48 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", *[count(k) for k in base], F.sha2(text(only), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
-def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """text with every span, or run of overlapping spans, replaced by mark. spans are in order of start."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), gap.alias("out"))
+def redacted(texts: DataFrame, found: DataFrame, mark: str = "[SECRET]", piece: int = PIECE) -> DataFrame:
+    """blob, text with every span, or run of overlapping spans, replaced by mark; texts (blob, text), found (blob, spans)."""
+    spans = found.select("blob", F.explode("spans").alias("s")).select("blob", "s.start", "s.end")
+    in_order = W.partitionBy("blob").orderBy("start", "end")
+    reach = F.max("end").over(in_order.rowsBetween(W.unboundedPreceding, -1))
+    runs = spans.withColumn("head", F.coalesce(F.col("start") >= reach, F.lit(True)).cast("int")).withColumn("run", F.sum("head").over(in_order.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("blob", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    begin = F.col("piece") * piece
+    cuts = runs.withColumn("piece", F.explode(F.sequence(F.expr(f"cast(start div {piece} as int)"), F.expr(f"cast((end - 1) div {piece} as int)"))))
+    cut = F.struct((F.greatest("start", begin) - begin).alias("lo"), (F.least("end", begin + piece) - begin).alias("hi"), (F.col("start") >= begin).alias("head"))
+    cuts = cuts.groupBy("blob", "piece").agg(F.array_sort(F.collect_list(cut)).alias("cuts"))
+    pieces = texts.select("blob", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{piece}}}"), F.lit(0))).alias("piece", "part"))
 
-    return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    def step(acc: Column, c: Column) -> Column:
+        return F.struct(c["hi"].alias("at"), F.concat(acc["out"], F.substring(F.col("part"), acc["at"] + 1, c["lo"] - acc["at"]), F.when(c["head"], mark).otherwise("")).alias("out"))
 
-
-#: Up to so many blobs with findings they are broadcast to the texts; beyond, texts and findings meet in a shuffled join.
-BROADCAST_BLOBS = 50_000
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    left = F.aggregate("cuts", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("part"), acc["at"] + 1, F.lit(piece))))
+    done = pieces.join(cuts, ["blob", "piece"], "left").select("blob", F.struct("piece", F.when(F.col("cuts").isNull(), F.col("part")).otherwise(left).alias("part")).alias("p"))
+    return done.groupBy("blob").agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["part"]), "").alias("text"))
 
 
 def redact(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = REDACTED) -> DataFrame:
     """docs with every secret of text replaced by a mark, and n_chars, if there, as long as the new text.
 
-    Rows without a secret are as they were, null texts too.
+    Rows without a secret are as they were, null texts too. Only texts with a secret move.
     """
     hidden = "_blob"
     while hidden in docs.columns:
         hidden += "_"
     marked = docs.withColumn(hidden, F.sha2(F.coalesce("text", F.lit("")), 256))
     new = update(marked.select(F.col(hidden).alias("blob"), F.coalesce("text", F.lit("")).alias("text")), ledger, rules)
-    found = stored(findings(new if ledger is None else ledger.unionByName(new), rules), "findings").select(F.col("blob").alias(hidden), F.struct("spans").alias(f"{hidden}spans"))
-    few = found.count() <= BROADCAST_BLOBS
-    joined = marked.join(F.broadcast(found) if few else found, hidden, "left")
-    spans = F.col(f"{hidden}spans")["spans"]
-    text = F.when(spans.isNotNull(), redacted(F.col("text"), spans)).otherwise(F.col("text"))
-    out = joined.withColumn("text", text)
+    found = stored(findings(new if ledger is None else ledger.unionByName(new), rules), "findings")
+    blobs = found.select(F.col("blob").alias(hidden))
+    blobs = F.broadcast(blobs) if found.count() <= BROADCAST_BLOBS else blobs
+    holds = marked.join(blobs, hidden, "left_semi")
+    texts = holds.select(F.col(hidden).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
+    clean = stored(redacted(texts, found), "redacted").select(F.col("blob").alias(hidden), F.col("text").alias(f"{hidden}text"))
+    out = spread_join(holds.drop("text"), clean, [hidden], [c for c in ("doc_id",) if c in docs.columns]).withColumn("text", F.col(f"{hidden}text"))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(spans.isNotNull(), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return marked.join(blobs, hidden, "left_anti").select(*docs.columns).unionByName(out.select(*docs.columns))
 
 
 def op10_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
