@@ -22,7 +22,7 @@ PACKING_WORDS = 200_000
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go. Without labels of both classes all stay."""
     small_batches(spark)
-    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    model = quality.train(quality.features(docs), table(spark, sf_dir, "labels"))
     score = quality.scored(model, *map(F.col, ("text", "lang", "source", "n_chars")))
     return docs.where(score["score"] >= quality.KEEP_FROM)
 
