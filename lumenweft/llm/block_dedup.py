@@ -27,11 +27,11 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACES, " ")
 
 
-def _named(rows: DataFrame, content: list[str], tag: str, by: list[str]) -> DataFrame:
+def _named(rows: DataFrame, content: list[str], tag: str, slim: DataFrame, by: list[str]) -> DataFrame:
     """rows (with h, a hash of the content columns) plus name: an integer for each distinct content.
 
     A hash with one content takes the place of the content in the join; the few hashes with several contents, if any,
-    are joined by content as well. by: columns that deal the rows of a hash into parts.
+    are joined by content as well. slim: the rows without content, stored; by: columns that deal a hash's rows into parts.
     """
     value = content[0] if len(content) == 1 else F.struct(*content)
     by_hash = rows.groupBy("h").agg(F.min(value).alias("lo"), F.max(value).alias("hi"))
@@ -39,9 +39,9 @@ def _named(rows: DataFrame, content: list[str], tag: str, by: list[str]) -> Data
     numbered = by_hash.select("h", (F.col("lo") != F.col("hi")).alias("mixed")).sortWithinPartitions("h").withColumn("name", F.monotonically_increasing_id())
     names = stored(numbered, tag)
     mixed = names.where("mixed").select("h")
-    out = spread_join(rows, names, ["h"], by)
     if mixed.isEmpty():
-        return out.drop("mixed")
+        return spread_join(slim, names, ["h"], by).drop("mixed")
+    out = spread_join(rows, names, ["h"], by)
     # Several contents under one hash: sort those contents and number them below every other name.
     many = rows.join(mixed, "h", "left_semi").select("h", *content).distinct().repartition("h").sortWithinPartitions("h", *content)
     own = stored(many.withColumn("own", -1 - F.monotonically_increasing_id()), tag)
@@ -57,7 +57,7 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
     rows = blocks.select("doc_id", "row", "text_sha256", F.size("blocks").alias("n"), F.posexplode("blocks").alias("pos", "block"))
     rows = rows.withColumn("text_sha256", F.when(F.col("pos") == 0, F.col("text_sha256")))
     rows = rows.withColumn("h", F.xxhash64("block"))
-    named = stored(_named(rows, ["block"], "blocks", ["doc_id", "pos"]).select("doc_id", "row", "n", "pos", "text_sha256", "name"), "level")
+    named = stored(_named(rows, ["block"], "blocks", stored(rows.drop("block"), "hashes"), ["doc_id", "pos"]).select("doc_id", "row", "n", "pos", "text_sha256", "name"), "level")
     level, done, at = 0, [], named
     while True:
         done.append(at.where("n = 1").select("row", F.lit(level).alias("levels"), "name"))
@@ -69,8 +69,8 @@ def identities(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", bloc
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"), F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))).alias("b0"), F.count(F.lit(1)).alias("c")
         )
         pairs = pairs.select("row", "n", "pos", "a", F.coalesce("b0", "a").alias("b"), (F.col("c") == 2).cast("int").alias("c"))
-        pairs = pairs.withColumn("h", F.xxhash64(F.lit(level), "a", "b", "c"))
-        at = stored(_named(pairs, ["a", "b", "c"], "pairs", ["row", "pos"]).select("row", "n", "pos", "name"), "level")
+        pairs = stored(pairs.withColumn("h", F.xxhash64(F.lit(level), "a", "b", "c")), "paired")
+        at = stored(_named(pairs, ["a", "b", "c"], "pairs", pairs, ["row", "pos"]).select("row", "n", "pos", "name"), "level")
     ids = done[0]
     for d in done[1:]:
         ids = ids.unionByName(d)
