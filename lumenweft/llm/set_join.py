@@ -8,10 +8,14 @@ Exact self-join of word-shingle sets at a Jaccard threshold, down to its connect
 3. Answers from a similar set: every set of an index list is compared with the list's leader only. Sets found similar
    to it take over its component; from then on no two sets of one component are compared, whatever their number. The
    round is repeated with other leaders while many pairs of different components are left and their number halves.
-4. Index-level skipping: what remains are pairs of sets in different components. The lists are cut into blocks by size
-   and by position; a pair of blocks is skipped when the sizes differ too much, when the positions leave too little
-   to share, or when both blocks lie in one component; only in the other pairs entries meet.
-5. Candidates pass a bound (shingles counted in 64 classes: the sum of the lesser counts is the most that two sets can
+4. Index-level skipping: what remains are pairs of sets in different components. Of the sets that are similar to one
+   model, a list keeps one entry. The lists are cut into blocks by size and by position; a pair of blocks is skipped
+   when the sizes differ too much, when the positions leave too little to share, or when both blocks lie in one
+   component; only in the other pairs entries meet.
+5. Derived answers: the models of a pair of groups are compared. Where they are similar, the groups are one component.
+   Else the answers of a model's sets follow from what the models share and what each set has beyond its model: only
+   the pairs for which this sum leaves room are looked at.
+6. Candidates pass a bound (shingles counted in 64 classes: the sum of the lesser counts is the most that two sets can
    share) and are then compared in full, on sets made anew from the texts of those documents alone.
 
 The order of the shingles only decides the work, never the result. So the common ones are counted within stretches of
@@ -23,6 +27,7 @@ hashes; classes are told apart by 128 bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -168,8 +173,12 @@ def _rarest(s: np.ndarray, p: int, hashes: np.ndarray, ranks: np.ndarray) -> np.
 
 # ---- pairs ------------------------------------------------------------------------------------------------------
 def _bounded(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
-    """The stored pairs (a, b) whose sketches leave room for the threshold."""
-    side = lambda x: sets.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"k_{x}"))
+    """The stored pairs (a, b) whose sketches leave room for the threshold.
+
+    sets: node, sketch, lo, far. A set may stand for a group: lo is the least size in it, far the most shingles that one
+    of the group has and the set has not.
+    """
+    side = lambda x: sets.select(F.col("node").alias(x), F.col("lo").alias(f"n_{x}"), F.col("far").alias(f"far_{x}"), F.col("sketch").alias(f"k_{x}"))
     rows = side("a").join(sized(pairs), "a").join(side("b"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +186,7 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
             if not batch.num_rows:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(f"k_{s}").to_pylist()), "<i4").reshape(-1, SKETCH) for s in "ab")
-            most = np.minimum(x, y).sum(1)
+            most = np.minimum(x, y).sum(1) + batch.column("far_a").to_numpy() + batch.column("far_b").to_numpy()
             n = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
             keep = pa.array((t.num + t.den) * most >= t.num * n)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
@@ -185,8 +194,8 @@ def _bounded(pairs: DataFrame, sets: DataFrame, t: Threshold) -> DataFrame:
     return rows.mapInArrow(run, "a bigint, b bigint")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose whole sets meet the threshold."""
+def _overlaps(pairs: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """a, b, shared, n_a, n_b, stored: how many shingles the whole sets of each pair (a, b) of doc_ids share, and have."""
     ids = stored(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
     texts = docs.join(sized(ids), "doc_id", "left_semi")
 
@@ -199,15 +208,24 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, t: Threshold) -> DataFr
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            rows = []
             for x, y in zip(batch.column("items_a").to_pylist(), batch.column("items_b").to_pylist(), strict=True):
                 u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                keep.append(t.met(len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v)))
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+                rows.append((len(np.intersect1d(u, v, assume_unique=True)), len(u), len(v)))
+            counts = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 3
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *counts], ["a", "b", "shared", "n_a", "n_b"])
         release()
 
-    return stored(side("a").join(sized(pairs), "a").join(side("b"), "b").mapInArrow(compare, "a bigint, b bigint"), "links")
+    return stored(side("a").join(sized(pairs), "a").join(side("b"), "b").mapInArrow(compare, "a bigint, b bigint, shared bigint, n_a bigint, n_b bigint"), "overlaps")
+
+
+def _models(links: DataFrame) -> DataFrame:
+    """node, model, d: the least set that a set is linked to, where that one has no model itself; d: what the set has beyond it.
+
+    links: a < b with shared, n_a and n_b.
+    """
+    least = stored(links.groupBy(F.col("b").alias("node")).agg(F.min_by(F.struct(F.col("a").alias("model"), (F.col("n_b") - F.col("shared")).alias("d")), "a").alias("m")).select("node", "m.*"), "least")
+    return stored(least.join(least.select(F.col("node").alias("model")), "model", "left_anti").select("node", "model", "d"), "models")
 
 
 def _ordered(x: Column, y: Column) -> list[Column]:
@@ -232,17 +250,23 @@ def _leader_pairs(index: DataFrame, t: Threshold, turn: int) -> DataFrame:
 
 
 def _cross_pairs(index: DataFrame, t: Threshold) -> DataFrame:
-    """All candidate pairs of different components, block against block."""
+    """All candidate pairs of groups of different components, block against block.
+
+    index: shingle, node, n, pos, comp, model. A list has one entry for all of a model's sets in it.
+    """
     lists = index.groupBy("shingle").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("shingle")
-    size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(t.den / t.num))).cast("int")
-    place = F.floor(8 * F.col("pos") * t.den / (F.col("n") * (t.den - t.num) + t.den)).cast("int")
-    rows = stored(index.join(lists, "shingle", "left_semi").withColumn("size_class", size_class).withColumn("place", place), "lists")
+    groups = index.join(lists, "shingle", "left_semi").groupBy("shingle", F.col("model").alias("node"), "comp")
+    rows = groups.agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+    size_class = F.floor(F.log(F.col("n_lo").cast("double")) / F.log(F.lit(t.den / t.num))).cast("int")
+    pos = F.greatest(F.lit(0), F.col("n_lo") - F.col("rest"))
+    place = F.floor(8 * pos * t.den / (F.col("n_lo") * (t.den - t.num) + t.den)).cast("int")
+    rows = stored(rows.withColumn("size_class", size_class).withColumn("place", place), "lists")
     key = ["shingle", "size_class", "place"]
     parts = rows.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BLOCK_ENTRIES).cast("int").alias("parts"))
     rows = rows.join(parts, key).withColumn("block", F.struct("size_class", "place", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")))
-    rows = stored(rows.select("shingle", "block", "node", "n", "pos", "comp"), "blocks")
+    rows = stored(rows.select("shingle", "block", "node", "n_lo", "n_hi", "rest", "comp"), "blocks")
     blocks = rows.groupBy("shingle", "block").agg(
-        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+        F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"), F.max("rest").alias("rest"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
     )
     # A long list's blocks are dealt into parts on one side and meet each part on the other.
     share = blocks.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / LIST_BLOCKS).cast("int").alias("shares"))
@@ -250,6 +274,7 @@ def _cross_pairs(index: DataFrame, t: Threshold) -> DataFrame:
     one, two = (blocks.select("shingle", "shares", *[F.col(c).alias(f"{c}_{s}") for c in blocks.columns if c not in ("shingle", "shares")]) for s in "ab")
     one = one.withColumn("share", F.pmod(F.xxhash64("block_a"), F.col("shares")).cast("int")).drop("shares")
     two = two.withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1))).drop("shares")
+    # What holds for blocks, groups and sets alike: some sizes are near enough, and enough is left behind the shingle.
     near = (t.den * F.col("n_hi_a") >= t.num * F.col("n_lo_b")) & (t.den * F.col("n_hi_b") >= t.num * F.col("n_lo_a"))
     room = t.may_share(F.least("rest_a", "rest_b"), F.col("n_lo_a"), F.col("n_lo_b"))
     other = ~((F.col("lo_a") == F.col("hi_a")) & (F.col("lo_b") == F.col("hi_b")) & (F.col("lo_a") == F.col("lo_b")))
@@ -257,8 +282,19 @@ def _cross_pairs(index: DataFrame, t: Threshold) -> DataFrame:
     left, right = (rows.select("shingle", *[F.col(c).alias(f"{c}_{s}") for c in rows.columns if c != "shingle"]) for s in "ab")
     met = stored(met, "met")
     pairs = left.join(sized(met, BROADCAST_BLOCKS), ["shingle", "block_a"]).join(right, ["shingle", "block_b"])
-    pairs = pairs.where((F.col("comp_a") != F.col("comp_b")) & _fits(t, "n_a", "pos_a", "n_b", "pos_b"))
-    return pairs.select(*_ordered(F.col("node_a"), F.col("node_b"))).distinct()
+    return pairs.where((F.col("comp_a") != F.col("comp_b")) & near & room).select(*_ordered(F.col("node_a"), F.col("node_b"))).distinct()
+
+
+def _derived(overlaps: DataFrame, groups: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of sets whose models' overlap leaves room for the threshold, where the models themselves do not meet it.
+
+    groups: node, n, model, d. What two sets share is at most what their models share and what each has beyond its model.
+    """
+    side = lambda s: groups.select(F.col("node").alias(f"x_{s}"), F.col("n").alias(f"m_{s}"), F.col("model").alias(s), F.col("d").alias(f"d_{s}"))
+    rows = side("a").join(sized(overlaps.select("a", "b", "shared")), "a").join(side("b"), "b")
+    n, m = F.col("m_a"), F.col("m_b")
+    fits = (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & t.may_share(F.least(F.col("shared") + F.col("d_a") + F.col("d_b"), n, m), n, m)
+    return rows.where(fits & ((F.col("x_a") != F.col("a")) | (F.col("x_b") != F.col("b")))).select(*_ordered(F.col("x_a"), F.col("x_b")))
 
 
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -285,19 +321,23 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
     lists = entries.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("shingle")
     index = stored(entries.join(lists, "shingle", "left_semi"), "index")
     size = index.count()
-    sketches = sets.select("node", "n", "sketch")
+    sketches = sets.select("node", "sketch", F.col("n").alias("lo"), F.lit(0).cast("bigint").alias("far"))
+    met = t.den * F.col("shared") >= t.num * (F.col("n_a") + F.col("n_b") - F.col("shared"))
 
     roots: DataFrame | None = None
+    found: list[DataFrame] = []  # the links of each round
 
     def placed() -> DataFrame:
         if roots is None:
             return index.withColumn("comp", F.col("node"))
         return index.join(sized(roots), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        pairs = stored(pairs, "pairs")
-        found = _verified(stored(_bounded(pairs, sketches, t), "bounded"), rows, k, t)
-        return found if roots is None else found.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    def compared(pairs: DataFrame, by: DataFrame) -> DataFrame:
+        return _overlaps(stored(_bounded(stored(pairs, "pairs"), by, t), "bounded"), rows, k)
+
+    def joined(links: DataFrame) -> DataFrame:
+        links = links.select("a", "b")
+        return links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
 
     before = float("inf")
     for turn in range(MAX_ROUNDS):
@@ -308,11 +348,25 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
             if crossing <= 20 * size + 1_000_000 or crossing > before / 2:
                 break  # few are left, or other leaders do not help
             before = crossing
-        roots = components(linked(_leader_pairs(at, t, turn)))
+        found.append(compared(_leader_pairs(at, t, turn), sketches).where(met))
+        roots = components(joined(found[-1]))
+    # Sets that are similar to one model are compared with others through it.
+    models = _models(reduce(DataFrame.unionByName, found))
+    groups = stored(sets.select("node", "n").join(sized(models), "node", "left").select("node", "n", F.coalesce("model", "node").alias("model"), F.coalesce("d", F.lit(0)).cast("bigint").alias("d")), "groups")
+    some = groups.groupBy(F.col("model").alias("node")).agg(F.min("n").alias("lo"), F.max("d").alias("far"), F.count(F.lit(1)).alias("size"))
+    some = stored(some.join(sets.select("node", "sketch"), "node"), "models")
+    last = placed().join(sized(models.select("node", "model")), "node", "left").withColumn("model", F.coalesce("model", "node"))
+    over = compared(_cross_pairs(last, t), some)
+    several_in = some.where("size > 1").select("node", "size")
+    open_pairs = over.where(~met).join(sized(several_in.select(F.col("node").alias("a"), F.lit(1).alias("more_a"))), "a", "left").join(sized(several_in.select(F.col("node").alias("b"), F.lit(1).alias("more_b"))), "b", "left")
+    open_pairs = stored(open_pairs.where("more_a is not null or more_b is not null").select("a", "b", "shared"), "open")
+    links = over.where(met).select("a", "b")
+    if not open_pairs.isEmpty():
+        links = links.unionByName(compared(_derived(open_pairs, groups, t), sketches).where(met).select("a", "b"))
     # A document with several sets ties their classes, whose nodes may be other documents.
     several = first.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("s1", "s2") for f in (F.min, F.max)])
     several = stored(several.where("s1_min <> s1_max or s2_min <> s2_max").select("doc_id"), "several")
-    links = linked(_cross_pairs(placed(), t))
+    links = joined(links)
     if not several.isEmpty():
         ties = first.where("n > 0").join(sized(several), "doc_id", "left_semi").join(classes, ["s1", "s2"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
         links = links.unionByName(ties)
