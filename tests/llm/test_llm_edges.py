@@ -246,3 +246,29 @@ def test_redaction_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "token: abcdefgh", 9, "s", {"a": 1}), (1, "token: abcdefgh", 9, "t", None)], "doc_id long, text string, piece int, _salt string, cuts map<string,int>")
     got = sorted((r["text"], r["piece"], r["_salt"], r["cuts"]) for r in secret_ledger.redact(docs).collect())
     assert got == [("[SECRET]", 9, "s", {"a": 1}), ("[SECRET]", 9, "t", None)]
+
+
+# ---- 3 ----------------------------------------------------------------------------------------------------------
+def test_answers_derived_through_models(spark, monkeypatch):
+    """Chains in which only sets beside the models are similar: their links come from what the models share."""
+    from lumenweft.llm import set_join
+    from tests.llm.test_llm import brute_components
+
+    rng = random.Random(21)
+    docs = []
+    for c in range(12):
+        words = [f"w{c}x{i}" for i in range(200)]
+        at = list(words)
+        for step in range(9):  # each text lies a little further from the first
+            docs.append(" ".join(at))
+            for _ in range(2):
+                at[rng.randrange(len(at))] = f"n{c}y{rng.random()}"
+    rng.shuffle(docs)
+    rows = list(enumerate(docs))
+    seen = []
+    plain = set_join._derived
+    monkeypatch.setattr(set_join, "_derived", lambda *a: (seen.append(plain(*a)), seen[-1])[1])
+    monkeypatch.setattr(set_join, "MAX_ROUNDS", 1)
+    got = {r["doc_id"]: r["component_id"] for r in set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows, 3, 9, 10).items()}
+    assert seen and seen[0].count() > 0
