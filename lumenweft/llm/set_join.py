@@ -13,15 +13,15 @@ Exact self-join of word-shingle sets at a Jaccard threshold, down to its connect
    when the sizes differ too much, when the positions leave too little to share, or when both blocks lie in one
    component; only in the other pairs entries meet.
 5. Derived answers: the models of a pair of groups are compared. Where they are similar, the groups are one component.
-   Else the answers of a model's sets follow from what the models share and what each set has beyond its model: only
-   the pairs for which this sum leaves room are looked at.
+   Where they are not and still lie in different components, the answers of a model's sets follow from what the models
+   share and what each set has beyond its model: only the pairs for which this sum leaves room are looked at.
 6. Candidates pass a bound (shingles counted in 64 classes: the sum of the lesser counts is the most that two sets can
    share) and are then compared in full, on sets made anew from the texts of those documents alone.
 
 The order of the shingles only decides the work, never the result. So the common ones are counted within stretches of
 each task's documents (a shingle that never repeats within any is not common), and a table of a fixed size holds the
-most common ones. Shingles are 64-bit hashes of their words' 64-bit
-hashes; classes are told apart by 128 bits.
+most common ones. Shingles are 64-bit hashes of their words' 64-bit hashes; classes are
+told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -288,10 +288,12 @@ def _cross_pairs(index: DataFrame, t: Threshold) -> DataFrame:
 def _derived(overlaps: DataFrame, groups: DataFrame, t: Threshold) -> DataFrame:
     """Pairs of sets whose models' overlap leaves room for the threshold, where the models themselves do not meet it.
 
+    overlaps: a, b, shared, lo_b, far_b (of b's group: its least size, and the most that a set has beyond b).
     groups: node, n, model, d. What two sets share is at most what their models share and what each has beyond its model.
     """
     side = lambda s: groups.select(F.col("node").alias(f"x_{s}"), F.col("n").alias(f"m_{s}"), F.col("model").alias(s), F.col("d").alias(f"d_{s}"))
-    rows = side("a").join(sized(overlaps.select("a", "b", "shared")), "a").join(side("b"), "b")
+    some = side("a").join(sized(overlaps), "a").where(t.may_share(F.col("shared") + F.col("d_a") + F.col("far_b"), F.col("m_a"), F.col("lo_b")))
+    rows = some.join(side("b"), "b")
     n, m = F.col("m_a"), F.col("m_b")
     fits = (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & t.may_share(F.least(F.col("shared") + F.col("d_a") + F.col("d_b"), n, m), n, m)
     return rows.where(fits & ((F.col("x_a") != F.col("a")) | (F.col("x_b") != F.col("b")))).select(*_ordered(F.col("x_a"), F.col("x_b")))
@@ -357,16 +359,18 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
     some = stored(some.join(sets.select("node", "sketch"), "node"), "models")
     last = placed().join(sized(models.select("node", "model")), "node", "left").withColumn("model", F.coalesce("model", "node"))
     over = compared(_cross_pairs(last, t), some)
-    several_in = some.where("size > 1").select("node", "size")
-    open_pairs = over.where(~met).join(sized(several_in.select(F.col("node").alias("a"), F.lit(1).alias("more_a"))), "a", "left").join(sized(several_in.select(F.col("node").alias("b"), F.lit(1).alias("more_b"))), "b", "left")
-    open_pairs = stored(open_pairs.where("more_a is not null or more_b is not null").select("a", "b", "shared"), "open")
-    links = over.where(met).select("a", "b")
-    if not open_pairs.isEmpty():
-        links = links.unionByName(compared(_derived(open_pairs, groups, t), sketches).where(met).select("a", "b"))
+    roots = components(joined(over.where(met)))
+    rest = over.where(~met).select("a", "b", "shared")
+    for x in "ab":  # pairs of models that are in one component by now need no more
+        rest = rest.join(sized(roots.select(F.col("node").alias(x), F.col("root").alias(f"comp_{x}"))), x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
+        rest = rest.join(sized(some.select(F.col("node").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("far").alias(f"far_{x}"), F.col("size").alias(f"size_{x}"))), x)
+    rest = stored(rest.where("comp_a <> comp_b and (size_a > 1 or size_b > 1)").select("a", "b", "shared", "lo_b", "far_b"), "open")
+    links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+    if not rest.isEmpty():
+        links = joined(compared(_derived(rest, groups, t), sketches).where(met))
     # A document with several sets ties their classes, whose nodes may be other documents.
     several = first.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("s1", "s2") for f in (F.min, F.max)])
     several = stored(several.where("s1_min <> s1_max or s2_min <> s2_max").select("doc_id"), "several")
-    links = joined(links)
     if not several.isEmpty():
         ties = first.where("n > 0").join(sized(several), "doc_id", "left_semi").join(classes, ["s1", "s2"]).select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
         links = links.unionByName(ties)
