@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenweft.llm._common import BROADCAST_IDS, small_batches, stored, table
+from lumenweft.llm._common import BROADCAST_IDS, release, small_batches, stored, table
 
 #: At most about so many labelled documents are fitted on.
 LABELLED = 20_000
@@ -152,11 +152,13 @@ def features(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("n_chars").cast("double").alias("n_chars"), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release(forget=True)
         for b in batches:
             found = [text_features(t) for t in b.column(4).to_pylist()]
             flat = pa.array(np.concatenate(found) if found else np.zeros(0, np.float32), pa.float32())
             x = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * TEXT_FEATURES), flat)
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(4)), x], ["doc_id", "lang", "source", "n_chars", "x"])
+        release()
 
     return stored(rows.mapInArrow(run, FEATURES).withColumn("twin", F.xxhash64("lang", "source", "n_chars", "x")), "features")
 
@@ -269,9 +271,12 @@ def scored(model: CoTrained | None, text: Column, lang: Column, source: Column,
     """struct<text_score, meta_score, score> of a document. Without a model every score is 1."""
 
     @F.pandas_udf("text_score double, meta_score double, score double")
-    def run(t: pd.Series, l: pd.Series, s: pd.Series, n: pd.Series) -> pd.DataFrame:
-        x = pd.Series([text_features(v) for v in t], dtype=object)
-        return _scores(model, *_views(pd.DataFrame({"x": x, "lang": l.to_numpy(), "source": s.to_numpy(), "n_chars": n.to_numpy()})))
+    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        release(forget=True)
+        for t, l, s, n in batches:
+            x = pd.Series([text_features(v) for v in t], dtype=object)
+            yield _scores(model, *_views(pd.DataFrame({"x": x, "lang": l.to_numpy(), "source": s.to_numpy(), "n_chars": n.to_numpy()})))
+        release()
 
     return run(text, lang.cast("string"), source.cast("string"), n_chars.cast("double"))
 
