@@ -8,6 +8,7 @@ A rule has what the host, the path and the query must match (patterns; None: any
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -186,10 +187,53 @@ def matches(rule: tuple, h: Column, p: Column, q: Column) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
+def _ends(where: str) -> set[str] | None:
+    """The last two labels of every host that a host pattern can match; None if they do not follow from it."""
+    plain = where.replace(r"(?:^|\.)", "").replace("^", "")
+    depth, parts = 0, [""]
+    for c in plain:
+        depth += {"(": 1, ")": -1}.get(c, 0)
+        if c == "|" and not depth:
+            parts.append("")
+        else:
+            parts[-1] += c
+    out = set()
+    for part in parts:
+        for m in [re.search(r"\(\?:([^()]*)\)", part)]:
+            for word in m[1].split("|") if m else [""]:
+                end = re.search(r"([a-z0-9-]+)\\\.([a-z]+)\$$", part[: m.start()] + word + part[m.end() :] if m else part)
+                if end is None:
+                    return None
+                out.add(f"{end[1]}.{end[2]}")
+    return out
+
+
+_BY_END: dict[str, list[int]] = {}
+_ANYWHERE: list[int] = []  # rules that are not tied to hosts
+for _i, (_where, *_) in enumerate(RULES):
+    _found = _ends(_where) if _where is not None and not _where.startswith("=") else None
+    for _end in _found or ():
+        _BY_END.setdefault(_end, []).append(_i)
+    if not _found:
+        _ANYWHERE.append(_i)
+
+
+def first_rule(h: Column, p: Column, q: Column) -> Column:
+    """The number (from 0) of the first rule that matches, or null.
+
+    The last two labels of the host choose the few rules whose patterns are tried, so neither the plan nor the work on a
+    URL grows with the number of rules.
+    """
+    ends = sorted(_BY_END)
+    table = F.map_from_arrays(F.array(*map(F.lit, ends)), F.array(*[F.array(*map(F.lit, _BY_END[e])) for e in ends]))
+    tied = F.coalesce(F.try_element_at(table, F.substring_index(h, ".", -2)), F.array().cast("array<int>"))
+    pattern = lambda k: F.array(*[F.lit(r[k] if isinstance(r[k], str) and not r[k].startswith("=") else "") for r in RULES])
+    fits = F.filter(tied, lambda i: F.regexp_like(h, F.get(pattern(0), i)) & F.regexp_like(p, F.get(pattern(1), i)) & F.regexp_like(q, F.get(pattern(2), i)))
+    return F.least(F.array_min(fits), F.coalesce(*[F.when(matches(RULES[i], h, p, q), F.lit(i)) for i in _ANYWHERE]))
+
+
 def rule_number(url: Column) -> Column:
-    """The number (from 0) of the first rule that matches, or null."""
-    h, p, q = U.host(url), U.path(url), U.query(url)
-    return F.coalesce(*[F.when(matches(r, h, p, q), F.lit(i)) for i, r in enumerate(RULES)])
+    return U.let(U.parts(url), lambda u: first_rule(u["host"], u["path"], u["query"]))
 
 
 SCHEMA = "rule int, drop_names array<string>, clear boolean, set_name string, set_pair string, subs array<struct<pattern:string,first:boolean,replacement:string>>, host_pattern string, host_replacement string, call string"
@@ -233,7 +277,7 @@ def upgraded(df, url: str = "url", prefix: str = ""):
     col = lambda x: F.col(c[x])
     out = df.withColumn(c["start"], F.coalesce(U.deproxy(F.col(url)), F.col(url)))
     out = out.withColumns({c["host"]: U.host(col("start")), c["path"]: U.path(col("start")), c["query"]: U.query(col("start"))})
-    out = out.withColumn(c["rule"], F.coalesce(*[F.when(matches(r, col("host"), col("path"), col("query")), F.lit(i)) for i, r in enumerate(RULES)]))
+    out = out.withColumn(c["rule"], first_rule(col("host"), col("path"), col("query")))
     table = df.sparkSession.createDataFrame(rows(), SCHEMA)
     table = F.broadcast(table.select(F.col("rule").alias(c["rule"]), F.struct(*[x for x in table.columns if x != "rule"]).alias(c["step"])))
     out = out.join(table, c["rule"], "left")

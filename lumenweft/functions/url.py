@@ -35,6 +35,13 @@ TWO_PART_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "co.jp", "or.jp", "ne
 PROXY_PARAMS = ("url", "u", "src", "image", "imgurl")
 SIGNING_PARAMS = ("token", "sig", "signature", "expires", "policy", "key-pair-id")
 CLOUDINARY_KEYS = "w h c q e g x y r o a b co dpr fl ar z l u t f d p cs vc bo br ac so eo du fps ki sp if pg vs dn dl".split()
+EMOJI_PACK = "/(twemoji|openmoji|noto-emoji|emojione|joypixels|emoji-datasource)"
+#: Host (a leading dot: also below it) and what the path, in lower case, must have.
+EMOJI = (
+    ("abs.twimg.com", "^/emoji/"), ("s.w.org", "^/images/core/emoji/"), ("twemoji.maxcdn.com", ""), ("cdn.jsdelivr.net", EMOJI_PACK), ("cdnjs.cloudflare.com", EMOJI_PACK),
+    (".githubassets.com", "/images/icons/emoji/"), (".fbcdn.net", r"/emoji\.php|^/rsrc\.php/"), (".facebook.com", r"/emoji\.php|^/rsrc\.php/"), ("em-content.zobj.net", ""), ("emoji.slack-edge.com", ""),
+    ("a.slack-edge.com", "emoji-assets"), ("cdn.discordapp.com", "^/emojis/"), ("static-cdn.jtvnw.net", "^/emoticons/"), ("fonts.gstatic.com", "^/s/e/notoemoji/"), ("cdn.joypixels.com", ""),
+)
 RESERVED_NAME = r"(?i)^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\.|$)"
 MAX_NAME = 200
 
@@ -283,21 +290,13 @@ def canonical_key(src: Column) -> Column:
 
 def is_emoji(src: Column) -> Column:
     """Served by a host, or from a folder, that has only emoji."""
-    h, p = host(src), F.lower(path(src))
-    pack = p.rlike(r"/(?:twemoji|openmoji|noto-emoji|emojione|joypixels|emoji-datasource)")
-    rules = (
-        h.isin("twemoji.maxcdn.com", "em-content.zobj.net", "emoji.slack-edge.com", "cdn.joypixels.com"),
-        h.isin("cdn.jsdelivr.net", "cdnjs.cloudflare.com") & pack,
-        (h == "abs.twimg.com") & p.startswith("/emoji/"),
-        (h == "s.w.org") & p.startswith("/images/core/emoji/"),
-        under(h, "githubassets.com") & F.contains(p, F.lit("/images/icons/emoji/")),
-        under(h, "fbcdn.net", "facebook.com") & (F.contains(p, F.lit("/emoji.php")) | p.startswith("/rsrc.php/")),
-        (h == "a.slack-edge.com") & F.contains(p, F.lit("emoji-assets")),
-        (h == "cdn.discordapp.com") & p.startswith("/emojis/"),
-        (h == "static-cdn.jtvnw.net") & p.startswith("/emoticons/"),
-        (h == "fonts.gstatic.com") & p.startswith("/s/e/notoemoji/"),
-    )
-    return reduce(lambda a, b: a | b, rules)
+
+    def known(u: Column) -> Column:
+        h, p = u["host"], F.lower(u["path"])
+        at = lambda name: under(h, name[1:]) if name[0] == "." else h == name
+        return reduce(lambda a, b: a | b, [at(name) & (p.rlike(pattern) if pattern else F.lit(True)) for name, pattern in EMOJI])
+
+    return let(parts(src), known)
 
 
 # ---- safety -----------------------------------------------------------------------------------------------------

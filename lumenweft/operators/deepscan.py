@@ -126,10 +126,20 @@ def memory(samples: DataFrame, cap: int = HOSTS_CAP) -> DataFrame:
     return out.orderBy(F.col("updated_at").desc(), "host").limit(cap)
 
 
-def quiet_spans(mutations: DataFrame, gap_ms: int = 400, cap_ms: int = 2000) -> DataFrame:
-    """mutations (scan_id, ts_ms) -> (scan_id, first_ms, last_ms, n): runs without a gap, cut at the cap (an approximation: from the run's begin)."""
-    w = W.partitionBy("scan_id").orderBy("ts_ms")
-    new = F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(w) > gap_ms).cast("int"), F.lit(1))
-    runs = mutations.withColumn("_run", F.sum(new).over(w)).withColumn("_begin", F.min("ts_ms").over(W.partitionBy("scan_id", "_run")))
-    runs = runs.withColumn("_part", F.floor((F.col("ts_ms") - F.col("_begin")) / cap_ms))
-    return runs.groupBy("scan_id", "_run", "_part").agg(F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.count(F.lit(1)).alias("n")).drop("_run", "_part")
+def quiet_waits(mutations: DataFrame, waits: DataFrame, quiet_ms: int = 400, cap_ms: int = 2000) -> DataFrame:
+    """waits (scan_id, wait_no, start_ms), mutations (scan_id, wait_no, ts_ms) -> scan_id, wait_no, settle_ms, end_ms, capped, n.
+
+    A wait ends once nothing changed for quiet_ms, counted from its start or the last change, at cap_ms after its start
+    at the latest. settle_ms: from the start to the last change before the end; n: changes by then. Waits without any
+    change are there, too; changes of no wait, null times and those before the start go.
+    """
+    found = mutations.where("ts_ms is not null").join(waits.select("scan_id", "wait_no", "start_ms"), ["scan_id", "wait_no"]).where("ts_ms >= start_ms and ts_ms < start_ms + " + str(cap_ms))
+    w = W.partitionBy("scan_id", "wait_no").orderBy("ts_ms")
+    gap = (F.col("ts_ms") - F.coalesce(F.lag("ts_ms").over(w), F.col("start_ms"))) >= quiet_ms
+    # what comes behind the first gap is not of the wait
+    inside = found.withColumn("_over", F.max(gap.cast("int")).over(w.rangeBetween(W.unboundedPreceding, 0))).where("_over = 0")
+    per = inside.groupBy("scan_id", "wait_no").agg(F.max("ts_ms").alias("last_ms"), F.count(F.lit(1)).alias("n"))
+    out = waits.join(per, ["scan_id", "wait_no"], "left")
+    last = F.coalesce(F.col("last_ms"), F.col("start_ms"))
+    end = F.least(last + quiet_ms, F.col("start_ms") + cap_ms)
+    return out.select("scan_id", "wait_no", (last - F.col("start_ms")).alias("settle_ms"), end.alias("end_ms"), (last + quiet_ms >= F.col("start_ms") + cap_ms).alias("capped"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))

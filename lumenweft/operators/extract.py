@@ -35,19 +35,22 @@ def tokenise(html: str) -> list[tuple]:
         def __init__(self) -> None:
             super().__init__(convert_charrefs=True)
             self.open: list[int] = []
+            self.places: dict[str, list[int]] = {}  # of each tag in open
 
         def handle_starttag(self, tag, attrs):
             rows.append([len(rows), tag, {k: v or "" for k, v in reversed(attrs)}, [], list(self.open)])
             if tag not in VOID:
+                self.places.setdefault(tag, []).append(len(self.open))
                 self.open.append(len(rows) - 1)
 
         def handle_startendtag(self, tag, attrs):
             rows.append([len(rows), tag, {k: v or "" for k, v in reversed(attrs)}, [], list(self.open)])
 
         def handle_endtag(self, tag):
-            at = next((i for i in range(len(self.open) - 1, -1, -1) if rows[self.open[i]][1] == tag), None)
-            if at is not None:
-                del self.open[at:]
+            if self.places.get(tag):
+                at = self.places[tag][-1]
+                while len(self.open) > at:
+                    self.places[rows[self.open.pop()][1]].pop()
 
         def handle_data(self, data):
             if self.open:
@@ -231,12 +234,20 @@ def main_image(pages: DataFrame) -> DataFrame:
     return best.select("page_id", absolute(F.col("b.raw"), F.col("b.url")).alias("src"))
 
 
-def gallery_links(anchors: DataFrame, cap: int = 60) -> DataFrame:
+#: Fixed value: first path segments of routes that are no media page.
+NON_CONTENT_PATH = (
+    r"(?i)^/(?:authors?|tags?|categor(?:y|ies)|topics?|users?|profiles?|members?|about|contact|search|explore|login|sign[-_]?in|sign[-_]?up|register|account|settings|feeds?|rss|pages?|cart|checkout|privacy|terms|help|faq|"
+    r"share|subscribe|newsletter)(?:/|$)"
+)
+GALLERY_PAGE_CAP = 60
+GALLERY_MIN_THUMB = 64
+
+
+def gallery_links(anchors: DataFrame, cap: int = GALLERY_PAGE_CAP) -> DataFrame:
     """anchors (page_id, url, ord, href, thumb_width) that may lead to a gallery page: same site, no listing page, a thumbnail of 64 pixels or unknown size; so many a page."""
     from pyspark.sql import Window as W
 
     target = absolute(F.col("href"), F.col("url"))
-    listing = U.path(target).rlike(r"(?i)/(?:tags?|categor(?:y|ies)|search|users?|authors?|login|signup|register|about|contact|privacy|terms|page)(?:/|$)")
-    rows = anchors.withColumn("target", target).where((U.origin(F.col("target")) == U.origin(F.col("url"))) & ~listing & F.coalesce((F.col("thumb_width") == 0) | (F.col("thumb_width") >= 64), F.lit(True)))
+    rows = anchors.withColumn("target", target).where((U.origin(F.col("target")) == U.origin(F.col("url"))) & ~U.path(F.col("target")).rlike(NON_CONTENT_PATH) & F.coalesce((F.col("thumb_width") == 0) | (F.col("thumb_width") >= GALLERY_MIN_THUMB), F.lit(True)))
     w = W.partitionBy("page_id").orderBy("ord")
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= cap).drop("_n")

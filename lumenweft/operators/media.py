@@ -162,8 +162,8 @@ def identity() -> Column:
 
 def first_seen(items: DataFrame) -> DataFrame:
     """The first row of each page and key. For rows without a media_key."""
-    w = W.partitionBy("page_id", "_key").orderBy("seq")
-    return items.withColumn("_key", U.canonical_key(F.col("src"))).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_key")
+    best = items.groupBy("page_id", U.canonical_key(F.col("src")).alias("_key")).agg(F.min_by(F.struct(*items.columns), "seq").alias("_row"))
+    return best.select("_row.*")
 
 
 def scan_dedup(items: DataFrame) -> DataFrame:
@@ -196,22 +196,21 @@ def scan_dedup(items: DataFrame) -> DataFrame:
 
 def keep_largest(items: DataFrame) -> DataFrame:
     """One row for each key, the largest (area, then bytes, then first), with slot: where the key first appeared."""
-    key = W.partitionBy("_key")
-    area = F.col("width").cast("bigint") * F.col("height")
-    out = items.withColumn("_key", U.canonical_key(F.col("src"))).withColumn("slot", F.min("seq").over(key))
-    return out.withColumn("_n", F.row_number().over(key.orderBy(area.desc(), F.col("file_size").desc(), F.col("seq").asc()))).where("_n = 1").drop("_n", "_key")
+    rank = F.struct((F.col("width").cast("bigint") * F.col("height")).alias("area"), F.col("file_size").alias("size"), (-F.col("seq")).alias("first"))
+    best = items.groupBy(U.canonical_key(F.col("src")).alias("_key")).agg(F.max_by(F.struct(*items.columns), rank).alias("_row"), F.min("seq").alias("slot"))
+    return best.select("_row.*", "slot")
 
 
 def merge_scanned(existing: DataFrame, found: DataFrame) -> DataFrame:
     """Both, once each: found rows with a media_key take the place of what had it; else the first stays. With slot."""
     columns = existing.columns
     both = existing.withColumn("_new", F.lit(0)).unionByName(found.withColumn("_new", F.lit(1))).withColumn("_id", identity())
-    key = W.partitionBy("_id")
     order = F.struct("_new", "seq")
     replaces = (F.col("_new") == 1) & (F.coalesce(F.col("media_key"), F.lit("")) != "")
-    out = both.withColumn("_first", F.min(order).over(key)).withColumn("_last", F.max(F.when(replaces, order)).over(key))
-    kept = out.where(order == F.coalesce(F.col("_last"), F.col("_first")))
-    return kept.select(*columns, F.struct(F.col("_first._new").alias("round"), F.col("_first.seq").alias("seq")).alias("slot"))
+    # replacing rows rank above all others, the last of them first; of the others the first
+    rank = F.struct(replaces.alias("r"), F.when(replaces, F.col("seq")).otherwise(F.lit(0)).alias("l"), F.when(replaces, 0).otherwise(-F.col("_new")).alias("n"), F.when(replaces, 0).otherwise(-F.col("seq")).alias("s"))
+    out = both.groupBy("_id").agg(F.max_by(F.struct(*columns), rank).alias("_row"), F.min(order).alias("_first"))
+    return out.select("_row.*", F.struct(F.col("_first._new").alias("round"), F.col("_first.seq").alias("seq")).alias("slot"))
 
 
 def apply_resolved(items: DataFrame, resolved: DataFrame, capture_hls: bool) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lumenweft.functions.scalar import hamming
 from lumenweft.sources.shared import stored
 
 SIDE, LOW, BITS = 32, 8, 64
@@ -53,28 +52,26 @@ def bits_of(p_hash: Column) -> Column:
 def near_pairs(hashes: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """hashes (seq, hi, lo) -> (a, b, distance), a < b, within the threshold.
 
-    Two hashes that differ in t bits at most agree on one of t + 1 disjoint bands, so an equi-join on bands misses none.
-    A pair is emitted by the first band on which it agrees, so no distinct is needed.
+    Two hashes that differ in t bits at most agree on two or more of t + 2 disjoint bands, so an equi-join on pairs of
+    bands misses none and meets far fewer strangers than one on single bands. A pair is emitted by the first two bands
+    on which it agrees, so no distinct is needed. Give each hash once; see clusters() for rows that share one.
     """
-    n = threshold + 1
+    n = threshold + 2
     cuts = [round(i * BITS / n) for i in range(n + 1)]
-
-    def band(hi, lo, a: int, b: int):  # bits a up to b, counted from the top
-        take = lambda x, s, e: F.shiftrightunsigned(x, 32 - e).bitwiseAND((1 << (e - s)) - 1)
-        if b <= 32:
-            return take(hi, a, b)
-        if a >= 32:
-            return take(lo, a - 32, b - 32)
-        return take(hi, a, 32) * (1 << (b - 32)) + take(lo, 0, b - 32)
-
-    bands = F.array(*[band(F.col("hi"), F.col("lo"), a, b) for a, b in zip(cuts, cuts[1:], strict=False)])
-    rows = hashes.select("seq", "hi", "lo", bands.alias("bands"))
-    keyed = rows.select("*", F.posexplode("bands").alias("k", "v"))
-    x, y = (keyed.select("k", "v", *[F.col(c).alias(f"{c}_{s}") for c in ("seq", "hi", "lo", "bands")]) for s in "ab")
-    pairs = x.join(y, ["k", "v"]).where("seq_a < seq_b")
-    distance = hamming(F.col("hi_a"), F.col("hi_b")) + hamming(F.col("lo_a"), F.col("lo_b"))
-    first = F.array_position(F.zip_with("bands_a", "bands_b", lambda p, q: p == q), True) - 1
-    return pairs.where((first == F.col("k")) & (distance <= threshold)).select(F.col("seq_a").alias("a"), F.col("seq_b").alias("b"), distance.alias("distance"))
+    table = [(BITS - b, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
+    spec = F.array(*[F.struct(F.lit(s).alias("shift"), F.lit(m).cast("bigint").alias("mask")) for s, m in table])
+    twos = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(n) for j in range(i + 1, n)])
+    whole = F.shiftleft("hi", 32).bitwiseOR(F.col("lo"))
+    rows = hashes.select("seq", whole.alias("h"))
+    rows = rows.withColumn("bands", F.transform(spec, lambda c: F.call_function("shiftrightunsigned", F.col("h"), c["shift"]).bitwiseAND(c["mask"])))
+    keys = F.transform(twos, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), F.get("bands", c["i"]).alias("v"), F.get("bands", c["j"]).alias("w")))
+    keyed = rows.select("seq", "h", "bands", F.explode(keys).alias("k")).select("seq", "h", "bands", "k.*")
+    key = ["i", "j", "v", "w"]
+    x, y = (keyed.select(*key, *[F.col(c).alias(f"{c}_{s}") for c in ("seq", "h", "bands")]) for s in "ab")
+    distance = F.bit_count(F.col("h_a").bitwiseXOR(F.col("h_b")))
+    pairs = x.join(y, key).where((F.col("seq_a") < F.col("seq_b")) & (distance <= threshold))
+    agree = F.filter(F.sequence(F.lit(0), F.lit(n - 1)), lambda t: F.get("bands_a", t) == F.get("bands_b", t))
+    return pairs.where((F.get(agree, F.lit(0)) == F.col("i")) & (F.get(agree, F.lit(1)) == F.col("j"))).select(F.col("seq_a").alias("a"), F.col("seq_b").alias("b"), distance.alias("distance"))
 
 
 def labelled(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -94,10 +91,13 @@ def labelled(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
 def clusters(hashes: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """hashes (seq, hi, lo) -> (seq, cluster): complete linkage, greedy in order of seq; cluster is its first member's seq.
 
-    No group reaches over a component of the graph of near pairs, so greedy within each component, in order, is greedy
-    over all.
+    Rows of one hash are one member, as they are always of one group. No group reaches over a component of the graph of
+    near pairs, so greedy within each component, in order, is greedy over all. A component whose members all are
+    near to each other is decided by its number of pairs; only others are folded in one task, two numbers a hash.
     """
-    parts = labelled(hashes, near_pairs(hashes, threshold)).join(hashes.select("seq", "hi", "lo"), "seq")
+    each = stored(hashes.groupBy("hi", "lo").agg(F.min("seq").alias("seq")), "hashes")
+    near = stored(near_pairs(each, threshold), "near")
+    parts = labelled(each, near).join(each, "seq")
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", kind="stable")
@@ -117,15 +117,19 @@ def clusters(hashes: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame
 
     many = W.partitionBy("label")
     sized = parts.withColumn("_n", F.count(F.lit(1)).over(many))
-    alone = sized.where("_n = 1").select("seq", F.col("seq").alias("cluster"))
-    return alone.unionByName(sized.where("_n > 1").groupBy("label").applyInPandas(greedy, "seq bigint, cluster bigint"))
+    # of two hashes, and of any number that are all near to each other, the first one's group has all
+    full = parts.select("seq", "label").join(near, F.col("seq") == F.col("a")).groupBy("label").agg(F.count(F.lit(1)).alias("_pairs"))
+    sized = sized.join(full, "label", "left").withColumn("_whole", F.coalesce("_pairs", F.lit(0)) * 2 == F.col("_n") * (F.col("_n") - 1))
+    plain = sized.where("_whole").select("seq", F.col("label").alias("cluster"))
+    found = plain.unionByName(sized.where("not _whole").groupBy("label").applyInPandas(greedy, "seq bigint, cluster bigint"))
+    decided = found.join(each, "seq").select("hi", "lo", "cluster")
+    return hashes.select("seq", "hi", "lo").join(decided, ["hi", "lo"]).select("seq", "cluster")
 
 
 def keepers(items: DataFrame) -> DataFrame:
     """items (seq, cluster, width, height, file_size) plus near_duplicate and duplicate_group: the keeper of each group of two or more is its largest."""
-    w = W.partitionBy("cluster")
     area = F.coalesce(F.col("width"), F.lit(0)).cast("bigint") * F.coalesce(F.col("height"), F.lit(0))
-    order = w.orderBy(area.desc(), F.coalesce(F.col("file_size"), F.lit(0)).desc(), F.col("seq").asc())
-    size = F.count(F.lit(1)).over(w)
-    out = items.withColumn("_size", size).withColumn("_n", F.row_number().over(order)).withColumn("_keeper", F.first("seq").over(order))
-    return out.withColumn("near_duplicate", (F.col("_size") > 1) & (F.col("_n") > 1)).withColumn("duplicate_group", F.when(F.col("_size") > 1, F.col("_keeper"))).drop("_size", "_n", "_keeper")
+    rank = F.struct(area.alias("area"), F.coalesce(F.col("file_size"), F.lit(0)).alias("size"), (-F.col("seq")).alias("first"))
+    best = items.groupBy("cluster").agg(F.count(F.lit(1)).alias("_size"), F.max_by("seq", rank).alias("_keeper"))
+    out = items.join(best, "cluster").select(*items.columns, "_size", "_keeper")
+    return out.withColumn("near_duplicate", (F.col("_size") > 1) & (F.col("seq") != F.col("_keeper"))).withColumn("duplicate_group", F.when(F.col("_size") > 1, F.col("_keeper"))).drop("_size", "_keeper")

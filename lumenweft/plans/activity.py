@@ -55,9 +55,11 @@ def deep_scan_rounds(spark, d):
     return D.scans(r)
 
 
-def quiet_windows(spark, d):
-    m = events(spark, d).select((F.col("user_id") % 40).cast("string").alias("scan_id"), (F.col("event_id") * 97 % 100_000).alias("ts_ms"))
-    return D.quiet_spans(m, gap_ms=100, cap_ms=2000).groupBy("scan_id").agg(F.sum("n").cast("bigint").alias("mutations"))
+def quiet_waits(spark, d):
+    """Every event a change during one of its scan's 25 waits."""
+    wait = F.col("event_id") % 25
+    m = events(spark, d).select((F.col("user_id") % 40).cast("string").alias("scan_id"), wait.cast("int").alias("wait_no"), (wait * 100_000).alias("start_ms"), (wait * 100_000 + F.col("event_id") * 97 % 9000).alias("ts_ms"))
+    return D.quiet_waits(m.drop("start_ms"), m.select("scan_id", "wait_no", "start_ms").distinct())
 
 
 def settings_overlay(spark, d):
@@ -74,10 +76,16 @@ def store_heal(spark, d):
     return T.healed(u.where("user_id % 2 = 0").select(key, F.when(F.col("user_id") % 4 == 0, "local").alias("value")), u.where("user_id % 3 = 0").select(key, F.lit("mirror").alias("value")))
 
 
-QUERIES = {f.__name__: f for f in (queue_fold, queue_counters, backoff_schedule, scan_memory_ema, deep_scan_rounds, quiet_windows, settings_overlay, store_heal)}
+QUERIES = {f.__name__: f for f in (queue_fold, queue_counters, backoff_schedule, scan_memory_ema, deep_scan_rounds, quiet_waits, settings_overlay, store_heal)}
 ORACLES = {
     "backoff_schedule": "SELECT event_id, CAST(least(1000 * pow(2, event_id % 12), 30000) AS BIGINT) AS wait_ms, CAST(least(1000 * pow(2, event_id % 12), 15000) AS BIGINT) AS short_ms FROM events",
-    "quiet_windows": "SELECT CAST(user_id % 40 AS VARCHAR) AS scan_id, count(*) AS mutations FROM events GROUP BY 1",
+    "quiet_waits": """WITH m AS (SELECT CAST(user_id % 40 AS VARCHAR) AS scan_id, CAST(event_id % 25 AS INTEGER) AS wait_no, event_id % 25 * 100000 AS start_ms, event_id % 25 * 100000 + event_id * 97 % 9000 AS ts_ms FROM events),
+g AS (SELECT *, ts_ms - coalesce(lag(ts_ms) OVER (PARTITION BY scan_id, wait_no ORDER BY ts_ms), start_ms) >= 400 AS gap FROM m WHERE ts_ms < start_ms + 2000),
+f AS (SELECT scan_id, wait_no, min(ts_ms) AS cut FROM g WHERE gap GROUP BY ALL),
+l AS (SELECT g.scan_id, g.wait_no, max(g.ts_ms) AS last_ms, count(*) AS n FROM g LEFT JOIN f ON f.scan_id = g.scan_id AND f.wait_no = g.wait_no WHERE f.cut IS NULL OR g.ts_ms < f.cut GROUP BY ALL),
+w AS (SELECT DISTINCT scan_id, wait_no, start_ms FROM m)
+SELECT w.scan_id, w.wait_no, coalesce(l.last_ms, w.start_ms) - w.start_ms AS settle_ms, least(coalesce(l.last_ms, w.start_ms) + 400, w.start_ms + 2000) AS end_ms,
+  coalesce(l.last_ms, w.start_ms) + 400 >= w.start_ms + 2000 AS capped, coalesce(l.n, 0) AS n FROM w LEFT JOIN l ON l.scan_id = w.scan_id AND l.wait_no = w.wait_no""",
     "settings_overlay": "SELECT DISTINCT 'h' || user_id AS host, CAST(least(user_id * 3, 10000) AS INTEGER) AS minimum_image_size, CAST(CASE WHEN user_id % 2 = 0 THEN least(20, greatest(1, user_id)) ELSE 5 END AS INTEGER) AS concurrency, 8 AS near_dup_threshold, 40 AS max_scrolls, 20000 AS max_ms FROM events",
     "store_heal": "SELECT DISTINCT CAST(user_id AS VARCHAR) AS key, CASE WHEN user_id % 4 = 0 THEN 'local' WHEN user_id % 2 = 0 THEN NULL ELSE 'mirror' END AS value FROM events WHERE user_id % 2 = 0 OR user_id % 3 = 0",
 }

@@ -259,16 +259,10 @@ def merge_scanned(spark, d):
     return out.select("seq", (F.col("seq") % 2).cast("int").alias("is_new"))
 
 
-@query("""SELECT seq, time_ms FROM (SELECT *, row_number() OVER (ORDER BY time_ms DESC, r, seq) AS p FROM (SELECT seq, key, r, time_ms, row_number() OVER (PARTITION BY key ORDER BY r, CASE WHEN r = 0 THEN -time_ms END, seq) AS n
-FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS r, (seq * 7919) % 100003 AS time_ms FROM k)) WHERE n = 1) WHERE p <= 100""")
-def merge_history(spark, d):
-    return _history(spark, d, cap=100, budget=None)
-
-
 @query("""SELECT seq, time_ms FROM (SELECT *, sum(strlen('{"src":"' || src || '","time_ms":' || time_ms || '}')) OVER (ORDER BY p) AS bytes FROM (SELECT *, row_number() OVER (ORDER BY time_ms DESC, r, seq) AS p FROM (SELECT seq, src, key, r, time_ms, row_number() OVER (PARTITION BY key ORDER BY r, CASE WHEN r = 0 THEN -time_ms END, seq) AS n
 FROM (SELECT *, CASE WHEN seq % 3 = 0 THEN 0 ELSE 1 END AS r, (seq * 7919) % 100003 AS time_ms FROM k)) WHERE n = 1) WHERE p <= 500) WHERE p = 1 OR bytes <= 2000000""")
 def merge_history_whole(spark, d):
-    """merge_history at the production limits; that query's SQL has 100 entries and no bytes."""
+    """At the production limits: 500 entries and 2,000,000 bytes."""
     return _history(spark, d)
 
 
@@ -311,17 +305,11 @@ def sidecar_json(spark, d):
     return items(spark, d).select("seq", F.to_json(row, {"ignoreNullFields": "false"}).alias("sidecar"), F.concat(U.last_segment(F.col("src")), F.lit(".json")).alias("file"))
 
 
-@query("""WITH p AS (SELECT CAST(l_orderkey % 100 AS BIGINT) AS page_id, CAST(l_quantity * 20 AS INTEGER) AS width, CAST(l_linenumber * 150 AS INTEGER) AS height FROM lineitem WHERE l_orderkey % 100 < 50)
+@query("""WITH p AS (SELECT CAST(l_orderkey % 100 AS BIGINT) AS page_id, CAST(l_quantity * 20 AS INTEGER) AS width, CAST(l_linenumber * 150 AS INTEGER) AS height FROM lineitem)
 SELECT page_id, count(*) AS image_count, round(max(CAST(width AS DOUBLE) * height) / sum(CAST(width AS DOUBLE) * height), 9) AS dominant, round(var_pop(CAST(width AS DOUBLE) / height), 6) AS spread,
   CASE WHEN count(*) >= 20 AND count(*) * 40000.0 / 1024000 >= 0.5 AND var_pop(CAST(width AS DOUBLE) / height) < 0.1 THEN 'gallery' WHEN page_id % 2 = 0 AND count(*) >= 10 THEN 'feed' WHEN page_id % 3 = 0 THEN 'article' ELSE 'unknown' END AS page_class
 FROM p GROUP BY page_id""")
-def page_signals(spark, d):
-    return _signals(spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 100 < 50"))
-
-
-@query(ORACLES["page_signals"].replace(" WHERE l_orderkey % 100 < 50", ""))
 def page_signals_whole(spark, d):
-    """page_signals of all rows and pages; that query's SQL has half of them."""
     return _signals(spark.read.parquet(f"{d}/lineitem.parquet"))
 
 
@@ -349,6 +337,30 @@ def hamming_pairs(spark, d):
     return N.near_pairs(hashes(spark, d), 12)
 
 
+_NEAR = """WITH h AS (SELECT vec_id AS seq, (vec_id // 5 * 2654435761 + vec_id // 5 % 13 * 97531) % 4294967296 AS hi,
+  xor((vec_id // 5 * 3266489917 + 668265263) % 4294967296, CASE WHEN vec_id % 5 = 0 THEN 0 WHEN vec_id % 5 = 4 THEN 7 ELSE CAST(1 AS BIGINT) << CAST(vec_id % 5 * 9 AS BIGINT) END) AS lo FROM embeddings)"""
+
+
+def near_hashes(spark, d) -> DataFrame:
+    """Hashes in fives: the first of each, three that differ from it in a bit, and one in three."""
+    five = F.expr("vec_id div 5")
+    flip = F.when(F.col("vec_id") % 5 == 0, F.lit(0)).when(F.col("vec_id") % 5 == 4, F.lit(7)).otherwise(F.expr("shiftleft(cast(1 as bigint), cast(vec_id % 5 * 9 as int))")).cast("bigint")
+    hi, lo = F.pmod(five * 2654435761 + five % 13 * 97531, F.lit(4294967296)), F.pmod(five * 3266489917 + 668265263, F.lit(4294967296))
+    return spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("seq"), hi.alias("hi"), lo.bitwiseXOR(flip).alias("lo"))
+
+
+@query(f"{_NEAR} SELECT a.seq AS a, b.seq AS b, CAST(bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) AS INTEGER) AS distance FROM h a, h b WHERE a.seq < b.seq AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 8")
+def near_hash_pairs(spark, d):
+    return N.near_pairs(near_hashes(spark, d))
+
+
+@query(f"""{_NEAR}, p AS (SELECT a.seq AS a, b.seq AS b, bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3 AS near FROM h a, h b WHERE a.seq <= b.seq)
+SELECT b AS seq, min(a) AS cluster FROM p WHERE near GROUP BY b""")
+def near_hash_clusters(spark, d):
+    """At this threshold two of the fives' members are near, or their first one is far from all others."""
+    return N.clusters(near_hashes(spark, d), 4)
+
+
 @query()
 def near_dup_cluster(spark, d):
     return N.clusters(hashes(spark, d), 12)

@@ -15,7 +15,12 @@ ANCHOR = r'<a[^>]*?href="([^"]*)"'
 
 def anchors(pages: DataFrame) -> DataFrame:
     """One row for each anchor of each page: page_id, ord (from 0), href. A null html has none."""
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 1)).alias("ord", "href"))
+    return addressed_anchors(pages).drop("url")
+
+
+def addressed_anchors(pages: DataFrame) -> DataFrame:
+    """anchors() with the page's url, which is carried along."""
+    return pages.select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit(ANCHOR), 1)).alias("ord", "href"))
 
 
 def anchor_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,8 +46,7 @@ def open_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    a = anchors(p).join(p.select("page_id", "url"), "page_id")
+    a = addressed_anchors(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return a.select("page_id", "ord", absolute(F.col("href"), F.col("url")).alias("target"))
 
 
@@ -51,18 +55,54 @@ def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.where(F.col("tag").isin("a", "p", "li", "h1", "article", "nav", "footer")).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def gallery_page_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.gallery_links(_thumbs(spark, sf_dir), cap=3).select("page_id", "ord")
+#: First segments put before the links' paths, in turn; those marked are no media pages.
+SEGMENTS = (("photos", 0), ("tags", 1), ("gallery", 0), ("Category", 1), ("taglist", 0), ("sign-in", 1), ("members", 1), ("aboutus", 0), ("newsletter", 1), ("x/tags", 0), ("topic", 1))
 
 
 def gallery_page_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """gallery_page_gate at the production limit; that query's SQL has 3 links a page."""
-    return X.gallery_links(_thumbs(spark, sf_dir)).select("page_id", "ord")
-
-
-def _thumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages' links, below segments that are and are not a media page's, at the production limit."""
+    a = addressed_anchors(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    segment = F.element_at(F.array(*[F.lit(s) for s, _ in SEGMENTS]), ((F.col("page_id") + F.col("ord")) % len(SEGMENTS) + 1).cast("int"))
+    a = a.withColumn("href", F.concat(F.lit("/"), segment, "href")).withColumn("thumb_width", (F.col("ord") * 40).cast("int"))
+    return X.gallery_links(a).select("page_id", "ord", "target")
+
+
+#: Site, an address of it, and the id in it; {n} is the page's number, {e} eleven digits, {f} five, {h} 32 hexadecimal ones, {u} these as a UUID, {l} letters.
+EMBEDDED = (
+    ("youtube", "https://youtu.be/{e}?t=3", "{e}"), ("youtube", "https://www.youtube.com/watch?t=1&v={e}", "{e}"), ("youtube", "https://m.youtube.com/shorts/{e}", "{e}"), ("vimeo", "https://player.vimeo.com/video/{n}", "{n}"),
+    ("vimeo", "https://vimeo.com/channels/staff/{n}", "{n}"), ("dailymotion", "https://dai.ly/x{f}", "x{f}"), ("dailymotion", "https://www.dailymotion.com/embed/video/x{f}", "x{f}"), ("rutube", "https://rutube.ru/video/{h}/", "{h}"),
+    ("rumble", "https://rumble.com/v{n}-a-title.html", "v{n}-a-title.html"), ("rumble", "https://rumble.com/embed/v{n}/", "embed/v{n}"), ("loom", "https://www.loom.com/share/{h}", "{h}"), ("streamable", "https://streamable.com/e/{n}", "{n}"),
+    ("redgifs", "https://www.redgifs.com/watch/{l}", "{l}"), ("twitch-clip", "https://clips.twitch.tv/Clip{n}", "Clip{n}"), ("twitch-vod", "https://player.twitch.tv/?video=v{n}", "{n}"), ("twitch-clip", "https://www.twitch.tv/some/clip/Clip{n}", "Clip{n}"),
+    ("twitch-vod", "https://www.twitch.tv/videos/{n}", "{n}"), ("kick-clip", "https://kick.com/a/clips/clip_{n}", "clip_{n}"), ("kick-vod", "https://kick.com/a/videos/{u}", "{u}"), ("soundcloud", "https://soundcloud.com/artist{n}/track{n}", "artist{n}/track{n}"),
+    ("9gag", "https://9gag.com/gag/a{n}", "a{n}"), ("peertube", "https://tube.example/w/{u}", "{u}"), (None, "https://example.com/video/1", None), (None, "https://www.youtube.com/watch?v=short{n}x", None),
+)
+_HEX = "md5(cast(page_id AS STRING))"
+_HOLES = {
+    "{n}": "cast(page_id AS STRING)", "{e}": "lpad(cast(page_id AS STRING), 11, '0')", "{f}": "lpad(cast(page_id AS STRING), 5, '0')", "{h}": _HEX, "{l}": "translate(cast(page_id AS STRING), '0123456789', 'abcdefghij')",
+    "{u}": " || '-' || ".join(f"substring({_HEX}, {at}, {n})" for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))),
+}
+
+
+def _made(k: int) -> str:
+    """SQL, for both engines, of the k-th value of EMBEDDED by page."""
+
+    def text(t: str | None) -> str:
+        if t is None:
+            return "NULL"
+        out = f"'{t}'"
+        for hole, sql in _HOLES.items():
+            out = out.replace(hole, f"' || {sql} || '")
+        return out
+
+    return f"CASE page_id % {len(EMBEDDED)} " + " ".join(f"WHEN {i} THEN {text(e[k])}" for i, e in enumerate(EMBEDDED)) + " END"
+
+
+def anchor_embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the links of the pages embed; each page's markup has one more link, to an address of a known site in turn."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return anchors(p).join(p.select("page_id", "url"), "page_id").withColumn("thumb_width", (F.col("ord") * 40).cast("int"))
+    p = p.withColumn("html", F.concat("html", F.lit('<p><a class="x" href="'), F.expr(_made(1)), F.lit('">y</a>')))
+    a = addressed_anchors(p).withColumn("target", absolute(F.col("href"), F.col("url")))
+    return a.withColumn("e", R.embed(F.col("target"))).where("e is not null").select("page_id", "ord", "e.site", "e.id")
 
 
 def embed_id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +125,7 @@ def resolver_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.candidates(p.withColumn("url", made)).select("page_id", "resolver", "original")
 
 
-QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate, gallery_page_gate_whole, embed_id_scan, resolver_dispatch)}
+QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, embed_id_scan, resolver_dispatch)}
 _H = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 _O = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 _A = """a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1)) AS href,
@@ -97,9 +137,11 @@ ORACLES = {
     "open_pages": "SELECT CAST(count(*) FILTER (WHERE regexp_matches(url, '^https?://')) AS BIGINT) AS scanned, CAST(count(*) FILTER (WHERE NOT regexp_matches(url, '^https?://')) AS BIGINT) AS skipped FROM pages",
     "resolved_anchors": f"WITH {_A} SELECT page_id, CAST(ord AS INTEGER) AS ord, {_O} || href AS target FROM a JOIN pages USING (page_id)",
     "element_counts": """SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '<script>.*?</script>', ''), '<(a|p|li|h1|article|nav|footer)[ >]', 1)) AS tag FROM pages) GROUP BY page_id, tag""",
-    "gallery_page_gate": f"""WITH {_A} SELECT page_id, CAST(ord AS INTEGER) AS ord FROM (SELECT page_id, ord, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM a WHERE (ord * 40 = 0 OR ord * 40 >= 64)
-  AND NOT regexp_matches(href, '(?i)/(?:tags?|categor(?:y|ies)|search|users?|authors?|login|signup|register|about|contact|privacy|terms|page)(?:/|$)')) WHERE n <= 3""",
+    "gallery_page_gate_whole": f"""WITH {_A}, s AS (SELECT page_id, ord, href, [{", ".join(f"'{x}'" for x, _ in SEGMENTS)}][CAST((page_id + ord) % {len(SEGMENTS)} AS INTEGER) + 1] AS segment FROM a)
+SELECT page_id, CAST(ord AS INTEGER) AS ord, {_O} || '/' || segment || href AS target FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY ord) AS n FROM s JOIN pages USING (page_id)
+  WHERE (ord = 0 OR ord * 40 >= 64) AND segment NOT IN ({", ".join(f"'{x}'" for x, no in SEGMENTS if no)})) WHERE n <= 60""",
+    "anchor_embeds": f"""WITH {_A}, n AS (SELECT page_id, count(*) AS n FROM a GROUP BY page_id), e AS (SELECT page_id, {_made(0).replace("STRING", "VARCHAR")} AS site, {_made(2).replace("STRING", "VARCHAR")} AS id FROM pages)
+SELECT e.page_id, CAST(coalesce(n.n, 0) AS INTEGER) AS ord, site, id FROM e LEFT JOIN n ON n.page_id = e.page_id WHERE site IS NOT NULL""",
     "embed_id_scan": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' WHEN 2 THEN 'twitch-vod' END AS site, CASE page_id % 4 WHEN 0 THEN lpad(CAST(page_id AS VARCHAR), 11, '0') WHEN 3 THEN NULL ELSE CAST(page_id AS VARCHAR) END AS id FROM pages",
     "resolver_dispatch": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'reddit' WHEN 1 THEN 'youtube' ELSE 'generic' END AS resolver, CASE page_id % 3 WHEN 0 THEN 'https://i.redd.it/' || page_id || '.png' WHEN 1 THEN 'https://i.ytimg.com/vi/' || lpad(CAST(page_id AS VARCHAR), 11, '0') || '/hqdefault.jpg' ELSE 'https://plain.example/' || page_id || '.jpg' END AS original FROM pages",
 }
-ORACLES["gallery_page_gate_whole"] = ORACLES["gallery_page_gate"].replace("n <= 3", "n <= 60")
