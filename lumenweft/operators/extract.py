@@ -159,8 +159,9 @@ def image_urls(elems: DataFrame) -> DataFrame:
     plain = lambda a: F.when(attr(a).rlike(r"url\("), F.regexp_extract(attr(a), r"""url\(\s*['"]?(.*?)['"]?\s*\)""", 1)).otherwise(attr(a))
     found = F.concat(F.array(*[attr(a) for a in LAZY_SRC], attr("src")), *sets, F.array(*[plain(a) for a in LAZY_BACKGROUNDS]))
     found = F.array_distinct(F.filter(F.array_compact(found), lambda x: x != ""))
-    out = rows.select("page_id", "elem_ordinal", "url", F.posexplode(found).alias("sub_ordinal", "raw"))
-    return out.select("page_id", "elem_ordinal", "sub_ordinal", "raw", F.when(F.col("raw").startswith("data:"), F.col("raw")).otherwise(absolute(F.col("raw"), F.col("url"))).alias("src"))
+    size = lambda a: F.coalesce(F.regexp_extract(attr(a), r"^\s*(\d+)", 1).try_cast("int"), F.lit(0)).alias(a)
+    out = rows.select("page_id", "elem_ordinal", "url", "tag", F.coalesce(attr("alt"), F.lit("")).alias("alt"), size("width"), size("height"), attr("src").alias("own"), F.posexplode(found).alias("sub_ordinal", "raw"))
+    return out.select("page_id", "url", "elem_ordinal", "sub_ordinal", "tag", "alt", "width", "height", "own", "raw", F.when(F.col("raw").startswith("data:"), F.col("raw")).otherwise(absolute(F.col("raw"), F.col("url"))).alias("src"))
 
 
 def css_backgrounds(elems: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenweft.functions import url as U
+from lumenweft.operators import collect as C
 from lumenweft.operators import extract as X
 from lumenweft.operators import resolve as R
 from lumenweft.operators.manifest import absolute
@@ -56,7 +57,7 @@ def element_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: First segments put before the links' paths, in turn; those marked are no media pages.
-SEGMENTS = (("photos", 0), ("tags", 1), ("gallery", 0), ("Category", 1), ("taglist", 0), ("sign-in", 1), ("members", 1), ("aboutus", 0), ("newsletter", 1), ("x/tags", 0), ("topic", 1))
+SEGMENTS = (("photos", 0), ("tags", 1), ("gallery", 0), ("Category", 1), ("taglist", 0), ("sign-in", 1), ("members", 1), ("aboutus", 0), ("newsletter", 1), ("x/tags", 0), ("topic", 1), ("view", 0), ("p", 0), ("art", 0), ("media", 0), ("pagesize", 0))
 
 
 def gallery_page_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +106,18 @@ def anchor_embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.withColumn("e", R.embed(F.col("target"))).where("e is not null").select("page_id", "ord", "e.site", "e.id")
 
 
+_MARKUP = """concat('<html><head><meta property="og:image" content="/og/', page_id, '.jpg"></head><body><p><img src="/i/', page_id, '.png" alt="A" width="640" height="480" srcset="/i/', page_id, '-800x600.png 800w"></p>',
+  '<video src="/v/', page_id, '.mp4" poster="https://p.example/x.jpg" title="T"></video><a href="/f/', page_id, '.webp"><img src="/t/', page_id, '.webp"></a><a href="', MADE, '">e</a>',
+  '<iframe src="https://player.vimeo.com/video/', page_id, '"></iframe><div style="background-image: url(/b/', page_id, '.gif)"></div><img src="/i/', page_id, '.png?token=zz"></body></html>')"""
+
+
+def collected_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole scan over every page's address, with markup that holds an item for most of its passes."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    items = C.media(p.withColumn("html", F.expr(_MARKUP.replace("MADE", _made(1)))))
+    return items.select("page_id", "src", "kind", "type", "width", "height", F.coalesce("unresolved_video", F.lit(False)).alias("pending"))
+
+
 def embed_id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
     n = F.lpad(F.col("page_id").cast("string"), 11, "0")
@@ -125,7 +138,7 @@ def resolver_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.candidates(p.withColumn("url", made)).select("page_id", "resolver", "original")
 
 
-QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, embed_id_scan, resolver_dispatch)}
+QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, collected_media, embed_id_scan, resolver_dispatch)}
 _H = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 _O = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 _A = """a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1)) AS href,
@@ -142,6 +155,15 @@ SELECT page_id, CAST(ord AS INTEGER) AS ord, {_O} || '/' || segment || href AS t
   WHERE (ord = 0 OR ord * 40 >= 64) AND segment NOT IN ({", ".join(f"'{x}'" for x, no in SEGMENTS if no)})) WHERE n <= 60""",
     "anchor_embeds": f"""WITH {_A}, n AS (SELECT page_id, count(*) AS n FROM a GROUP BY page_id), e AS (SELECT page_id, {_made(0).replace("STRING", "VARCHAR")} AS site, {_made(2).replace("STRING", "VARCHAR")} AS id FROM pages)
 SELECT e.page_id, CAST(coalesce(n.n, 0) AS INTEGER) AS ord, site, id FROM e LEFT JOIN n ON n.page_id = e.page_id WHERE site IS NOT NULL""",
+    "collected_media": f"""WITH p AS (SELECT *, {_O} AS o, {_made(0).replace("STRING", "VARCHAR")} AS site, {_made(2).replace("STRING", "VARCHAR")} AS id FROM pages)
+SELECT page_id, o || '/i/' || page_id || '.png' AS src, 'image' AS kind, 'png' AS type, 640 AS width, 480 AS height, false AS pending FROM p
+UNION ALL SELECT page_id, o || '/i/' || page_id || '-800x600.png', 'image', 'png', 800, 600, false FROM p UNION ALL SELECT page_id, o || '/t/' || page_id || '.webp', 'image', 'webp', 0, 0, false FROM p
+UNION ALL SELECT page_id, o || '/b/' || page_id || '.gif', 'image', 'gif', 0, 0, false FROM p UNION ALL SELECT page_id, o || '/v/' || page_id || '.mp4', 'video', 'mp4', 0, 0, false FROM p
+UNION ALL SELECT page_id, o || '/f/' || page_id || '.webp', 'image', 'webp', 0, 0, false FROM p UNION ALL SELECT page_id, o || '/og/' || page_id || '.jpg', 'image', 'jpeg', 0, 0, false FROM p
+UNION ALL SELECT page_id, 'https://i.ytimg.com/vi/' || id || '/hqdefault.jpg', 'image', 'jpeg', 0, 0, false FROM p WHERE site = 'youtube'
+UNION ALL SELECT DISTINCT * FROM (SELECT page_id, 'https://vimeo.com/' || page_id, 'video', 'mp4', 0, 0, true FROM p
+  UNION ALL SELECT page_id, CASE site {" ".join(f"WHEN '{k}' THEN replace('{v[0]}', '{{}}', id)" for k, v in C.EMBED_PAGES.items())} ELSE 'https://tube.example/videos/embed/' || id END, 'video',
+    CASE WHEN site IN ({", ".join(f"'{k}'" for k, v in C.EMBED_PAGES.items() if v[1] == "m3u8")}) THEN 'm3u8' ELSE 'mp4' END, 0, 0, true FROM p WHERE site NOT IN ('youtube', '9gag'))""",
     "embed_id_scan": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' WHEN 2 THEN 'twitch-vod' END AS site, CASE page_id % 4 WHEN 0 THEN lpad(CAST(page_id AS VARCHAR), 11, '0') WHEN 3 THEN NULL ELSE CAST(page_id AS VARCHAR) END AS id FROM pages",
     "resolver_dispatch": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'reddit' WHEN 1 THEN 'youtube' ELSE 'generic' END AS resolver, CASE page_id % 3 WHEN 0 THEN 'https://i.redd.it/' || page_id || '.png' WHEN 1 THEN 'https://i.ytimg.com/vi/' || lpad(CAST(page_id AS VARCHAR), 11, '0') || '/hqdefault.jpg' ELSE 'https://plain.example/' || page_id || '.jpg' END AS original FROM pages",
 }
