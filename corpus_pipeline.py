@@ -56,7 +56,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' ids in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), entries=PACKING_WORDS)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), entries=PACKING_WORDS, special=True)
 
 
 STAGES = [
