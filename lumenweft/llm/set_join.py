@@ -14,7 +14,8 @@ Exact self-join of word-shingle sets at a Jaccard threshold, down to its connect
    component; only in the other pairs entries meet.
 5. Derived answers: the models of a pair of groups are compared. Where they are similar, the groups are one component.
    Where they are not and still lie in different components, the answers of a model's sets follow from what the models
-   share and what each set has beyond its model: only the pairs for which this sum leaves room are looked at.
+   share and what each set has beyond its model: of the pairs that meet in the lists of the sets themselves, only those
+   for which this sum leaves room are compared.
 6. Candidates pass a bound (shingles counted in 64 classes: the sum of the lesser counts is the most that two sets can
    share) and are then compared in full, on sets made anew from the texts of those documents alone.
 
@@ -285,18 +286,16 @@ def _cross_pairs(index: DataFrame, t: Threshold) -> DataFrame:
     return pairs.where((F.col("comp_a") != F.col("comp_b")) & near & room).select(*_ordered(F.col("node_a"), F.col("node_b"))).distinct()
 
 
-def _derived(overlaps: DataFrame, groups: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs of sets whose models' overlap leaves room for the threshold, where the models themselves do not meet it.
+def _derived(pairs: DataFrame, overlaps: DataFrame, groups: DataFrame, t: Threshold) -> DataFrame:
+    """The candidate pairs (a, b) of sets that their models' overlap leaves room for.
 
-    overlaps: a, b, shared, lo_b, far_b (of b's group: its least size, and the most that a set has beyond b).
-    groups: node, n, model, d. What two sets share is at most what their models share and what each has beyond its model.
+    overlaps: a, b, shared of the models that are still to be told; groups: node, n, model, d. What two sets share is at
+    most what their models share and what each has beyond its model; pairs of models that are not in overlaps are decided.
     """
-    side = lambda s: groups.select(F.col("node").alias(f"x_{s}"), F.col("n").alias(f"m_{s}"), F.col("model").alias(s), F.col("d").alias(f"d_{s}"))
-    some = side("a").join(sized(overlaps), "a").where(t.may_share(F.col("shared") + F.col("d_a") + F.col("far_b"), F.col("m_a"), F.col("lo_b")))
-    rows = some.join(side("b"), "b")
-    n, m = F.col("m_a"), F.col("m_b")
-    fits = (t.den * F.least(n, m) >= t.num * F.greatest(n, m)) & t.may_share(F.least(F.col("shared") + F.col("d_a") + F.col("d_b"), n, m), n, m)
-    return rows.where(fits & ((F.col("x_a") != F.col("a")) | (F.col("x_b") != F.col("b")))).select(*_ordered(F.col("x_a"), F.col("x_b")))
+    side = lambda s: groups.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("model").alias(f"model_{s}"), F.col("d").alias(f"d_{s}"))
+    rows = pairs.join(side("a"), "a").join(side("b"), "b").select("*", F.least("model_a", "model_b").alias("x"), F.greatest("model_a", "model_b").alias("y"))
+    rows = rows.join(sized(overlaps.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared")), ["x", "y"])
+    return rows.where(t.may_share(F.col("shared") + F.col("d_a") + F.col("d_b"), F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
 def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -363,11 +362,12 @@ def jaccard_components(docs: DataFrame, k: int, num: int, den: int, doc_id: str
     rest = over.where(~met).select("a", "b", "shared")
     for x in "ab":  # pairs of models that are in one component by now need no more
         rest = rest.join(sized(roots.select(F.col("node").alias(x), F.col("root").alias(f"comp_{x}"))), x, "left").withColumn(f"comp_{x}", F.coalesce(f"comp_{x}", x))
-        rest = rest.join(sized(some.select(F.col("node").alias(x), F.col("lo").alias(f"lo_{x}"), F.col("far").alias(f"far_{x}"), F.col("size").alias(f"size_{x}"))), x)
-    rest = stored(rest.where("comp_a <> comp_b and (size_a > 1 or size_b > 1)").select("a", "b", "shared", "lo_b", "far_b"), "open")
+        rest = rest.join(sized(some.select(F.col("node").alias(x), F.col("size").alias(f"size_{x}"))), x)
+    rest = stored(rest.where("comp_a <> comp_b and (size_a > 1 or size_b > 1)").select("a", "b", "shared"), "open")
     links = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
     if not rest.isEmpty():
-        links = joined(compared(_derived(rest, groups, t), sketches).where(met))
+        own = stored(_cross_pairs(placed().withColumn("model", F.col("node")), t), "own")
+        links = joined(compared(_derived(own, rest, groups, t), sketches).where(met))
     # A document with several sets ties their classes, whose nodes may be other documents.
     several = first.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(*[f(c).alias(f"{c}_{f.__name__}") for c in ("s1", "s2") for f in (F.min, F.max)])
     several = stored(several.where("s1_min <> s1_max or s2_min <> s2_max").select("doc_id"), "several")
