@@ -150,6 +150,7 @@ def solve(spark: SparkSession, counts: Counter, capacity: int, islands: int = IS
         sent = spark.createDataFrame([(i, own[i]) for i in range(islands)], "island int, packings array<binary>").repartition(islands, "island")
 
         def run(batches: Iterator[pd.DataFrame], epoch=epoch) -> Iterator[pd.DataFrame]:
+            release(forget=True)  # the pieces are stored: no worker needs its encoder
             for batch in batches:
                 rows = []
                 for i, packings in zip(batch["island"], batch["packings"], strict=True):
@@ -242,6 +243,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPAC
     shared = spark.sparkContext.broadcast(tuple(np.array(c, np.int64) for c in zip(*slots, strict=True)) if slots else (np.zeros(0, np.int64),) * 4)
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release(forget=True)
         keys, first_sequence, offsets, first_rank = shared.value
         for p in batches:
             rank = p["first"].to_numpy() + p["nth"].to_numpy()
