@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lumenweft.functions import url as U
 from lumenweft.operators import collect as C
 from lumenweft.operators import extract as X
+from lumenweft.operators import offers as O
 from lumenweft.operators import resolve as R
 from lumenweft.operators.manifest import absolute
 
@@ -118,6 +119,35 @@ def collected_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("page_id", "src", "kind", "type", "width", "height", F.coalesce("unresolved_video", F.lit(False)).alias("pending"))
 
 
+_PATREON = "https://c1.patreonusercontent.com/4/patreon-media/p/post/{n}/"
+#: A page's address, what its markup ends with, and the items there (site, place, kind, address, key); {n} is the page's number.
+SITE_PAGES = (
+    ("https://imgur.com/gallery/{n}", '<script>window.postDataJSON={"media":[{"id":"a{n}","url":"https://i.imgur.com/a{n}.png"},{"id":"b","url":"https://other.example/b.png"},{"url":"https://i.imgur.com/c{n}.mp4"}]};</script>', (("imgur", 0, "image", "https://i.imgur.com/a{n}.png", "imgur a{n}"), ("imgur", 1, "video", "https://i.imgur.com/c{n}.mp4", "imgur 2"))),
+    ("https://www.patreon.com/posts/title-{n}", f'<img src="{_PATREON}aa/eyJ3Ijo2MjB9/1.jpg?t=1"><img src="{_PATREON}aa/eyJhIjoxLCJwIjoxfQ==/1.jpg?t=2"><img src="{_PATREON}bb/eyJ3Ijo2MjB9/2.gif">', (("patreon", 0, "image", _PATREON + "aa/eyJhIjoxLCJwIjoxfQ==/1.jpg?t=2", "patreon {n} aa/1.jpg"), ("patreon", 1, "gif", _PATREON + "bb/eyJ3Ijo2MjB9/2.gif", "patreon {n} bb/2.gif"))),
+    ("https://fapello.com/some/{n}/", '<div class="uk-align-center"><img src="https://cdn.fapello.com/{n}.md.jpg"></div>', (("fapello", 0, "image", "https://cdn.fapello.com/{n}.jpg", "fapello some {n}"),)),
+    ("https://xhamster.com/videos/title-{n}", '<script>window.initials = {"videoModel":{"sources":{"mp4":{"240p":"https://a.xhcdn.com/s{n}.mp4","1080p":"https://a.xhcdn.com/l{n}.mp4"}}}};</script>', (("xhamster", 0, "video", "https://a.xhcdn.com/l{n}.mp4", "xhamster {n}"),)),
+    ("https://www.pornhub.com/view_video.php?viewkey=ph{n}", '<script>var flashvars_1 = {"mediaDefinitions":[{"format":"hls","quality":"240","videoUrl":"https://h.phncdn.com/{n}/240.m3u8"},{"format":"hls","quality":["240"],"videoUrl":"https://h.phncdn.com/{n}/all.m3u8"}]};</script>', (("pornhub", 0, "video", "https://h.phncdn.com/{n}/all.m3u8", "pornhub ph{n}"),)),
+    ("https://ok.ru/video/{n}", '<div data-options="{&quot;flashvars&quot;:{&quot;metadata&quot;:{&quot;videos&quot;:[{&quot;name&quot;:&quot;hd&quot;,&quot;url&quot;:&quot;https://v.okcdn.ru/?id=h{n}&quot;},{&quot;name&quot;:&quot;sd&quot;,&quot;url&quot;:&quot;https://v.okcdn.ru/?id=s{n}&quot;}]}}}"></div>', (("okru", 0, "video", "https://v.okcdn.ru/?id=h{n}", "okru {n}"),)),
+    ("https://imgpile.com/p/s{n}", '<i class="post-media"><a href="https://c.example/{n}.png"></a></i><i class="post-media"><a href="https://c.example/{n}.webm"></a></i>', (("imgpile", 0, "image", "https://c.example/{n}.png", "imgpile s{n} 0"), ("imgpile", 1, "video", "https://c.example/{n}.webm", "imgpile s{n} 1"))),
+    ("https://imgspice.com/{n}.html", '<img id="imgpreview" src="/i/{n}.jpg">', (("imghost", 0, "image", "https://imgspice.com/i/{n}.jpg", "imghost imgspice.com/{n}.html"),)),
+    ("https://jpg5.su/img/{n}", '<meta property="og:image" content="https://f.example/{n}.gif">', (("chevereto", 0, "gif", "https://f.example/{n}.gif", "chevereto jpg5.su {n}"),)),
+    ("https://plain.example/{n}", '<meta property="og:image" content="https://f.example/{n}.gif">', ()),
+)
+
+
+def _text(t: str, kind: str = "STRING") -> str:
+    return "'" + t.replace("{n}", f"' || cast(page_id AS {kind}) || '") + "'"
+
+
+def site_reader_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the readers of sites find on every page, each given a known site's address and an end of its markup in turn."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    k = F.col("page_id") % len(SITE_PAGES)
+    pick = lambda i: F.element_at(F.array(*[F.expr(_text(s[i])) for s in SITE_PAGES]), (k + 1).cast("int"))
+    rows = p.select("page_id", pick(0).alias("url"), F.concat(F.coalesce("html", F.lit("")), pick(1)).alias("html"))
+    return O.site_media(rows).select("page_id", "site", "idx", "kind", "url", "media_key")
+
+
 def embed_id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
     n = F.lpad(F.col("page_id").cast("string"), 11, "0")
@@ -138,7 +168,7 @@ def resolver_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.candidates(p.withColumn("url", made)).select("page_id", "resolver", "original")
 
 
-QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, collected_media, embed_id_scan, resolver_dispatch)}
+QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, collected_media, site_reader_media, embed_id_scan, resolver_dispatch)}
 _H = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 _O = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 _A = """a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1)) AS href,
@@ -164,6 +194,9 @@ UNION ALL SELECT page_id, 'https://i.ytimg.com/vi/' || id || '/hqdefault.jpg', '
 UNION ALL SELECT DISTINCT * FROM (SELECT page_id, 'https://vimeo.com/' || page_id, 'video', 'mp4', 0, 0, true FROM p
   UNION ALL SELECT page_id, CASE site {" ".join(f"WHEN '{k}' THEN replace('{v[0]}', '{{}}', id)" for k, v in C.EMBED_PAGES.items())} ELSE 'https://tube.example/videos/embed/' || id END, 'video',
     CASE WHEN site IN ({", ".join(f"'{k}'" for k, v in C.EMBED_PAGES.items() if v[1] == "m3u8")}) THEN 'm3u8' ELSE 'mp4' END, 0, 0, true FROM p WHERE site NOT IN ('youtube', '9gag'))""",
+    "site_reader_media": " UNION ALL ".join(
+        f"SELECT page_id, '{site}' AS site, {idx} AS idx, '{kind}' AS kind, {_text(url, 'VARCHAR')} AS url, {_text(key, 'VARCHAR')} AS media_key FROM pages WHERE page_id % {len(SITE_PAGES)} = {i}" for i, (_, _, items) in enumerate(SITE_PAGES) for site, idx, kind, url, key in items
+    ),
     "embed_id_scan": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' WHEN 2 THEN 'twitch-vod' END AS site, CASE page_id % 4 WHEN 0 THEN lpad(CAST(page_id AS VARCHAR), 11, '0') WHEN 3 THEN NULL ELSE CAST(page_id AS VARCHAR) END AS id FROM pages",
     "resolver_dispatch": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'reddit' WHEN 1 THEN 'youtube' ELSE 'generic' END AS resolver, CASE page_id % 3 WHEN 0 THEN 'https://i.redd.it/' || page_id || '.png' WHEN 1 THEN 'https://i.ytimg.com/vi/' || lpad(CAST(page_id AS VARCHAR), 11, '0') || '/hqdefault.jpg' ELSE 'https://plain.example/' || page_id || '.jpg' END AS original FROM pages",
 }
