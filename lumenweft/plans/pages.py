@@ -10,6 +10,7 @@ from lumenweft.operators import collect as C
 from lumenweft.operators import extract as X
 from lumenweft.operators import offers as O
 from lumenweft.operators import resolve as R
+from lumenweft.operators import variants as V
 from lumenweft.operators.manifest import absolute
 
 ANCHOR = r'<a[^>]*?href="([^"]*)"'
@@ -148,6 +149,30 @@ def site_reader_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.site_media(rows).select("page_id", "site", "idx", "kind", "url", "media_key")
 
 
+_SPIEGEL = "https://cdn.prod.www.spiegel.de/images/0123abcd-0123-0123-0123-{n}_w"
+#: An image's address, two candidates of its srcset, and what is found: resolver, which of the three, width, height; {n} is the page's number, in twelve digits.
+LISTED = (
+    ("https://img.magnific.com/{n}.jpg?t=a&w=740", "https://img.magnific.com/{n}.jpg?t=b&w=360 360w", "https://img.magnific.com/{n}.jpg?t=c&w=2000 2000w", "magnific", 2, 2000, None),
+    ("https://www.n.example/resizer/v2/{n}.png?auth=h&width=100", "https://www.n.example/resizer/v2/{n}.png?auth=h&width=900 900w", "https://m.n.example/resizer/v2/{n}.png?auth=h&width=1900 1900w", "arcxp", 1, 900, None),
+    (_SPIEGEL + "300_r1.5_a.jpg", _SPIEGEL + "1200_r1.5_b.jpg 1200w", _SPIEGEL + "600_r1.5_c.jpg 9000w", "spiegel", 1, 1200, 800),
+    ("https://img-s1.onedio.com/id-{n}/rev-0/w-900/h-450/f-jpg/s-a1.jpg", "https://img-s1.onedio.com/id-{n}/rev-0/w-600/h-300/f-jpg/s-a2.jpg 600w", "https://img-s2.onedio.com/id-ff/rev-0/w-1200/h-600/f-jpg/s-a3.jpg 1200w", "onedio", 0, 900, 450),
+    ("https://plain.example/{n}.jpg", "https://plain.example/{n}-l.jpg 2000w", "https://img.magnific.com/{n}.jpg?w=2000 2000w", None, 0, None, None),
+)
+
+
+def _listed(k: int, kind: str = "STRING") -> str:
+    """SQL, for both engines, of the k-th value of LISTED by page."""
+    text = lambda t: "'" + t.replace("{n}", f"' || lpad(cast(page_id AS {kind}), 12, '0') || '") + "'"
+    return f"CASE page_id % {len(LISTED)} " + " ".join(f"WHEN {i} THEN {text(r[k])}" for i, r in enumerate(LISTED)) + " END"
+
+
+def listed_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The widest rendition that a srcset lists, for an image of a known site in turn on every page."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", F.col("url").alias("page_url"))
+    images = p.select("*", F.expr(_listed(0)).alias("src"), F.array(F.expr(_listed(1)), F.expr(_listed(2))).alias("listed"), F.lit(None).cast("int").alias("natural_width"), F.lit(None).cast("int").alias("natural_height"))
+    return V.widest_listed(images).select("page_id", "resolver", "original", "width", "height")
+
+
 def embed_id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
     n = F.lpad(F.col("page_id").cast("string"), 11, "0")
@@ -168,7 +193,7 @@ def resolver_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.candidates(p.withColumn("url", made)).select("page_id", "resolver", "original")
 
 
-QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, collected_media, site_reader_media, embed_id_scan, resolver_dispatch)}
+QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, collected_media, site_reader_media, listed_originals, embed_id_scan, resolver_dispatch)}
 _H = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 _O = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 _A = """a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1)) AS href,
@@ -197,6 +222,10 @@ UNION ALL SELECT DISTINCT * FROM (SELECT page_id, 'https://vimeo.com/' || page_i
     "site_reader_media": " UNION ALL ".join(
         f"SELECT page_id, '{site}' AS site, {idx} AS idx, '{kind}' AS kind, {_text(url, 'VARCHAR')} AS url, {_text(key, 'VARCHAR')} AS media_key FROM pages WHERE page_id % {len(SITE_PAGES)} = {i}" for i, (_, _, items) in enumerate(SITE_PAGES) for site, idx, kind, url, key in items
     ),
+    "listed_originals": " UNION ALL ".join(
+        f"SELECT page_id, {'NULL' if r[3] is None else repr(r[3])} AS resolver, split_part({_listed(r[4], 'VARCHAR')}, ' ', 1) AS original, CAST({r[5] or 'NULL'} AS INTEGER) AS width, CAST({r[6] or 'NULL'} AS INTEGER) AS height FROM pages WHERE page_id % {len(LISTED)} = {i}"
+        for i, r in enumerate(LISTED)
+    ),
     "embed_id_scan": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' WHEN 2 THEN 'twitch-vod' END AS site, CASE page_id % 4 WHEN 0 THEN lpad(CAST(page_id AS VARCHAR), 11, '0') WHEN 3 THEN NULL ELSE CAST(page_id AS VARCHAR) END AS id FROM pages",
     "resolver_dispatch": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'reddit' WHEN 1 THEN 'youtube' ELSE 'generic' END AS resolver, CASE page_id % 3 WHEN 0 THEN 'https://i.redd.it/' || page_id || '.png' WHEN 1 THEN 'https://i.ytimg.com/vi/' || lpad(CAST(page_id AS VARCHAR), 11, '0') || '/hqdefault.jpg' ELSE 'https://plain.example/' || page_id || '.jpg' END AS original FROM pages",
 }
