@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -32,15 +32,15 @@ DIM_BLOCK = 16
 LOWEST, HIGHEST = -(2**63), 2**63 - 1
 
 
-def quantised(vectors: DataFrame, scale: float = 256.0, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """vec_id, q array<bigint>: floor(scale * x), x as double, at the ends of 64 bits if beyond them.
+def quantised(vectors: DataFrame, scale: float = 256.0, vec_id: str = "vec_id", vector: str = "embedding", keep: dict[str, Column] | None = None) -> DataFrame:
+    """vec_id, q array<bigint>: floor(scale * x), x as double, at the ends of 64 bits if beyond them; and what keep names.
 
     Vectors null or with null or non-finite parts, or a null id, go.
     """
     x = F.col("v").cast("array<double>")
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("v")).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
-    return rows.where(fine).select("vec_id", F.transform(x, lambda e: F.floor(e * F.lit(scale)).cast("bigint")).alias("q"))
+    rows = vectors.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("v"), *[c.alias(name) for name, c in (keep or {}).items()]).where(F.col("v").isNotNull() & F.col("vec_id").isNotNull())
+    return rows.where(fine).select("vec_id", *(keep or {}), F.transform(x, lambda e: F.floor(e * F.lit(scale)).cast("bigint")).alias("q"))
 
 
 def _matrix(values: list, dims: int) -> np.ndarray:
