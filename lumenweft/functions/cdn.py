@@ -11,10 +11,11 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as SF
 
 from lumenweft.functions import url as U
+from lumenweft.functions.text import F, as_text, column
 
 RESIZE = ("w", "h", "fit", "resize", "quality", "q", "dpr", "crop")
 
@@ -218,22 +219,23 @@ for _i, (_where, *_) in enumerate(RULES):
         _ANYWHERE.append(_i)
 
 
-def first_rule(h: Column, p: Column, q: Column) -> Column:
-    """The number (from 0) of the first rule that matches, or null.
+RULE = "struct<rule:int,host:string,path:string,query:string>"
 
-    The last two labels of the host choose the few rules whose patterns are tried, so neither the plan nor the work on a
-    URL grows with the number of rules.
-    """
-    ends = sorted(_BY_END)
-    table = F.map_from_arrays(F.array(*map(F.lit, ends)), F.array(*[F.array(*map(F.lit, _BY_END[e])) for e in ends]))
-    tied = F.coalesce(F.try_element_at(table, F.substring_index(h, ".", -2)), F.array().cast("array<int>"))
-    pattern = lambda k: F.array(*[F.lit(r[k] if isinstance(r[k], str) and not r[k].startswith("=") else "") for r in RULES])
-    fits = F.filter(tied, lambda i: F.regexp_like(h, F.get(pattern(0), i)) & F.regexp_like(p, F.get(pattern(1), i)) & F.regexp_like(q, F.get(pattern(2), i)))
-    return F.least(F.array_min(fits), F.coalesce(*[F.when(matches(RULES[i], h, p, q), F.lit(i)) for i in _ANYWHERE]))
+
+def tied_rules(spark: SparkSession) -> DataFrame:
+    """end, tied: for the last two labels of a host, what the rules that are tied to such hosts ask for."""
+    text = lambda x: x if x and not x.startswith("=") else ""
+    rows_ = [(end, [(i, *map(text, RULES[i][:3])) for i in numbers]) for end, numbers in sorted(_BY_END.items())]
+    return spark.createDataFrame(rows_, f"end string, tied array<{RULE}>")
 
 
-def rule_number(url: Column) -> Column:
-    return U.let(U.parts(url), lambda u: first_rule(u["host"], u["path"], u["query"]))
+def first_rule(h: Column, p: Column, q: Column, tied: Column) -> Column:
+    """The number (from 0) of the first rule that matches, or null. tied: of tied_rules(), by the host's last two labels.
+
+    They are few, so neither the plan nor the work on a URL grows with the number of rules.
+    """
+    fits = F.filter(tied, lambda r: F.regexp_like(h, r["host"]) & F.regexp_like(p, r["path"]) & F.regexp_like(q, r["query"]))
+    return F.least(F.array_min(F.transform(fits, lambda r: r["rule"])), F.coalesce(*[F.when(matches(RULES[i], h, p, q), F.lit(i)) for i in _ANYWHERE]))
 
 
 SCHEMA = "rule int, drop_names array<string>, clear boolean, set_name string, set_pair string, subs array<struct<pattern:string,first:boolean,replacement:string>>, host_pattern string, host_replacement string, call string"
@@ -269,33 +271,39 @@ def _subbed(p: Column, sub: Column) -> Column:
 def upgraded(df, url: str = "url", prefix: str = ""):
     """df plus original and thumbnail: the URL unwrapped and rewritten, and the URL as it was if that changed it.
 
-    The number of the first rule that matches is found from the URL's parts; a broadcast join (as many rows as rules)
-    brings that rule's steps as data, so one expression serves all rules. A rewrite that leaves no path counts for
+    A broadcast join by the host's last two labels brings the few rules that may match, as patterns in columns; a second
+    one (as many rows as rules) brings the steps of the first that does, so one expression serves all rules. A rewrite that leaves no path counts for
     nothing. What is no URL stays as it is.
     """
-    c = {x: f"_{prefix}{x}" for x in ("start", "rule", "host", "path", "query", "step", "path2", "query2", "base2")}
+    c = {x: f"_{prefix}{x}" for x in ("start", "rule", "host", "path", "query", "step", "path2", "query2", "base2", "end", "tied")}
+    spark = df.sparkSession
     col = lambda x: F.col(c[x])
-    out = df.withColumn(c["start"], F.coalesce(U.deproxy(F.col(url)), F.col(url)))
-    out = out.withColumns({c["host"]: U.host(col("start")), c["path"]: U.path(col("start")), c["query"]: U.query(col("start"))})
-    out = out.withColumn(c["rule"], first_rule(col("host"), col("path"), col("query")))
-    table = df.sparkSession.createDataFrame(rows(), SCHEMA)
-    table = F.broadcast(table.select(F.col("rule").alias(c["rule"]), F.struct(*[x for x in table.columns if x != "rule"]).alias(c["step"])))
+    with as_text():
+        start = F.coalesce(U.deproxy(F.col(url)), F.col(url))
+        parts = {"host": U.host(col("start")), "path": U.path(col("start")), "query": U.query(col("start"))}
+        first = first_rule(col("host"), col("path"), col("query"), col("tied"))
+    out = df.withColumn(c["start"], column(start)).withColumns({c[k]: column(v) for k, v in parts.items()})
+    tied = tied_rules(spark).withColumnsRenamed({"end": c["end"], "tied": c["tied"]})  # as many rows as ends of hosts
+    out = out.withColumn(c["end"], SF.substring_index(SF.col(c["host"]), ".", -2)).join(SF.broadcast(tied), c["end"], "left").withColumn(c["rule"], column(first))
+    table = spark.createDataFrame(rows(), SCHEMA)
+    table = SF.broadcast(table.select(SF.col("rule").alias(c["rule"]), SF.struct(*[x for x in table.columns if x != "rule"]).alias(c["step"])))
     out = out.join(table, c["rule"], "left")
     step = lambda x: F.col(f"{c['step']}.{x}")
-    computed = col("path")
-    for name, f in COMPUTED.items():
-        computed = F.when(step("call") == name, f(col("path"), col("start"))).otherwise(computed)
-    subs = F.aggregate(F.coalesce(step("subs"), F.array().cast("array<struct<pattern:string,first:boolean,replacement:string>>")), computed, _subbed)
     name = lambda x: U.param_name(x)
-    kept = F.array_join(F.filter(U.params(col("query")), lambda x: ~F.coalesce(F.array_contains(step("drop_names"), name(x)), F.lit(False))), "&")
-    kept = F.when(F.coalesce(step("clear"), F.lit(False)), "").when(F.size(step("drop_names")) > 0, kept).otherwise(col("query"))
-    has = F.exists(U.params(kept), lambda x: name(x) == step("set_name"))
-    swapped = F.array_join(F.transform(U.params(kept), lambda x: F.when(name(x) == step("set_name"), step("set_pair")).otherwise(x)), "&")
-    query = F.when(step("set_name").isNull(), kept).when(has, swapped).otherwise(F.concat_ws("&", F.when(kept != "", kept), step("set_pair")))
-    base = U.origin(col("start"))
-    base = F.when(step("host_pattern").isNotNull(), F.replace(base, col("host"), F.regexp_replace(col("host"), step("host_pattern"), step("host_replacement")))).otherwise(base)
-    out = out.withColumns({c["path2"]: subs, c["query2"]: query, c["base2"]: base})
-    fine = U.valid(col("start")) & (F.regexp_replace(col("path2"), "/", "") != "")
-    done = F.when(col("rule").isNull(), col("start")).otherwise(U.assemble(col("base2"), col("path2"), col("query2")))
-    out = out.withColumn(f"{prefix}original", F.when(fine, done).otherwise(F.col(url)))
-    return out.withColumn(f"{prefix}thumbnail", F.when(F.col(f"{prefix}original") != F.col(url), F.col(url))).drop(*c.values())
+    with as_text():
+        computed = col("path")
+        for call, f in COMPUTED.items():
+            computed = F.when(step("call") == call, f(col("path"), col("start"))).otherwise(computed)
+        subs = F.aggregate(F.coalesce(step("subs"), F.array().cast("array<struct<pattern:string,first:boolean,replacement:string>>")), computed, lambda acc, x: _subbed(acc, x))
+        kept = F.array_join(F.filter(U.params(col("query")), lambda x: ~F.coalesce(F.array_contains(step("drop_names"), name(x)), F.lit(False))), "&")
+        kept = F.when(F.coalesce(step("clear"), F.lit(False)), "").when(F.size(step("drop_names")) > 0, kept).otherwise(col("query"))
+        has = lambda k: F.exists(U.params(k), lambda x: name(x) == step("set_name"))
+        swapped = lambda k: F.array_join(F.transform(U.params(k), lambda x: F.when(name(x) == step("set_name"), step("set_pair")).otherwise(x)), "&")
+        query = U.let(kept, lambda k: F.when(step("set_name").isNull(), k).when(has(k), swapped(k)).otherwise(F.concat_ws("&", F.when(k != "", k), step("set_pair"))))
+        base = U.origin(col("start"))
+        base = F.when(step("host_pattern").isNotNull(), F.replace(base, col("host"), F.regexp_replace(col("host"), step("host_pattern"), step("host_replacement")))).otherwise(base)
+        fine = U.valid(col("start")) & (F.regexp_replace(col("path2"), "/", "") != "")
+        done = F.when(fine, F.when(col("rule").isNull(), col("start")).otherwise(U.assemble(col("base2"), col("path2"), col("query2")))).otherwise(F.col(url))
+        changed = F.when(F.col(f"{prefix}original") != F.col(url), F.col(url))
+    out = out.withColumns({c["path2"]: column(subs), c["query2"]: column(query), c["base2"]: column(base)})
+    return out.withColumn(f"{prefix}original", column(done)).withColumn(f"{prefix}thumbnail", column(changed)).drop(*c.values())

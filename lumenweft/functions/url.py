@@ -1,4 +1,4 @@
-"""URL functions as Columns: parts, types, sizes, identity. No UDF: all stays in code generation.
+"""URL functions as Columns: parts, types, sizes, identity. No UDF; the larger ones are written out as SQL (see text).
 
 A URL here is what a browser would accept as absolute http(s), parsed by one pattern. Host names are lower-cased, user
 info and default ports go, blanks in the path are escaped. Dot segments are left as they stand.
@@ -9,7 +9,8 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
+
+from lumenweft.functions.text import F, compiled
 
 ABSOLUTE = r"^(?i:(https?)://)(?:[^/?#@]*@)?([^/?#:@\s]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 
@@ -150,6 +151,7 @@ def image_type(url: Column) -> Column:
     return F.when(F.contains(seg, F.lit(".")), normal_format(F.substring_index(seg, ".", -1))).otherwise("unknown")
 
 
+@compiled
 def detect_type(url: Column) -> Column:
     """Type by extension, else by the parameters format or fm, else by an @ suffix of the path."""
     by_ext = image_type(url)
@@ -164,6 +166,7 @@ def extension(url: Column) -> Column:
     return F.when(ext != "", ext)
 
 
+@compiled
 def image_extension(url: Column) -> Column:
     at = F.lower(F.regexp_extract(bare(url), r"(?i)@([a-z0-9]{1,5})$", 1))
     return F.when(extension(url).isin(*IMAGE_EXTENSIONS), extension(url)).when(at.isin(*IMAGE_EXTENSIONS), at)
@@ -173,6 +176,7 @@ def _mapped(value: Column, table: dict[str, str]) -> Column:
     return reduce(lambda acc, kv: acc.when(value == kv[0], F.lit(kv[1])), table.items(), F.when(F.lit(False), F.lit(None).cast("string")))
 
 
+@compiled
 def av_type(url: Column, mime: Column | None = None) -> Column:
     """Canonical audio or video type by the extension, else by the MIME type; else unknown."""
     known = {**AUDIO_TYPES, **VIDEO_TYPES}
@@ -213,6 +217,7 @@ def under(h: Column, *names: str) -> Column:
     return reduce(lambda a, b: a | b, [(h == n) | h.endswith("." + n) for n in names])
 
 
+@compiled
 def looks_like_media(url: Column) -> Column:
     def known(u: Column) -> Column:
         h = u["host"]
@@ -223,6 +228,7 @@ def looks_like_media(url: Column) -> Column:
     return let(url, lambda x: F.coalesce(x.rlike(MEDIA_FILE) | let(parts(x), known), F.lit(False)))
 
 
+@compiled
 def dimensions(url: Column) -> Column:
     """struct<width, height> stated in a URL, or null: a WxH token, else the parameters w and h (a missing one is 0)."""
     size = r"(?i)(?<=[-_=])(\d{2,5})x(\d{2,5})(?![\dA-Za-z])"
@@ -233,6 +239,7 @@ def dimensions(url: Column) -> Column:
     return F.when(url.rlike(size), both(F.regexp_extract(url, size, 1), F.regexp_extract(url, size, 2))).when((w != "") | (h != ""), both(zero(w), zero(h)))
 
 
+@compiled
 def base64_info(src: Column) -> Column:
     """struct<type, bytes> of a data:image URL: 3/4 of the payload less its padding, 0 if it is not base64; else null."""
     kind = F.regexp_extract(src, r"(?i)^data:image/([a-z0-9.+-]+)", 1)
@@ -242,7 +249,19 @@ def base64_info(src: Column) -> Column:
     return F.when(kind != "", F.struct(F.regexp_replace(normal_format(F.regexp_replace(kind, r"\+xml$", "")), "^unknown$", "unknown").alias("type"), size.alias("bytes")))
 
 
+def absolute(uri: Column, base: Column) -> Column:
+    """uri against base: absolute, scheme-relative, rooted or relative to the base's folder."""
+    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
+    folder = F.regexp_extract(F.regexp_extract(base, r"^([^?#]*)", 1), r"^(.*/)", 1)
+    folder = F.when(F.length(folder) > F.length(origin), folder).otherwise(F.concat(origin, F.lit("/")))
+    return (
+        F.when(uri.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), uri).when(uri.startswith("//"), F.concat(scheme, uri)).when(uri.startswith("/"), F.concat(origin, uri)).otherwise(F.concat(folder, uri))
+    )
+
+
 # ---- identity ---------------------------------------------------------------------------------------------------
+@compiled
 def registrable_domain(h: Column) -> Column:
     labels = F.filter(F.split(F.regexp_replace(h, r"(?i)^www\.", ""), r"\."), lambda x: x != "")
     n = F.size(labels)
@@ -250,12 +269,14 @@ def registrable_domain(h: Column) -> Column:
     return F.when(n <= 2, F.array_join(labels, ".")).when(tail(2).isin(*TWO_PART_SUFFIXES), tail(3)).otherwise(tail(2))
 
 
+@compiled
 def cloudinary_transform(seg: Column) -> Column:
     """A comma list of key_value parts, each key a transformation's and no value with an underscore."""
     fine = lambda t: F.substring_index(t, "_", 1).isin(*CLOUDINARY_KEYS) & (F.length(t) - F.length(F.replace(t, F.lit("_"), F.lit(""))) == 1)
     return F.forall(F.split(seg, ","), fine)
 
 
+@compiled
 def canonical_key(src: Column) -> Column:
     """The stable identity of a media URL: host and path less edge hosts, signatures and renditions.
 
@@ -288,6 +309,7 @@ def canonical_key(src: Column) -> Column:
     return let(src, lambda x: F.when(valid(x), let(parts(x), key)).otherwise(x))
 
 
+@compiled
 def is_emoji(src: Column) -> Column:
     """Served by a host, or from a folder, that has only emoji."""
 
@@ -305,6 +327,7 @@ def pinned(url: Column, *hosts: str) -> Column:
     return F.when(url.rlike(r"(?i)^https://") & under(host(url), *hosts), url)
 
 
+@compiled
 def strip_secrets(url: Column) -> Column:
     """The URL without signing parameters: a fixed list and the X-Amz- and X-Goog- families. Others stay as spelled."""
     secret = lambda x: F.lower(param_name(x)).isin(*SIGNING_PARAMS) | F.lower(param_name(x)).rlike(r"^x-(?:amz|goog)-")
@@ -314,6 +337,7 @@ def strip_secrets(url: Column) -> Column:
     return F.when(has, F.concat(bare(url), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(""), fragment)).otherwise(url)
 
 
+@compiled
 def safe_source(url: Column) -> Column:
     """A page address to be shown: control characters and blanks out; no other scheme than http(s)."""
     clean = F.regexp_replace(url, r"[\x00-\x20\x7f]", "")
@@ -340,6 +364,7 @@ def _v4(h: Column) -> Column:
     return F.when(F.size(parts) == 1, part(h)).when(F.size(parts) == 4, four)
 
 
+@compiled
 def safe_capture(url: Column) -> Column:
     """False for what a server must not fetch: other schemes, local names, private, loopback and link-local addresses in any spelling, alone or inside of a name."""
     return let(url, _safe_capture)
@@ -359,6 +384,7 @@ def _safe_capture(url: Column) -> Column:
 
 
 # ---- names ------------------------------------------------------------------------------------------------------
+@compiled
 def sanitize_path(x: Column) -> Column:
     """A relative path that stays below its root and that every file system takes."""
     clean = F.replace(F.regexp_replace(x, r'[<>:"|?*\x00-\x1f]', ""), F.lit("\\"), F.lit("/"))
@@ -380,6 +406,7 @@ def expand_template(template: Column, tokens: dict[str, Column]) -> Column:
     return sanitize_path(F.regexp_replace(filled, r"\{[^}]*\}", ""))
 
 
+@compiled
 def original_name(url: Column) -> Column:
     """The file's name without its extension, decoded and made safe; null where there is none."""
     decoded = decode(F.substring_index(path(url), "/", -1))
@@ -388,6 +415,7 @@ def original_name(url: Column) -> Column:
     return F.when(valid(url) & (safe != ""), safe)
 
 
+@compiled
 def contained(p: Column) -> Column:
     """A relative path without its dot segments, or null if it would leave its root."""
     parts = F.filter(F.split(F.replace(p, F.lit("\\"), F.lit("/")), "/"), lambda x: ~x.isin("", "."))
@@ -408,10 +436,10 @@ def links_name(domain: Column, date: Column) -> Column:
 
 
 # ---- proxies ----------------------------------------------------------------------------------------------------
+@compiled
 def deproxy(url: Column) -> Column:
     """The media URL that an image proxy's URL wraps, unwrapped once; null where there is none."""
     absolute = lambda x: x.rlike(r"(?i)^https?://")
-    media = lambda x: let(x, lambda v: F.when(looks_like_media(v), v))
 
     def inner(u: Column) -> Column:
         p, q, h, base = u["path"], u["query"], u["host"], u["origin"]
@@ -419,17 +447,25 @@ def deproxy(url: Column) -> Column:
         fetch = F.regexp_replace(F.regexp_extract(p, r"/image/fetch/(.*)$", 1), r"^(?:[^/]*_[^/]*/)+", "")
         cdn = F.regexp_extract(p, r"/cdn-cgi/image/([^/]*=[^/]*)/(.*)$", 2)
         misskey = F.when(h == "proxy.misskeyusercontent.jp", F.regexp_extract(p, r"^/(?:image|static|avatar|emoji)/(.+)$", 1)).otherwise("")
-        stated = lambda k: decode(param_of(q, k))
-        rooted = lambda v: F.when(absolute(v), v).otherwise(F.concat(base, F.lit("/"), F.regexp_replace(v, "^/+", "")))
-        schemed = lambda v: F.when(absolute(v), v).otherwise(F.concat(F.lit("https://"), v))
-        early = (
-            F.when(fetch != "", let(F.concat(decode(fetch), search), lambda v: F.when(absolute(v), media(v)))),
-            F.when(cdn != "", media(let(F.concat(decode(cdn), search), rooted))),
-            F.when(under(h, "images.weserv.nl", "wsrv.nl"), let(stated("url"), lambda v: F.when(v != "", media(schemed(v))))),
-            F.when(p.rlike(r"/proxy/[^/]+$"), let(stated("url"), lambda v: F.when(absolute(v), media(v)))),
-            F.when(misskey != "", media(let(decode(misskey), schemed))),
-        )
-        by_param = [let(stated(k), lambda v: media(F.when(absolute(v), v).when(v.startswith("/"), F.concat(base, v)))) for k in PROXY_PARAMS]
-        return F.coalesce(*early, F.when(~p.rlike(MEDIA_FILE), F.coalesce(*by_param)))
+        by_host, by_path = under(h, "images.weserv.nl", "wsrv.nl"), p.rlike(r"/proxy/[^/]+$")
+        # What each kind of proxy wraps, and what a relative address there is put behind.
+        named = F.filter(F.transform(params(q), lambda x: F.struct(param_name(x).alias("name"), x.alias("pair"))), lambda x: x["name"].isin(*PROXY_PARAMS))
+        wrap = lambda on, text, before: F.when(on, F.struct(text.alias("text"), before.alias("before")))
+        none = F.lit(None).cast("string")
+
+        def found(n: Column) -> Column:
+            first = lambda k: F.get(F.filter(n, lambda x: x["name"] == k), F.lit(0))
+            stated = lambda x: decode(param_value(x["pair"]))
+            url_ = first(F.lit("url"))
+            early = [
+                wrap(fetch != "", F.concat(decode(fetch), search), none), wrap(cdn != "", F.concat(decode(cdn), search), F.concat(base, F.lit("/"))), wrap(by_host & url_.isNotNull(), F.nullif(stated(url_), F.lit("")), F.lit("https://")),
+                wrap(by_path & url_.isNotNull(), stated(url_), none), wrap(misskey != "", decode(misskey), F.lit("https://")),
+            ]
+            late = F.transform(F.array(*map(F.lit, PROXY_PARAMS)), lambda k: let(first(k), lambda x: F.when(x.isNotNull(), let(stated(x), lambda v: F.struct(v.alias("text"), F.when(v.startswith("/"), base).alias("before"))))))
+            return F.concat(F.array(*early), F.when(p.rlike(MEDIA_FILE), F.array_repeat(early[0], 0)).otherwise(late))
+
+        whole = lambda w: F.when(absolute(w["text"]), w["text"]).otherwise(F.concat(w["before"], F.when(w["before"] == F.concat(base, F.lit("/")), F.regexp_replace(w["text"], "^/+", "")).otherwise(w["text"])))
+        every = F.transform(F.array_compact(let(named, found)), whole)
+        return F.get(F.filter(every, lambda v: F.coalesce(looks_like_media(v), F.lit(False))), F.lit(0))
 
     return F.when(valid(url), let(parts(url), inner))

@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenweft.functions import scalar as S
+from lumenweft.functions.url import absolute
 
 DRM_FORMATS = r"(?i)widevine|playready|fairplay|com\.apple\.streamingkeydelivery|urn:uuid"
 VIDEO_CODEC = r"(?i)(?:^|[,.\s])(?:avc1|avc3|hvc1|hev1|vp0?9|av01|dvh1|dvhe|mp4v)"
@@ -31,17 +32,6 @@ def attribute(line: Column, name: str) -> Column:
     return F.when(present, F.regexp_replace(found, r'^"|"$', ""))
 
 
-def absolute(uri: Column, base: Column) -> Column:
-    """uri against base: absolute, scheme-relative, rooted or relative to the base's folder."""
-    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
-    folder = F.regexp_extract(F.regexp_extract(base, r"^([^?#]*)", 1), r"^(.*/)", 1)
-    folder = F.when(F.length(folder) > F.length(origin), folder).otherwise(F.concat(origin, F.lit("/")))
-    return (
-        F.when(uri.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), uri).when(uri.startswith("//"), F.concat(scheme, uri)).when(uri.startswith("/"), F.concat(origin, uri)).otherwise(F.concat(folder, uri))
-    )
-
-
 def hls_variants(manifests: DataFrame) -> DataFrame:
     """The variant streams of master playlists: the next line that is no comment is a variant's address."""
     after = W.partitionBy("manifest_id").orderBy("n").rowsBetween(1, W.unboundedFollowing)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lumenweft.functions import scalar as S
 from lumenweft.functions import url as U
+from lumenweft.sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -166,32 +167,35 @@ def first_seen(items: DataFrame) -> DataFrame:
     return best.select("_row.*")
 
 
-def scan_dedup(items: DataFrame) -> DataFrame:
-    """What a scan of a page keeps: a row goes if its media_key was kept before, else if its key was.
+def scan_dedup(items: DataFrame, page: str = "page_id") -> DataFrame:
+    """What a scan of a page (rows of one value of the column page) keeps: a row goes if its media_key was kept before, else if its key was.
 
-    A row that its media_key rules out does not make its key known, so two ranks would not do: each page's rows are
-    folded in order. A page is bounded by what one page holds.
+    Rows that their media_key rules out go first, and of the others the first of each key stays. Only where the first row
+    of a repeated media_key goes for its key does the order of the two tests matter, as then its media_key is not taken:
+    such a page's rows are folded in order. A page is bounded by what one page holds.
     """
     schema = items.schema
-
-    def fold(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values("seq", kind="stable")
+    own = F.coalesce(F.nullif("media_key", F.lit("")), F.concat(F.lit("\x00"), F.col("seq").cast("string")))
+    rows = items.withColumn("_key", U.canonical_key(F.col("src"))).withColumn("_mk", own)
+    in_page = W.partitionBy(page, "_mk")
+    rows = rows.withColumn("_nth", F.row_number().over(in_page.orderBy("seq"))).withColumn("_all", F.count(F.lit(1)).over(in_page))
+    first = F.col("_nth") == 1
+    rows = rows.withColumn("_place", F.when(first, F.row_number().over(W.partitionBy(page, "_key", "_nth").orderBy("seq"))))
+    rows = stored(rows.withColumn("_clash", F.max(first & (F.col("_all") > 1) & (F.col("_place") > 1)).over(W.partitionBy(page))), "identities")
+
+    def fold(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq", kind="stable")
         keys, media, keep = set(), set(), []
-        for key, mk in zip(page["_key"], page["media_key"], strict=True):
-            mk = None if mk is None or mk != mk or mk == "" else mk
-            if mk is not None and mk in media:
-                keep.append(False)
-                continue
-            if key in keys:
-                keep.append(False)
-                continue
-            keys.add(key)
-            if mk is not None:
+        for key, mk in zip(rows["_key"], rows["_mk"], strict=True):
+            keep.append(mk not in media and key not in keys)
+            if keep[-1]:
+                keys.add(key)
                 media.add(mk)
-            keep.append(True)
-        return page.loc[keep, schema.names]
+        return rows.loc[keep, schema.names]
 
-    return items.withColumn("_key", U.canonical_key(F.col("src"))).groupBy("page_id").applyInPandas(fold, schema)
+    kept = rows.where("not _clash and _place = 1").select(*schema.names)
+    clashing = rows.where("_clash")
+    return kept if clashing.isEmpty() else kept.unionByName(clashing.groupBy(page).applyInPandas(fold, schema))
 
 
 def keep_largest(items: DataFrame) -> DataFrame:

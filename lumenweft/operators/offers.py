@@ -6,6 +6,8 @@ is of. Of the offers of one item the best by rank stays, the first of equal ones
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,6 +120,13 @@ def _unescaped(x: Column) -> Column:
 SITES = {"patreon": _patreon, "fapello": _fapello, "imgur": _imgur, "xhamster": _xhamster, "pornhub": _pornhub, "okru": _okru}
 
 
+def reads(url: Column) -> Column:
+    """Whether a reader of a site reads pages of this address."""
+    h, p = U.host(url), U.path(url)
+    own = [h.rlike(pattern) & (p.rlike(PATHS[name]) | (F.lit(name) == "pornhub")) for name, pattern in HOSTS.items()]
+    return reduce(lambda a, b: a | b, own + [h.rlike(r[1]) & p.rlike(r[2]) for r in R.RULES])
+
+
 def offered_media(pages: DataFrame) -> DataFrame:
     """(page_id, site, id, idx, kind, url, ext, media_key, poster) of pages (page_id, url, html) of the sites above.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenweft.functions import url as U
-from lumenweft.operators.manifest import absolute
+from lumenweft.functions.url import absolute
 
 VIDEO = r"(?i)\.(?:mp4|webm|mov|m4v)(?:[?#]|$)"
 OG_IMAGE = [r'(?i)<meta[^>]+property="og:image"[^>]+content="([^"]+)"', r'(?i)<meta[^>]+content="([^"]+)"[^>]+property="og:image"']

@@ -6,10 +6,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
-from pyspark.sql import functions as F
+from pyspark.sql import functions as SF
 
 from lumenweft.functions import cdn
 from lumenweft.functions import url as U
+from lumenweft.functions.text import F, as_text, column, compiled
 
 # Sites, hosts (a leading dot: also below), and what of the path or a parameter holds the id, in order of dispatch.
 EMBEDS: list[tuple[str, tuple[str, ...], tuple[tuple[str, str], ...]]] = [
@@ -36,6 +37,7 @@ PEERTUBE = r"^/(?:videos/embed|w|videos/watch)/([0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]
 LOWERED = ("rutube", "loom", "redgifs")
 
 
+@compiled
 def embed(url: Column) -> Column:
     """struct<site, id> of the first embed rule that a URL satisfies, else null."""
 
@@ -61,7 +63,7 @@ HOSTS = [("twitter", "twimg.com", 0), ("unsplash", "unsplash.com", 4), ("bsky",
 
 def dispatch(urls: DataFrame, url: str = "url") -> DataFrame:
     """urls plus resolver: the resolver of the highest priority whose host suffix the URL has; by an equi-join on exploded suffixes, else generic."""
-    table = F.broadcast(urls.sparkSession.createDataFrame(HOSTS, "resolver string, suffix string, priority int"))
+    table = SF.broadcast(urls.sparkSession.createDataFrame(HOSTS, "resolver string, suffix string, priority int"))
     hosts = urls.select(U.host(F.col(url)).alias("_host")).distinct()
     keyed = hosts.select("_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("_host", r"\."))), lambda i: F.array_join(F.slice(F.split("_host", r"\."), i, F.size(F.split("_host", r"\."))), "."))).alias("suffix"))
     best = keyed.join(table, "suffix").groupBy("_host").agg(F.min_by("resolver", "priority").alias("resolver"))
@@ -71,29 +73,34 @@ def dispatch(urls: DataFrame, url: str = "url") -> DataFrame:
 def candidates(urls: DataFrame, url: str = "url") -> DataFrame:
     """urls plus original, thumbnail, kind, pending and hint, by the URL alone."""
     up = cdn.upgraded(dispatch(urls, url), url)
-    x, p, h, q = F.col(url), U.path(F.col(url)), U.host(F.col(url)), U.query(F.col(url))
-    base = U.origin(x)
-    video_id = embed(x)
-    blob = F.regexp_extract(p, r"^/img/([^/]+)/plain/([^/]+)/([^@/]+)", 1)
-    did, cid = (F.regexp_extract(p, r"^/img/[^/]+/plain/([^/]+)/([^@/]+)", i) for i in (1, 2))
-    bsky_path = F.regexp_replace(F.regexp_replace(p, "^/img/feed_thumbnail/", "/img/feed_fullsize/"), "^/img/avatar_thumbnail/", "/img/avatar/")
-    special = (
-        F.when(F.col("resolver") == "reddit", F.when(h == "v.redd.it", x).otherwise(F.concat(F.lit("https://i.redd.it"), p)))
-        .when((F.col("resolver") == "bsky") & (blob != ""), U.assemble(base, bsky_path, q))
-        .when((F.col("resolver") == "youtube") & video_id.isNotNull(), F.concat(F.lit("https://i.ytimg.com/vi/"), video_id["id"], F.lit("/hqdefault.jpg")))
-        .when((F.col("resolver") == "pixiv") & p.rlike(r"(?i)^/c/[^/]+/img-master/.*_master1200\.[a-z0-9]+$"), F.concat(base, F.regexp_replace(p, r"^/c/[^/]+/", "/")))
-        .when(p.rlike(r"media_attachments/.*/small/[^/]+$"), U.assemble(base, F.regexp_replace(p, r"/small/([^/]+)$", "/original/$1"), q))
-        .when((F.col("resolver") == "unsplash") & U.param_of(q, "s").isNotNull(), x)
-    )
-    pending = ((F.col("resolver") == "reddit") & (h == "v.redd.it")) | (blob == "feed_video_blob")
-    hint = (
-        F.when(blob == "feed_video_blob", F.concat_ws(" ", F.lit("video"), did, cid))
-        .when(blob != "", F.concat_ws(" ", F.lit("blob"), did, cid))
-        .when(pending, F.regexp_extract(p, r"^/([a-z0-9]+)", 1))
-        .when(F.col("resolver") == "flickr", F.nullif(F.regexp_extract(p, r"/(\d+)_[0-9a-f]+", 1), F.lit("")))
-    )
-    out = up.withColumn("original", F.coalesce(special, F.col("original"))).withColumn("pending", pending).withColumn("hint", hint)
-    return out.withColumn("thumbnail", F.when(F.col("original") != x, x)).withColumn("kind", F.when(F.col("pending"), "video").otherwise(F.when(U.av_type(F.col("original")).isin("mp4", "webm"), "video").otherwise("image")))
+    with as_text():
+        x, resolver = F.col(url), F.col("resolver")
+        p, h, q = U.path(x), U.host(x), U.query(x)
+        base = U.origin(x)
+        video_id = embed(x)
+        blob = F.regexp_extract(p, r"^/img/([^/]+)/plain/([^/]+)/([^@/]+)", 1)
+        did, cid = (F.regexp_extract(p, r"^/img/[^/]+/plain/([^/]+)/([^@/]+)", i) for i in (1, 2))
+        bsky_path = F.regexp_replace(F.regexp_replace(p, "^/img/feed_thumbnail/", "/img/feed_fullsize/"), "^/img/avatar_thumbnail/", "/img/avatar/")
+        special = (
+            F.when(resolver == "reddit", F.when(h == "v.redd.it", x).otherwise(F.concat(F.lit("https://i.redd.it"), p)))
+            .when((resolver == "bsky") & (blob != ""), U.assemble(base, bsky_path, q))
+            .when(F.when(resolver == "youtube", video_id.isNotNull()).otherwise(False), F.concat(F.lit("https://i.ytimg.com/vi/"), video_id["id"], F.lit("/hqdefault.jpg")))
+            .when((resolver == "pixiv") & p.rlike(r"(?i)^/c/[^/]+/img-master/.*_master1200\.[a-z0-9]+$"), F.concat(base, F.regexp_replace(p, r"^/c/[^/]+/", "/")))
+            .when(p.rlike(r"media_attachments/.*/small/[^/]+$"), U.assemble(base, F.regexp_replace(p, r"/small/([^/]+)$", "/original/$1"), q))
+            .when(F.when(resolver == "unsplash", U.param_of(q, "s").isNotNull()).otherwise(False), x)
+        )
+        pending = ((resolver == "reddit") & (h == "v.redd.it")) | (blob == "feed_video_blob")
+        hint = (
+            F.when(blob == "feed_video_blob", F.concat_ws(" ", F.lit("video"), did, cid))
+            .when(blob != "", F.concat_ws(" ", F.lit("blob"), did, cid))
+            .when(F.col("pending"), F.regexp_extract(p, r"^/([a-z0-9]+)", 1))
+            .when(resolver == "flickr", F.nullif(F.regexp_extract(p, r"/(\d+)_[0-9a-f]+", 1), F.lit("")))
+        )
+        original = F.coalesce(special, F.col("original"))
+        thumbnail = F.when(F.col("original") != x, x)
+        kind = F.when(F.col("pending"), "video").otherwise(F.when(U.av_type(F.col("original")).isin("mp4", "webm"), "video").otherwise("image"))
+    out = up.withColumns({"original": column(original), "pending": column(pending)})
+    return out.withColumns({"hint": column(hint), "thumbnail": column(thumbnail), "kind": column(kind)})
 
 
 def by_owner(tiles: DataFrame, sniffed: DataFrame) -> DataFrame:
@@ -109,7 +116,7 @@ def best_variant(variants: DataFrame, key: list[str], metric: str, order: str =
     return variants.groupBy(*key).agg(F.max_by("url", F.struct(F.coalesce(F.col(metric), F.lit(0)).alias("m"), (-F.col(order)).alias("o"))).alias("url"))
 
 
-def suppress_gallery_thumbs(items: DataFrame) -> DataFrame:
-    """items (page_id, src, gallery_thumb) without those that are the thumbnail of a pending gallery item of their page."""
-    thumbs = items.where("gallery_thumb is not null").select("page_id", U.canonical_key(F.col("gallery_thumb")).alias("_key")).distinct()
-    return items.withColumn("_key", F.when(F.col("gallery_thumb").isNull(), U.canonical_key(F.col("src")))).join(thumbs, ["page_id", "_key"], "left_anti").drop("_key")
+def suppress_gallery_thumbs(items: DataFrame, page: str = "page_id") -> DataFrame:
+    """items (page, src, gallery_thumb) without those that are the thumbnail of a pending gallery item of their page."""
+    thumbs = items.where("gallery_thumb is not null").select(page, U.canonical_key(F.col("gallery_thumb")).alias("_key")).distinct()
+    return items.withColumn("_key", F.when(F.col("gallery_thumb").isNull(), U.canonical_key(F.col("src")))).join(thumbs, [page, "_key"], "left_anti").drop("_key")

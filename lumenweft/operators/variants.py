@@ -6,10 +6,10 @@ Their sizes are signed or bounded, so an address is only chosen among those that
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from lumenweft.functions import url as U
-from lumenweft.operators.manifest import absolute
+from lumenweft.functions.url import absolute
+from lumenweft.functions.text import F, as_text, column
 
 # Fixed values, in order of dispatch: resolver, the page's host, an image's host, its path (id, width, height or ratio), a parameter it must have, the parameter of its width.
 RULES: list[tuple[str, str | None, str, str, str | None, str | None]] = [
@@ -47,7 +47,7 @@ def _rule(rule: tuple) -> Column:
     stated = lambda c: _number(F.regexp_extract(c, r"^\S+\s+([\d.]+)w", 1))
     address = lambda c: F.regexp_extract(c, r"^(\S+)", 1)
     src = F.col("src")
-    read = F.transform(F.coalesce("listed", F.array().cast("array<string>")), lambda c: F.struct((absolute(address(c), F.col("page_url")) if any_listed else address(c)).alias("url"), stated(c).alias("stated")))
+    read = F.transform(F.coalesce(F.col("listed"), F.array().cast("array<string>")), lambda c: F.struct((absolute(address(c), F.col("page_url")) if any_listed else address(c)).alias("url"), stated(c).alias("stated")))
     if not any_listed:
         read = F.filter(read, lambda v: member(v["url"]) & (family(v["url"]) == family(src)))
     rated = F.transform(read, lambda v, k: F.struct(width(v["url"], v["stated"]).alias("width"), (-k).alias("place"), v["url"].alias("url")))
@@ -83,7 +83,9 @@ def widest_listed(images: DataFrame) -> DataFrame:
     The widest listed rendition of the same image on the same host, the first of equally wide ones, and never a narrower one than src. A row of no such site
     (or of a null src) has src as its original and null for the rest. Columns of images that have one of the new names are replaced.
     """
-    kept = images.withColumn("_v", F.coalesce(*[_rule(r) for r in RULES]))
+    with as_text():
+        found = F.coalesce(*[_rule(r) for r in RULES])
+    kept = images.withColumn("_v", column(found))
     for c in ("resolver", "width", "height", "ext", "thumbnail", "media_key"):
         kept = kept.withColumn(c, F.col(f"_v.{c}"))
     return kept.withColumn("original", F.coalesce("_v.original", "src")).drop("_v")

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumenweft.functions import url as U
+from lumenweft.functions.url import absolute
 from lumenweft.operators import collect as C
 from lumenweft.operators import extract as X
+from lumenweft.operators import graph as G
 from lumenweft.operators import offers as O
+from lumenweft.operators import originals as E
 from lumenweft.operators import resolve as R
 from lumenweft.operators import variants as V
-from lumenweft.operators.manifest import absolute
+from lumenweft.sources.shared import stored
 
 ANCHOR = r'<a[^>]*?href="([^"]*)"'
 
@@ -173,6 +177,93 @@ def listed_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.widest_listed(images).select("page_id", "resolver", "original", "width", "height")
 
 
+_MD5 = "0123456789abcdef0123{n}"
+#: A page's address, what its markup ends with, the image's address, and what the page names as its original (resolver, address, kind, key); {n} is the page's number in twelve digits.
+NAMED_PAGES = (
+    ("https://danbooru.donmai.us/posts/{n}", '<section data-file-url="https://cdn.donmai.us/o/{n}.png" data-id="{n}"><p><img src="https://cdn.donmai.us/s/{n}.jpg"></p></section>', "https://cdn.donmai.us/s/{n}.jpg", ("booru", "https://cdn.donmai.us/o/{n}.png", "image", "booru danbooru.donmai.us {n}")),
+    ("https://derpibooru.org/images/{n}", '<div data-uris="{&quot;full&quot;:&quot;https://derpicdn.net/v/{n}.webm&quot;}"><img src="https://derpicdn.net/{n}.png"></div>', "https://derpicdn.net/{n}.png", ("booru", "https://derpicdn.net/v/{n}.webm", "video", None)),
+    ("https://www.zerochan.net/{n}", '<script type="application/ld+json">{"@type":"ImageObject","contentUrl":"https://static.zerochan.net/{n}.png"}</script><div id="large"><img src="https://s1.zerochan.net/{n}.jpg"></div>', "https://s1.zerochan.net/{n}.jpg", ("zerochan", "https://static.zerochan.net/{n}.png", "image", None)),
+    ("https://boards.4chan.org/g/thread/{n}", '<div class="file"><a class="fileThumb" href="//i.4cdn.org/g/{n}.webm">x</a><img src="https://i.4cdn.org/g/{n}s.jpg"></div>', "https://i.4cdn.org/g/{n}s.jpg", ("fourchan", "https://i.4cdn.org/g/{n}.webm", "video", "4chan {n}")),
+    ("https://boards.4chan.org/b/thread/{n}", '<div class="post"><p class="fileText">F <a href="//i.4cdn.org/b/{n}.gif">x</a></p><img src="https://i.4cdn.org/b/{n}s.jpg"></div>', "https://i.4cdn.org/b/{n}s.jpg", ("fourchan", "https://i.4cdn.org/b/{n}.gif", "gif", "4chan {n}")),
+    ("https://desuarchive.org/a/{n}", '<article class="post"><a class="thread_image_link" href="https://desu-usergeneratedcontent.xyz/i/{n}.png"><img src="https://desu-usergeneratedcontent.xyz/t/{n}s.jpg"></a></article>', "https://desu-usergeneratedcontent.xyz/t/{n}s.jpg", ("foolfuuka", "https://desu-usergeneratedcontent.xyz/i/{n}.png", "image", "foolfuuka desuarchive.org {n}")),
+    ("https://pikabu.ru/story/{n}", '<div class="story-image"><img src="https://cs1.pikabu.ru/{n}.jpg"><a class="story-image__link" href="https://cs1.pikabu.ru/big/{n}.png">+</a></div>', "https://cs1.pikabu.ru/{n}.jpg", ("pikabu", "https://cs1.pikabu.ru/big/{n}.png", "image", None)),
+    ("https://postimg.cc/{n}", '<img src="https://i.postimg.cc/x/{n}.jpg"><a id="download" href="https://i.postimg.cc/y/{n}.jpg?dl=1">d</a>', "https://i.postimg.cc/x/{n}.jpg", ("postimages", "https://i.postimg.cc/y/{n}.jpg", "image", None)),
+    ("https://wallpaperswide.com/{n}.html", '<img src="https://wallpaperswide.com/t/{n}.jpg"><div class="wallpaper-resolutions"><a href="/download/{n}-1280x720.jpg">s</a><a href="/download/{n}-2560x1440.jpg">l</a></div>', "https://wallpaperswide.com/t/{n}.jpg", ("wallpaper-hosts", "https://wallpaperswide.com/download/{n}-2560x1440.jpg", "image", None)),
+    ("https://wallpaperscraft.com/wallpaper/{n}", '<img src="https://images.wallpaperscraft.com/image/single/w_{n}_1280x720.jpg"><a href="/download/w_{n}/3840x2160">l</a>', "https://images.wallpaperscraft.com/image/single/w_{n}_1280x720.jpg", ("wallpaperscraft", "https://images.wallpaperscraft.com/image/single/w_{n}_3840x2160.jpg", "image", None)),
+    ("https://anime-pictures.net/posts/{n}", f'<meta property="og:image" content="https://opreviews.anime-pictures.net/0/{_MD5}_bp.avif"><img src="https://opreviews.anime-pictures.net/0/{_MD5}_cp.avif"><a class="icon-download" href="https://api.anime-pictures.net/pictures/download_image/{{n}}.png">d</a>', f"https://opreviews.anime-pictures.net/0/{_MD5}_cp.avif", ("animepictures", "https://api.anime-pictures.net/pictures/download_image/{n}.png", "image", f"animepictures {_MD5}")),
+    ("https://www.artstation.com/u", '<div data-test-id="c"><a href="/artwork/a{n}"><img src="https://cdna.artstation.com/p/assets/images/images/{n}/small/a.jpg"></a><video></video></div>', "https://cdna.artstation.com/p/assets/images/images/{n}/small/a.jpg", ("artstation", "https://cdna.artstation.com/p/assets/images/images/{n}/small/a.jpg", "video", None)),
+    ("https://plain.example/{n}", '<section data-file-url="https://cdn.donmai.us/o/{n}.png"><img src="https://cdn.donmai.us/s/{n}.jpg"></section>', "https://cdn.donmai.us/s/{n}.jpg", None),
+)
+
+
+def _padded(t: str, kind: str = "STRING") -> str:
+    """SQL, for both engines, of a text with the page's number in twelve digits."""
+    return "'" + t.replace("{n}", f"' || lpad(cast(page_id AS {kind}), 12, '0') || '") + "'"
+
+
+def _in_turn(texts: tuple[str, ...]) -> str:
+    return f"CASE page_id % {len(texts)} " + " ".join(f"WHEN {i} THEN {_padded(t)}" for i, t in enumerate(texts)) + " END"
+
+
+def element_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The originals that pages name beside their images; each page's stored markup gets a known site's address and ends with an image of it, in turn."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    ends = F.expr(_in_turn(tuple(c[1] for c in NAMED_PAGES)))
+    p = p.select("page_id", F.expr(_in_turn(tuple(c[0] for c in NAMED_PAGES))).alias("url"), F.concat(F.coalesce("html", F.lit("")), ends).alias("html"))
+    e = stored(X.elements(p), "elements")
+    images = X.image_urls(e).select(F.col("page_id").alias("page_key"), F.col("url").alias("page_url"), F.col("elem_ordinal").alias("at"), "src")
+    return E.element_originals(images, e).select(F.col("page_key").alias("page_id"), "src", "resolver", "original", "kind", "media_key")
+
+
+_FB = "https://scontent.xx.fbcdn.net/v/{n}"
+#: A page's address, and the bodies that were captured while it was open (platform, request, body).
+CAPTURED_PAGES = (
+    ("https://www.facebook.com/photo/?fbid=9{n}&set=a", (
+        ("facebook", "", 'for (;;);{"data":{"node":{"id":"9{n}","image":{"uri":"' + _FB + '_s.jpg","width":320,"height":240},"viewer_image":{"uri":"' + _FB + '_l.jpg","width":2048,"height":1536},"preview_image":{"uri":"' + _FB + '_p.jpg","width":4096,"height":4096}}}}'),
+        ("facebook", "", '{"data":{"node":{"id":"9{n}","small":{"uri":"' + _FB + '_m.jpg","width":640,"height":480}}}}'),
+    )),
+    ("https://www.facebook.com/watch/?v=8{n}", (
+        ("facebook", "", '{"a":[{"id":"8{n}","playable_url":"' + _FB + '_sd.mp4","playable_url_quality_hd":"' + _FB + '_hd.mp4","preferred_thumbnail":{"image":{"uri":"' + _FB + '_c.jpg"}},"cover":{"uri":"' + _FB + '_c.jpg","width":900,"height":900}},{"id":"7","x":{"uri":"' + _FB + '_o.jpg","width":900,"height":900}}]}'),
+    )),
+    ("https://www.pinterest.co.uk/pin/some-title--55{n}/", (
+        ("pinterest", "", '{"r":{"data":[{"type":"board","id":"66{n}","images":{"orig":{"url":"https://i.pinimg.com/originals/b.jpg"}}},{"id":"55{n}","carousel_data":{"carousel_slots":[{"images":{"236x":{"url":"https://i.pinimg.com/236x/{n}-1.jpg","width":236},"736x":{"url":"https://i.pinimg.com/736x/{n}-1.jpg","width":736,"height":900}}},{"images":{"orig":{"url":"https://i.pinimg.com/originals/{n}-2.png","width":100,"height":90}}}]}}]}}'),
+    )),
+    ("https://www.pinterest.com/pin/44{n}/?x=1", (
+        ("pinterest", "", '{"id":"44{n}","videos":{"video_list":{"V_HLSV4":{"url":"https://v1.pinimg.com/{n}.m3u8"},"V_720P":{"url":"https://v1.pinimg.com/{n}.mp4"}}},"images":{"orig":{"url":"https://i.pinimg.com/originals/{n}.jpg"}}}'),
+    )),
+    ("https://mangadex.org/chapter/01234567-89ab-cdef-0123-{n}/2", (
+        ("mangadex", "https://api.mangadex.org/at-home/server/01234567-89ab-cdef-0123-{n}", '{"baseUrl":"https://x.mangadex.network/","chapter":{"hash":"0123456789abcdef","data":["1-a.png","../bad.png","3-c.jpg"],"dataSaver":["1-s.jpg"]}}'),
+    )),
+    ("https://plain.example/{n}", (("facebook", "", '{"id":"9{n}"'), ("other", "", "{}"))),
+)
+#: The media of those pages: kind, address, key.
+CAPTURED_MEDIA = (
+    (("image", _FB + "_l.jpg", "fb:9{n}"),), (("video", _FB + "_hd.mp4", "fb:8{n}"),), (("image", "https://i.pinimg.com/736x/{n}-1.jpg", None), ("image", "https://i.pinimg.com/originals/{n}-2.png", None)), (("video", "https://v1.pinimg.com/{n}.mp4", None),),
+    (("image", "https://x.mangadex.network/data/0123456789abcdef/1-a.png", None), ("image", "https://x.mangadex.network/data/0123456789abcdef/3-c.jpg", None)), (),
+)
+
+
+def captured_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was captured of the items that pages are of: bodies and pages meet by the owner that a page's address names, in turn."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
+    most = max(len(bodies) for _, bodies in CAPTURED_PAGES)
+    nth = lambda k, i: F.expr(_in_turn(tuple(c[1][k][i] if k < len(c[1]) else "" for c in CAPTURED_PAGES)))
+    rows = F.array(*[F.struct(F.lit(k).alias("k"), nth(k, 0).alias("platform"), nth(k, 1).alias("request_url"), nth(k, 2).alias("body")) for k in range(most)])
+    bodies = p.select("page_id", F.explode(rows).alias("r")).where("r.body <> ''").select((F.col("page_id") * most + F.col("r.k")).alias("payload_id"), "r.platform", "r.request_url", "r.body")
+    pages = p.select(F.col("page_id").alias("page_key"), F.expr(_in_turn(tuple(c[0] for c in CAPTURED_PAGES))).alias("url"))
+    return G.page_facts(pages, G.captured_media(bodies)).select(F.col("page_key").alias("page_id"), "platform", "idx", "kind", "src", "media_key")
+
+
+_NESTED = """concat(html, '<div><template shadowrootmode="open"><img src="/shadow/', page_id, '.png"><iframe srcdoc="&lt;img src=/deep/', page_id, '.png&gt;&lt;img src=/page/', page_id, '.png?_=1&gt;"></iframe></template></div>',
+  '<template><img src="/inert/', page_id, '.png"></template><img src="/page/', page_id, '.png"><iframe srcdoc="&lt;video src=/frame/', page_id, '.mp4&gt;&lt;/video&gt;"></iframe>')"""
+
+
+def nested_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scan of the stored markup with shadow roots and frames' documents behind it: rows of nested roots once, in the order in which roots are found."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").where("html is not null").select("page_id", "url", F.expr(_NESTED).alias("html"))
+    return C.media(p).where("kind in ('image', 'video') and src rlike '/(?:page|shadow|deep|frame|inert)/'").select("page_id", "src", "kind", F.row_number().over(W.partitionBy("page_id").orderBy("seq")).alias("place"))
+
+
 def embed_id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
     n = F.lpad(F.col("page_id").cast("string"), 11, "0")
@@ -193,7 +284,7 @@ def resolver_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.candidates(p.withColumn("url", made)).select("page_id", "resolver", "original")
 
 
-QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, collected_media, site_reader_media, listed_originals, embed_id_scan, resolver_dispatch)}
+QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, collected_media, site_reader_media, listed_originals, element_originals, captured_items, nested_roots, embed_id_scan, resolver_dispatch)}
 _H = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 _O = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 _A = """a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1)) AS href,
@@ -228,4 +319,14 @@ UNION ALL SELECT DISTINCT * FROM (SELECT page_id, 'https://vimeo.com/' || page_i
     ),
     "embed_id_scan": "SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'youtube' WHEN 1 THEN 'vimeo' WHEN 2 THEN 'twitch-vod' END AS site, CASE page_id % 4 WHEN 0 THEN lpad(CAST(page_id AS VARCHAR), 11, '0') WHEN 3 THEN NULL ELSE CAST(page_id AS VARCHAR) END AS id FROM pages",
     "resolver_dispatch": "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'reddit' WHEN 1 THEN 'youtube' ELSE 'generic' END AS resolver, CASE page_id % 3 WHEN 0 THEN 'https://i.redd.it/' || page_id || '.png' WHEN 1 THEN 'https://i.ytimg.com/vi/' || lpad(CAST(page_id AS VARCHAR), 11, '0') || '/hqdefault.jpg' ELSE 'https://plain.example/' || page_id || '.jpg' END AS original FROM pages",
+    "element_originals": " UNION ALL ".join(
+        f"SELECT page_id, {_padded(src, 'VARCHAR')} AS src, '{r[0]}' AS resolver, {_padded(r[1], 'VARCHAR')} AS original, '{r[2]}' AS kind, {'CAST(NULL AS VARCHAR)' if r[3] is None else _padded(r[3], 'VARCHAR')} AS media_key FROM pages WHERE page_id % {len(NAMED_PAGES)} = {i}"
+        for i, (_, _, src, r) in enumerate(NAMED_PAGES) if r
+    ),
+    "captured_items": " UNION ALL ".join(
+        f"SELECT page_id, '{CAPTURED_PAGES[i][1][0][0]}' AS platform, {idx} AS idx, '{kind}' AS kind, {_padded(src, 'VARCHAR')} AS src, {'CAST(NULL AS VARCHAR)' if key is None else _padded(key, 'VARCHAR')} AS media_key FROM pages WHERE page_id % {len(CAPTURED_PAGES)} = {i}"
+        for i, items in enumerate(CAPTURED_MEDIA) for idx, (kind, src, key) in enumerate(items)
+    ),
+    "nested_roots": f"""WITH p AS (SELECT page_id, {_O} AS o FROM pages WHERE html IS NOT NULL)
+SELECT page_id, o || '/' || name || '/' || page_id || ext AS src, kind, place FROM p, (VALUES ('page', '.png', 'image', 1), ('shadow', '.png', 'image', 2), ('deep', '.png', 'image', 3), ('frame', '.mp4', 'video', 4)) AS v(name, ext, kind, place)""",
 }
