@@ -6,7 +6,8 @@ notice, advert, form, comments). The text lengths of the lines, less link text a
 sliding window of lines. A surge point is where the sum rises over a threshold and stays up in the next lines; the next
 dive point is where it falls to nothing. Lines from a surge to its dive are kept. Article and main elements are a weight
 on their lines' text, so less of it is a surge; boilerplate inside of them is left out of the windows, so it makes no
-dive. Lines outside count for nothing only where the element holds at least half of the page's text. Outside of such
+dive. A name alone makes an element of an article boilerplate only if all of its words are such, and if the elements so
+named hold less text than the rest of the article. Lines outside count for nothing only where the element holds at least half of the page's text. Outside of such
 elements a line of links alone is never kept.
 """
 
@@ -61,6 +62,11 @@ HEADER_NAMES = frozenset("header head".split())
 COMMENT_NAMES = frozenset("comment comments reply replies".split())
 #: Names that say that something is there or is not, not what the element is.
 ABSENT = re.compile(r"\b(?:has|with|no|without)[-_][a-z]+")
+#: Words beside those of NAMES in names of boilerplate. Inside an article a name with any other word says nothing: share-prices, cookie-recipe.
+LAYOUT_NAMES = frozenset(
+    """area bar block body bottom box btn button buttons card cards center column container content footer grid group header heading holder icon icons img inline inner item items label large left line link links list
+    main media mid module more news outer panel post posts article articles row section site slot small stories story text title tool tools top unit wrap wrapper right js js el id primary secondary""".split()
+)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 SPACE = re.compile(r"\s+")
 
@@ -69,44 +75,45 @@ SPACE = re.compile(r"\s+")
 class Line:
     text: str
     linked: int
-    boiler: bool
+    boiler: int  # 2: in boilerplate; 1: in an element of an article that is only named like it; 0: elsewhere
     article: int  # 2: in an article element; 1: in a main one; 0: elsewhere
 
 
-def _named(attributes: str) -> tuple[set[str], str, bool]:
-    """The words of class, id and role; the role; whether the element is hidden."""
-    words, role, hidden = set(), "", False
+def _named(attributes: str) -> tuple[list[set[str]], str, bool]:
+    """The words of each name of class, id and role; the role; whether the element is hidden."""
+    names, role, hidden = [], "", False
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
         if name in ("class", "id", "role"):
             plain = ABSENT.sub(" ", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", value).lower())
-            words.update(WORD.findall(plain))
+            names += [set(WORD.findall(name)) for name in plain.split()]
             role = plain.strip() if name == "role" else role
         elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and HIDDEN.search(value):
             hidden = True
-    return words, role, hidden
+    return names, role, hidden
 
 
-def _inside(tag: str, attributes: str, boiler: bool, article: int) -> tuple[bool, int]:
-    """Whether the text inside of an element is boilerplate, and its article level, given those around it."""
-    words, role, hidden = _named(attributes) if attributes.strip() else (set(), "", False)
+def _inside(tag: str, attributes: str, boiler: int, article: int) -> tuple[int, int]:
+    """How the text inside of an element is boilerplate, and its article level, given those around it."""
+    names, role, hidden = _named(attributes) if attributes.strip() else ([], "", False)
+    words = set().union(*names)
     if tag in ("html", "body"):
         return boiler, article
     if tag in SKIPPED or hidden or tag == "header" and not article:
-        return True, article
+        return 2, article
     if tag == "article" or tag == "main" or role == "main":
         own = words & COMMENT_NAMES
-        return boiler or bool(own), article if boiler or own else max(article, 2 if tag == "article" else 1)
-    if words & NAMES or words & HEADER_NAMES and not article:
-        return True, article
-    return boiler, article
+        return 2 if own else boiler, article if boiler or own else max(article, 2 if tag == "article" else 1)
+    if article:
+        return max(boiler, int(any(n & NAMES and n <= NAMES | LAYOUT_NAMES for n in names))), article
+    return 2 if words & NAMES or words & HEADER_NAMES else boiler, article
 
 
 def lines(page: str) -> list[Line]:
     """The page's lines in order. Damaged markup ends what it can: an open tag or comment at the end is dropped."""
     out: list[Line] = []
     # open elements: (tag, boilerplate inside, article level inside, innermost block up to it, number of blocks up to it)
-    stack: list[tuple[str, bool, int, int, int]] = [("", False, 0, 0, 0)]
+    stack: list[tuple[str, int, int, int, int]] = [("", 0, 0, 0, 0)]
     places: dict[str, list[int]] = defaultdict(list)  # of each tag in the stack
     unended: set[str] = set()  # raw elements that have no end tag behind this place
     parts: list[str] = []
@@ -200,7 +207,10 @@ def regions(sums: list[int], own: list[int], surge: int) -> list[tuple[int, int]
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     """The page's main text; empty if it has none. Null: empty."""
-    found = [x for x in lines(page or "") if not (x.boiler and x.article)]
+    found = lines(page or "")
+    weight = lambda boiler: sum(len(x.text) - min(x.linked, len(x.text)) for x in found if x.article and x.boiler == boiler)
+    most = 1 if weight(1) > weight(0) else 0  # elements that hold most of an article's text are that, whatever their names
+    found = [Line(x.text, x.linked, 0, x.article) if x.article and x.boiler <= most else x for x in found if not (x.article and x.boiler > most)]
     plain = [0 if x.boiler or x.linked and x.linked >= 0.9 * len(x.text) and not x.article else len(x.text) - (0 if x.article else min(x.linked, len(x.text))) for x in found]
     # a marked element stands for the page only if it holds at least half of its text
     held = [sum(n for x, n in zip(found, plain) if x.article >= k) for k in (0, 1, 2)]

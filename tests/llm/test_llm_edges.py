@@ -272,3 +272,17 @@ def test_answers_derived_through_models(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in set_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
     assert got == {i: c for i, (_, c) in brute_components(rows, 3, 9, 10).items()}
     assert seen and seen[0].count() > 0
+
+
+# ---- 1: names inside of articles --------------------------------------------------------------------------------
+def test_names_do_not_delete_an_articles_text():
+    long = "A long paragraph with plenty of text to be found by the surge. " * 3
+    for inner in ('<section id="share-prices"><p>{}</p></section>', '<p class="alert">{}</p>', '<div class="cookie-recipe"><p>{}</p></div>', '<div class="commentary"><p>{}</p></div>', '<div class="ad"><p>{}</p></div>'):
+        assert main_text.main_text(f"<nav>menu</nav><article>{inner.format(long)}</article>") == long.strip(), inner
+    # beside more of the article's own text only whole names of boilerplate go
+    more = long + long
+    for name, kept in (("share-prices", True), ("cookie-recipe", True), ("alert", False), ("ad-container", False), ("social-share", False), ("related posts", False), ("js-comments", False), ("newsletter_signup", False), ("formation", True)):
+        got = main_text.main_text(f'<article><p>{more}</p><div class="{name}"><p>Some other text.</p></div></article>')
+        assert got == more.strip() + " Some other text." * kept, name
+    # tags and hidden elements are boilerplate however much they hold
+    assert main_text.main_text(f"<article><p>Short text.</p><aside>{long}</aside><div hidden>{long}</div></article>") == "Short text."
