@@ -159,7 +159,7 @@ def _largest(found: DataFrame) -> DataFrame:
 def _site_originals(images: DataFrame, found: DataFrame) -> DataFrame:
     """KEY and FOUND of images on pages of SITES."""
     image = F.col("image_id") == "image"
-    steps = _stepped(images, found).unionByName(_described(images, found)).join(images.select(*KEY, "image_id", "resolver"), KEY)
+    steps = stored(_stepped(images, found).unionByName(_described(images, found)), "steps").join(images.select(*KEY, "image_id", "resolver"), KEY)
     steps = steps.where((F.col("resolver") != "booru") | (F.col("grp") < 2) | F.coalesce(image, F.lit(False)))
     # In a group the first value counts; the first group counts whose value is not empty.
     ordered = steps.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.struct("grp", "step", "value"))).alias("s"))
@@ -264,4 +264,6 @@ def element_originals(images: DataFrame, elems: DataFrame) -> DataFrame:
         inner = both.drop("first", "last").dropDuplicates(["page_key", "at"]).withColumnRenamed("at", "elem_ordinal").withColumn("name", F.lit(new))
         found = found.unionByName(inner)
     found = stored(found, "found")
-    return reduce(DataFrame.unionByName, [_site_originals(mine, found), _wallpaperscraft(mine, found), _animepictures(mine, found), _artstation(mine, found, near)])
+    # each kind of resolver is a plan of its own, so that none grows with their number; their rows are few and narrow
+    parts = {"site": _site_originals, "wallpaperscraft": _wallpaperscraft, "animepictures": _animepictures, "artstation": _artstation}
+    return reduce(DataFrame.unionByName, [stored(part(mine, found, *([near] if name == "artstation" else [])), name) for name, part in parts.items()])
