@@ -8,6 +8,7 @@ A rule has what the host, the path and the query must match (patterns; None: any
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 
@@ -209,42 +210,85 @@ def _ends(where: str) -> set[str] | None:
     return out
 
 
-_BY_END: dict[str, list[int]] = {}
-_ANYWHERE: list[int] = []  # rules that are not tied to hosts
-for _i, (_where, *_) in enumerate(RULES):
-    _found = _ends(_where) if _where is not None and not _where.startswith("=") else None
-    for _end in _found or ():
-        _BY_END.setdefault(_end, []).append(_i)
-    if not _found:
-        _ANYWHERE.append(_i)
+RULE = "struct<rule:int,host:string,path:string,query:string>"
+#: Where a session keeps the rules that it added: a setting of its own, so that other sessions do not have them.
+SETTING = "lumenweft.cdn.rules"
+Rule = tuple[str | None, str | None, str | None, list[tuple]]
 
 
-RULE = "struct<rule:int,host:string,path:string,query:string>"
+def _own(spark: SparkSession) -> list[dict]:
+    return json.loads(spark.conf.get(SETTING, "[]"))
+
 
+def session_rules(spark: SparkSession) -> dict[int, Rule]:
+    """Number -> rule, in this session. Those that it added have numbers below zero, in order of priority and then of time."""
+    own = sorted(_own(spark), key=lambda r: r["priority"])
+    added = {i - len(own): (r["host"], r["path"], r["query"], [tuple(tuple(x) if isinstance(x, list) else x for x in s) for s in r["steps"]]) for i, r in enumerate(own)}
+    return added | dict(enumerate(RULES))
 
-def tied_rules(spark: SparkSession) -> DataFrame:
+
+def register_rule(spark: SparkSession, name: str, host: str | None = None, path: str | None = None, query: str | None = None, steps: list[tuple] = (), priority: int = 0) -> None:
+    """Adds a rule to this session, before the built-in ones; of several that match, the one of the lowest priority is applied.
+
+    An error: a name that is taken, a rule of that priority with the same tests, no test at all, no steps, steps that need
+    code of their own, patterns that do not compile.
+    """
+    own = _own(spark)
+    if any(r["name"] == name for r in own):
+        raise ValueError(f"there is a rule {name} already")
+    if any((r["host"], r["path"], r["query"], r["priority"]) == (host, path, query, priority) for r in own):
+        raise ValueError("there is a rule of this priority with the same tests")
+    if not any((host, path, query)) or not steps or any(s[0] not in ("drop", "clear", "set", "sub", "host") for s in steps):
+        raise ValueError("a rule has a test, and steps of drop, clear, set, sub and host")
+    for pattern in (host, path, query, *[s[1] for s in steps if s[0] in ("sub", "host")]):
+        if pattern is not None:
+            try:
+                re.compile(pattern)
+            except re.error as e:
+                raise ValueError(f"{pattern}: {e}") from e
+    spark.conf.set(SETTING, json.dumps([*own, {"name": name, "host": host, "path": path, "query": query, "steps": list(steps), "priority": priority}]))
+
+
+def unregister_rule(spark: SparkSession, name: str) -> None:
+    """Takes a rule of this session back; nothing, if it has none of that name."""
+    spark.conf.set(SETTING, json.dumps([r for r in _own(spark) if r["name"] != name]))
+
+
+def by_end(rules: dict[int, Rule]) -> tuple[dict[str, list[int]], list[int]]:
+    """The numbers of the rules that are tied to hosts, by the last two labels of these, and of all others."""
+    tied: dict[str, list[int]] = {}
+    anywhere = []
+    for i, (where, *_) in rules.items():
+        found = _ends(where) if where is not None and not where.startswith("=") else None
+        for end in found or ():
+            tied.setdefault(end, []).append(i)
+        if not found:
+            anywhere.append(i)
+    return tied, anywhere
+
+
+def tied_rules(spark: SparkSession, rules: dict[int, Rule], ends: dict[str, list[int]]) -> DataFrame:
     """end, tied: for the last two labels of a host, what the rules that are tied to such hosts ask for."""
     text = lambda x: x if x and not x.startswith("=") else ""
-    rows_ = [(end, [(i, *map(text, RULES[i][:3])) for i in numbers]) for end, numbers in sorted(_BY_END.items())]
-    return spark.createDataFrame(rows_, f"end string, tied array<{RULE}>")
+    return spark.createDataFrame([(end, [(i, *map(text, rules[i][:3])) for i in numbers]) for end, numbers in sorted(ends.items())], f"end string, tied array<{RULE}>")
 
 
-def first_rule(h: Column, p: Column, q: Column, tied: Column) -> Column:
-    """The number (from 0) of the first rule that matches, or null. tied: of tied_rules(), by the host's last two labels.
+def first_rule(h: Column, p: Column, q: Column, tied: Column, anywhere: dict[int, Rule]) -> Column:
+    """The number of the first rule that matches, or null. tied: of tied_rules(), by the host's last two labels; anywhere: the others.
 
     They are few, so neither the plan nor the work on a URL grows with the number of rules.
     """
     fits = F.filter(tied, lambda r: F.regexp_like(h, r["host"]) & F.regexp_like(p, r["path"]) & F.regexp_like(q, r["query"]))
-    return F.least(F.array_min(F.transform(fits, lambda r: r["rule"])), F.coalesce(*[F.when(matches(RULES[i], h, p, q), F.lit(i)) for i in _ANYWHERE]))
+    return F.least(F.array_min(F.transform(fits, lambda r: r["rule"])), F.coalesce(*[F.when(matches(anywhere[i], h, p, q), F.lit(i)) for i in sorted(anywhere)]))
 
 
 SCHEMA = "rule int, drop_names array<string>, clear boolean, set_name string, set_pair string, subs array<struct<pattern:string,first:boolean,replacement:string>>, host_pattern string, host_replacement string, call string"
 
 
-def rows() -> list[tuple]:
+def rows(rules: dict[int, Rule]) -> list[tuple]:
     """The rules' steps as rows of SCHEMA."""
     out = []
-    for i, (*_, steps) in enumerate(RULES):
+    for i, (*_, steps) in rules.items():
         by = {s[0]: s for s in steps}
         subs = []
         for s in steps:
@@ -277,15 +321,17 @@ def upgraded(df, url: str = "url", prefix: str = ""):
     """
     c = {x: f"_{prefix}{x}" for x in ("start", "rule", "host", "path", "query", "step", "path2", "query2", "base2", "end", "tied")}
     spark = df.sparkSession
+    rules = session_rules(spark)
+    ends, anywhere = by_end(rules)
     col = lambda x: F.col(c[x])
     with as_text():
         start = F.coalesce(U.deproxy(F.col(url)), F.col(url))
         parts = {"host": U.host(col("start")), "path": U.path(col("start")), "query": U.query(col("start"))}
-        first = first_rule(col("host"), col("path"), col("query"), col("tied"))
+        first = first_rule(col("host"), col("path"), col("query"), col("tied"), {i: rules[i] for i in anywhere})
     out = df.withColumn(c["start"], column(start)).withColumns({c[k]: column(v) for k, v in parts.items()})
-    tied = tied_rules(spark).withColumnsRenamed({"end": c["end"], "tied": c["tied"]})  # as many rows as ends of hosts
+    tied = tied_rules(spark, rules, ends).withColumnsRenamed({"end": c["end"], "tied": c["tied"]})  # as many rows as ends of hosts
     out = out.withColumn(c["end"], SF.substring_index(SF.col(c["host"]), ".", -2)).join(SF.broadcast(tied), c["end"], "left").withColumn(c["rule"], column(first))
-    table = spark.createDataFrame(rows(), SCHEMA)
+    table = spark.createDataFrame(rows(rules), SCHEMA)
     table = SF.broadcast(table.select(SF.col("rule").alias(c["rule"]), SF.struct(*[x for x in table.columns if x != "rule"]).alias(c["step"])))
     out = out.join(table, c["rule"], "left")
     step = lambda x: F.col(f"{c['step']}.{x}")

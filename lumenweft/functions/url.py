@@ -249,15 +249,65 @@ def base64_info(src: Column) -> Column:
     return F.when(kind != "", F.struct(F.regexp_replace(normal_format(F.regexp_replace(kind, r"\+xml$", "")), "^unknown$", "unknown").alias("type"), size.alias("bytes")))
 
 
+DOTTED = r"(?i)/(?:\.|%2e){1,2}(?=[/?#]|$)"
+
+
+def dotless(p: Column) -> Column:
+    """A path without dot segments: a fold over its segments, `..` taking the one before it off the stack."""
+    up, here = r"(?i)^(?:\.|%2e){2}$", r"(?i)^(?:\.|%2e)$"
+    none, end = F.array().cast("array<string>"), F.array(F.lit(""))
+    parts = F.split(F.regexp_replace(p, "^/", ""), "/")
+    last = F.size(parts) - 1
+    marked = F.transform(parts, lambda x, i: F.struct(x.alias("x"), (i == last).alias("last")))
+
+    def step(acc: Column, s: Column) -> Column:
+        kept = F.when(s["x"].rlike(up), F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)
+        dots = s["x"].rlike(up) | s["x"].rlike(here)
+        return F.when(dots & s["last"], F.concat(kept, end)).when(dots, kept).otherwise(F.concat(kept, F.array(s["x"])))
+
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(marked, none, step), "/"))
+
+
+@compiled
+def without_dots(url: Column) -> Column:
+    """An http address with the dot segments of its path resolved; anything else as it is."""
+    part = lambda i: F.regexp_extract(url, r"^(?i:(https?://[^/?#]*))([^?#]*)((?s:.*))$", i)
+    return F.when(url.rlike(r"(?i)^https?://[^/?#]*[^?#]*?" + DOTTED[4:]), F.concat(part(1), dotless(part(2)), part(3))).otherwise(url)
+
+
 def absolute(uri: Column, base: Column) -> Column:
-    """uri against base: absolute, scheme-relative, rooted or relative to the base's folder."""
-    origin = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
+    """uri against base: absolute, scheme-relative, rooted, a query or a fragment alone, or relative to the base's folder; without dot segments."""
+    origin_ = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)", 1)
     scheme = F.regexp_extract(base, r"^([a-zA-Z][a-zA-Z0-9+.-]*:)", 1)
-    folder = F.regexp_extract(F.regexp_extract(base, r"^([^?#]*)", 1), r"^(.*/)", 1)
-    folder = F.when(F.length(folder) > F.length(origin), folder).otherwise(F.concat(origin, F.lit("/")))
-    return (
-        F.when(uri.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), uri).when(uri.startswith("//"), F.concat(scheme, uri)).when(uri.startswith("/"), F.concat(origin, uri)).otherwise(F.concat(folder, uri))
-    )
+    page = F.regexp_extract(base, r"^([^?#]*)", 1)
+    folder = F.regexp_extract(page, r"^(.*/)", 1)
+    folder = F.when(F.length(folder) > F.length(origin_), folder).otherwise(F.concat(origin_, F.lit("/")))
+    own = F.when(page == origin_, F.concat(page, F.lit("/"))).otherwise(page)
+    joined = (
+        F.when(uri.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), uri).when(uri.startswith("//"), F.concat(scheme, uri)).when(uri.startswith("/"), F.concat(origin_, uri))
+        .when(uri.startswith("?"), F.concat(own, uri)).when(uri.startswith("#"), F.concat(own, F.regexp_extract(base, r"^[^?#]*(\?[^#]*)?", 1), uri)).otherwise(F.concat(folder, uri))
+    )
+    return let(joined, lambda x: without_dots(x))
+
+
+def ascii_host(h: Column) -> Column:
+    """A host name in ASCII (labels of other letters as xn--), or null where there is no such name. Not for use inside of lambdas."""
+    return F.when(h.rlike(r"[^\x00-\x7F]"), F.call_function("try_reflect", F.lit("java.net.IDN"), F.lit("toASCII"), h)).otherwise(h)
+
+
+def normal(url: Column) -> Column:
+    """An http address as a browser writes it: scheme and host in lower case and ASCII, no default port, no user, no dot
+    segments, blanks and letters beyond ASCII escaped; null where it is none. Not for use inside of lambdas."""
+    rest = F.regexp_extract(url, ABSOLUTE, 4)
+    tail = F.regexp_extract(url, r"^[^?#]*(.*)$", 1)
+    bytes_ = lambda x: F.replace(F.replace(F.url_encode(x), F.lit("+"), F.lit("%20")), F.lit("%7E"), F.lit("~"))
+    pieces = lambda x: F.regexp_extract_all(x, F.lit(r"[\x21-\x7E]+|[^\x21-\x7E]+"), F.lit(0))
+    escaped = lambda x: F.array_join(F.transform(pieces(x), lambda y: F.when(y.rlike(r"^[\x21-\x7E]"), y).otherwise(bytes_(y))), "")
+    path_ = dotless(F.when(rest == "", "/").otherwise(F.replace(rest, F.lit("\\"), F.lit("/"))))
+    own = F.lower(F.regexp_extract(url, ABSOLUTE, 2))
+    whole = origin(url)
+    base = F.replace(whole, own, ascii_host(own))
+    return F.when(valid(url), F.concat(base, escaped(path_), escaped(tail)))
 
 
 # ---- identity ---------------------------------------------------------------------------------------------------

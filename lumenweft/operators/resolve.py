@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as SF
 
@@ -61,9 +62,25 @@ def embed(url: Column) -> Column:
 HOSTS = [("twitter", "twimg.com", 0), ("unsplash", "unsplash.com", 4), ("bsky", "bsky.app", 7), ("pinterest", "pinimg.com", 8), ("reddit", "redd.it", 9), ("flickr", "staticflickr.com", 10), ("pixiv", "pximg.net", 12), ("youtube", "youtube.com", 15), ("youtube", "youtu.be", 15), ("xiaohongshu", "xhscdn.com", 27)]
 
 
+#: Where a session keeps the resolvers that it added.
+SETTING = "lumenweft.resolvers"
+
+
+def hosts_of(spark: SparkSession) -> list[tuple[str, str, int]]:
+    return HOSTS + [tuple(x) for x in json.loads(spark.conf.get(SETTING, "[]"))]
+
+
+def register_resolver(spark: SparkSession, name: str, suffix: str, priority: int) -> None:
+    """Adds a resolver for a host and those below it to this session. An error where one of that priority has the suffix."""
+    own = json.loads(spark.conf.get(SETTING, "[]"))
+    if any((s, p) == (suffix, priority) for _, s, p in hosts_of(spark)):
+        raise ValueError(f"{suffix} has a resolver of priority {priority} already")
+    spark.conf.set(SETTING, json.dumps([*own, (name, suffix, priority)]))
+
+
 def dispatch(urls: DataFrame, url: str = "url") -> DataFrame:
     """urls plus resolver: the resolver of the highest priority whose host suffix the URL has; by an equi-join on exploded suffixes, else generic."""
-    table = SF.broadcast(urls.sparkSession.createDataFrame(HOSTS, "resolver string, suffix string, priority int"))
+    table = SF.broadcast(urls.sparkSession.createDataFrame(hosts_of(urls.sparkSession), "resolver string, suffix string, priority int"))
     hosts = urls.select(U.host(F.col(url)).alias("_host")).distinct()
     keyed = hosts.select("_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("_host", r"\."))), lambda i: F.array_join(F.slice(F.split("_host", r"\."), i, F.size(F.split("_host", r"\."))), "."))).alias("suffix"))
     best = keyed.join(table, "suffix").groupBy("_host").agg(F.min_by("resolver", "priority").alias("resolver"))
