@@ -112,8 +112,9 @@ def _embedded(e: Column, target: Column) -> dict[str, Column]:
 def _element_rows(elems: DataFrame, resolve_originals: bool) -> DataFrame:
     """The rows of all passes over elements, as COLUMNS."""
     tags = ("img", "source", "video", "audio", "a", "noscript", "iframe", "meta", "link", X.PAGE)
+    around = stored(_around(elems), "around")
     holders = elems.where(F.col("tag").isin(*tags) | (F.size("found") > 0))
-    rows = holders.withColumnRenamed("elem_ordinal", "a").join(_around(elems), ["page_key", "a"], "left").join(_page_facts(elems), "page_key", "left").withColumn("_named", _text(_named)).where(F.size("_named") > 0)
+    rows = holders.withColumnRenamed("elem_ordinal", "a").join(around, ["page_key", "a"], "left").join(_page_facts(elems), "page_key", "left").withColumn("_named", _text(_named)).where(F.size("_named") > 0)
     hero = F.when(F.col("tag") == "meta", F.col("hero"))
     rows = rows.select(
         "page_key", "page_id", "url", "a", "tag", "subtree_end", F.coalesce(X.attr("alt"), F.lit("")).alias("alt"), F.coalesce(X.attr("aria-label"), X.attr("title"), F.lit("")).alias("label"), X.size_of("width").alias("w"), X.size_of("height").alias("h"),
@@ -121,16 +122,21 @@ def _element_rows(elems: DataFrame, resolve_originals: bool) -> DataFrame:
         F.when(F.col("tag") == "img", F.get("listed", F.lit(0))).alias("listed"), F.explode("_named").alias("named"),
     ).select("*", "named.*").drop("named")
     rows = rows.withColumn("target", F.when(F.col("raw").startswith("data:"), F.col("raw")).otherwise(absolute(F.col("raw"), F.col("url")))).where("target is not null")
+    # every step of the scan is a plan of its own: the rows are few and narrow, and no plan grows with the number of passes
+    rows = stored(rows, "named")
     with as_text():
         facts, how = _tested(resolve_originals)
     rows = rows.withColumns({k: column(v) for k, v in facts.items()})
     rows = rows.withColumn("_h", SF.explode(column(how))).select("*", "_h.k", "_h.how").drop("_h")
+    rows = stored(rows, "tested")
     # a post of 9gag counts only where its article shows a video
-    gag = rows.where("how = 'embed' and pass = 6 and e.site = '9gag'").select("page_key", F.col("a").alias("at"))
-    shown = _around(elems).where("moves").select("page_key", F.col("a").alias("elem_ordinal")).join(elems.where("tag = 'article'").select("page_key", "elem_ordinal", "subtree_end"), ["page_key", "elem_ordinal"])
-    gag = T.enclosed(gag, T.intervals(shown)).select("page_key", F.col("at").alias("a"), F.lit("9gag").alias("gag")).distinct()
-    rows = rows.join(gag, ["page_key", "a"], "left").where("not (how = 'embed' and pass = 6 and e.site = '9gag' and gag is null)")
-    return _described(rows)
+    post = (F.col("how") == "embed") & (F.col("pass") == 6) & (F.col("e.site") == "9gag")
+    gag = rows.where(post).select("page_key", F.col("a").alias("at"))
+    if not gag.isEmpty():
+        shown = around.where("moves").select("page_key", F.col("a").alias("elem_ordinal")).join(elems.where("tag = 'article'").select("page_key", "elem_ordinal", "subtree_end"), ["page_key", "elem_ordinal"])
+        gag = T.enclosed(gag, T.intervals(shown)).select("page_key", F.col("at").alias("a"), F.lit(True).alias("gag")).distinct()
+        rows = rows.join(gag, ["page_key", "a"], "left").where(~F.coalesce(post, F.lit(False)) | F.col("gag"))
+    return _described(rows, resolve_originals)
 
 
 def _tested(resolve_originals: bool) -> tuple[dict, Column]:
@@ -163,7 +169,7 @@ def _tested(resolve_originals: bool) -> tuple[dict, Column]:
     return facts, how
 
 
-def _described(rows: DataFrame) -> DataFrame:
+def _described(rows: DataFrame, resolve_originals: bool) -> DataFrame:
     """Rows that are known to be an image, a file, an embedded item, a status or a gallery page, as COLUMNS."""
     with as_text():
         t, how, link = F.col("target"), F.col("how"), F.col("pass") == 6
@@ -186,7 +192,7 @@ def _described(rows: DataFrame) -> DataFrame:
             "type": F.when(is_("embed"), e["type"]).when(is_("file"), F.when(F.col("dash"), "mpd").when(F.col("hls"), "m3u8").otherwise(U.av_type(t, mime))).when(is_("status"), F.when(photo, "unknown").otherwise("mp4")).when(is_("gallery"), "unknown"),
             "poster": F.when(is_("file"), cover), "thumbnail": F.when(link & how.isin("image", "gallery") & (F.col("k") != 1), F.col("thumb")), "hls_manifest": F.when(is_("file") & stream, t),
             "pending": F.when(how.isin("embed", "status", "gallery"), True), "platform": F.when(is_("embed"), e["platform"]).when(is_("status"), "twitter").when(is_("gallery"), "gallery-page"),
-            "hint": F.when(is_("embed"), e["hint"]).when(is_("status"), hint).when(is_("gallery"), t), "media_key": F.when(is_("gallery"), U.canonical_key(F.col("thumb"))), "image": F.when(is_("image"), True),
+            "hint": F.when(is_("embed"), e["hint"]).when(is_("status"), hint).when(is_("gallery"), t), "media_key": F.when(is_("gallery"), U.canonical_key(F.col("thumb"))) if resolve_originals else F.lit(None), "image": F.when(is_("image"), True),
         }
         cols = [(values[n] if n in values else F.col(n)).cast(c).alias(n) for n, c in COLUMNS.items()]
         cols += [F.when(is_("status"), F.concat_ws("/", cell(0), cell(1), cell(2))).alias("status"), F.when(is_("gallery"), F.col("img.n")).alias("thumb_width")]
@@ -227,10 +233,14 @@ def _with_originals(images: DataFrame, elems: DataFrame) -> DataFrame:
     found = R.candidates(images.withColumnRenamed("thumbnail", "_shown").withColumnsRenamed({"pending": "_p", "hint": "_h", "kind": "_k", "type": "_t", "media_key": "_m", "platform": "_f"}), "src")
     named = E.element_originals(images.select("page_key", F.col("url").alias("page_url"), F.col("a").alias("at"), "src").where("pass not in (7, 8, 9, 11)"), elems)
     named = named.select("page_key", F.col("at").alias("a"), "src", F.struct(*[c.split()[0] for c in E.FOUND.split(", ")], "resolver").alias("own"))
-    found = found.join(named, ["page_key", "a", "src"], "left")
-    wide = V.widest_listed(found.select("*", F.col("url").alias("page_url"), F.col("width").alias("natural_width"), F.col("height").alias("natural_height")).select(F.struct("*").alias("row"), "page_url", "src", "listed", "natural_width", "natural_height"))
-    w = lambda c: F.when(F.col("resolver").isNotNull(), F.col(c))
-    wide = wide.select("row.*", F.struct(w("original").alias("original"), w("width").alias("width"), w("height").alias("height"), w("thumbnail").alias("thumbnail"), w("media_key").alias("media_key")).alias("wide"))
+    found = stored(found.join(named, ["page_key", "a", "src"], "left"), "candidates")
+    wide = found.withColumn("page_url", F.col("url"))
+    if wide.where(V.claims()).isEmpty():  # no image of a site whose srcsets say more than addresses
+        wide = wide.withColumn("wide", F.lit(None).cast("struct<original:string,width:int,height:int,thumbnail:string,media_key:string>"))
+    else:
+        listed = V.widest_listed(wide.select(F.struct("*").alias("row"), "page_url", "src", "listed", F.col("width").alias("natural_width"), F.col("height").alias("natural_height")))
+        w = lambda c: F.when(F.col("resolver").isNotNull(), F.col(c)).alias(c)
+        wide = listed.select("row.*", F.struct(*map(w, ("original", "width", "height", "thumbnail", "media_key"))).alias("wide"))
     with as_text():
         own, by_srcset = F.col("own.original").isNotNull(), F.col("wide.original").isNotNull()
         pick = lambda name, else_: F.when(own, F.col(f"own.{name}")).when(by_srcset, F.col(f"wide.{name}") if name in ("original", "width", "height", "thumbnail", "media_key") else F.lit(None)).otherwise(else_)

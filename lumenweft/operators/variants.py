@@ -5,6 +5,8 @@ Their sizes are signed or bounded, so an address is only chosen among those that
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 
 from lumenweft.functions import url as U
@@ -77,6 +79,15 @@ def _rule(rule: tuple) -> Column:
     return F.when(claimed, U.let(F.concat(F.array(own), rated), result))
 
 
+def claims() -> Column:
+    """Whether a row (page_url, src) is an image of one of the sites."""
+    with as_text():
+        page_url, src = F.col("page_url"), F.col("src")
+        fits = [U.host(src).rlike(host) & U.path(src).rlike(path) & (U.host(page_url).rlike(page) if page else F.lit(True)) & (src.contains(need) if need else F.lit(True)) for _, page, host, path, need, _ in RULES]
+        any_ = F.coalesce(reduce(lambda a, b: a | b, fits), F.lit(False))
+    return column(any_)
+
+
 def widest_listed(images: DataFrame) -> DataFrame:
     """images (page_url, src, listed: a srcset's candidates as split, natural_width, natural_height, …) plus resolver, original, width, height, ext, thumbnail and media_key.
 
