@@ -179,6 +179,11 @@ def column(x) -> Column:
     return functions.expr(x.sql).alias(x.name) if isinstance(x, _Named) else functions.expr(_sql(x))
 
 
+def interpreted(x) -> Column:
+    """As column(), evaluated without code of its own: for expressions whose generated code would be too large to be worth compiling."""
+    return functions.expr(f"get(transform(array(0), z{next(_names)} -> {_sql(x)}), 0)").alias(x.name) if isinstance(x, _Named) else functions.expr(f"get(transform(array(0), z{next(_names)} -> {_sql(x)}), 0)")
+
+
 def compiled(f: Callable) -> Callable:
     """f, a function of Columns and plain values, written out as SQL where it is called with Columns."""
     known: dict[tuple, str] = {}

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as SF
 
 from lumenweft.functions import url as U
-from lumenweft.functions.text import F, as_text, column
+from lumenweft.functions.text import F, as_text, column, interpreted
 from lumenweft.functions.url import absolute
 from lumenweft.operators import extract as X
 from lumenweft.operators import graph as G
@@ -59,7 +59,7 @@ def _text(build) -> Column:
     """What build() gives, written out as SQL."""
     with as_text():
         out = build()
-    return column(out)
+    return interpreted(out)
 
 
 def _around(elems: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _element_rows(elems: DataFrame, resolve_originals: bool) -> DataFrame:
     rows = stored(rows, "named")
     with as_text():
         facts, how = _tested(resolve_originals)
-    rows = rows.withColumns({k: column(v) for k, v in facts.items()})
+    rows = rows.withColumns({k: interpreted(v) for k, v in facts.items()})
     rows = rows.withColumn("_h", SF.explode(column(how))).select("*", "_h.k", "_h.how").drop("_h")
     rows = stored(rows, "tested")
     # a post of 9gag counts only where its article shows a video
@@ -196,7 +196,7 @@ def _described(rows: DataFrame, resolve_originals: bool) -> DataFrame:
         }
         cols = [(values[n] if n in values else F.col(n)).cast(c).alias(n) for n, c in COLUMNS.items()]
         cols += [F.when(is_("status"), F.concat_ws("/", cell(0), cell(1), cell(2))).alias("status"), F.when(is_("gallery"), F.col("img.n")).alias("thumb_width")]
-    out = rows.select(*map(column, cols), "how")
+    out = rows.select(*map(interpreted, cols), "how")
     # one row for each cell of a status, and so many gallery pages as a scan takes
     first = W.partitionBy("page_key", "how", "status").orderBy("a")
     gate = F.coalesce((U.origin(F.col("src")) == U.origin(F.col("url"))) & ~U.path(F.col("src")).rlike(X.NON_CONTENT_PATH) & F.coalesce((F.col("thumb_width") == 0) | (F.col("thumb_width") >= X.GALLERY_MIN_THUMB), F.lit(True)), F.lit(False))
@@ -245,12 +245,14 @@ def _with_originals(images: DataFrame, elems: DataFrame) -> DataFrame:
         own, by_srcset = F.col("own.original").isNotNull(), F.col("wide.original").isNotNull()
         pick = lambda name, else_: F.when(own, F.col(f"own.{name}")).when(by_srcset, F.col(f"wide.{name}") if name in ("original", "width", "height", "thumbnail", "media_key") else F.lit(None)).otherwise(else_)
         kind = pick("kind", F.col("kind"))
-        kind = F.when(by_srcset & ~own | (kind == "gif"), "image").otherwise(kind)
+        chosen = {"_original": pick("original", F.col("original")), "_kind": F.when(by_srcset & ~own | (kind == "gif"), "image").otherwise(kind)}
+        sizes = F.coalesce(U.dimensions(F.col("src")), U.dimensions(F.col("_original")))
+    wide = wide.withColumns({k: interpreted(v) for k, v in chosen.items()}).withColumn("_sizes", interpreted(sizes))
+    with as_text():
+        original, kind = F.col("_original"), F.col("_kind")
         video = kind == "video"
-        original = pick("original", F.col("original"))
-        sizes = F.coalesce(U.dimensions(F.col("src")), U.dimensions(original))
         unknown = (F.coalesce(F.col("width"), F.lit(0)) == 0) & (F.coalesce(F.col("height"), F.lit(0)) == 0)
-        side = lambda n: F.when(video, 0).otherwise(F.coalesce(pick(n, F.lit(None)), F.when(unknown, sizes[n]).otherwise(F.col(n)), F.lit(0)))
+        side = lambda n: F.when(video, 0).otherwise(F.coalesce(pick(n, F.lit(None)), F.when(unknown, F.col(f"_sizes.{n}")).otherwise(F.col(n)), F.lit(0)))
         shown = F.coalesce(F.col("_shown"), pick("thumbnail", F.col("thumbnail")))
         done = {
             "src": original, "kind": kind, "width": side("width"), "height": side("height"), "thumbnail": F.when(~video & (shown != original), shown), "type": F.when(video, U.av_type(original)).otherwise(U.detect_type(original)),
@@ -258,7 +260,7 @@ def _with_originals(images: DataFrame, elems: DataFrame) -> DataFrame:
             "platform": F.when(own, F.col("own.platform")).when(~by_srcset & F.col("hint").isNotNull(), F.col("resolver")),
         }
         cols = [(done[n] if n in done else F.col(n)).cast(c).alias(n) for n, c in COLUMNS.items()]
-    return wide.select(*map(column, cols))
+    return wide.select(*map(interpreted, cols))
 
 
 def media(pages: DataFrame, resolve_originals: bool = False, captured: DataFrame | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as SF
 
 from lumenweft.functions import cdn
 from lumenweft.functions import url as U
-from lumenweft.functions.text import F, as_text, column, compiled
+from lumenweft.functions.text import F, as_text, column, compiled, interpreted
 
 # Sites, hosts (a leading dot: also below), and what of the path or a parameter holds the id, in order of dispatch.
 EMBEDS: list[tuple[str, tuple[str, ...], tuple[tuple[str, str], ...]]] = [
@@ -89,19 +89,19 @@ def dispatch(urls: DataFrame, url: str = "url") -> DataFrame:
 
 def candidates(urls: DataFrame, url: str = "url") -> DataFrame:
     """urls plus original, thumbnail, kind, pending and hint, by the URL alone."""
-    up = cdn.upgraded(dispatch(urls, url), url)
     with as_text():
         x, resolver = F.col(url), F.col("resolver")
-        p, h, q = U.path(x), U.host(x), U.query(x)
-        base = U.origin(x)
-        video_id = embed(x)
+        parts = {"_path": U.path(x), "_host": U.host(x), "_query": U.query(x), "_base": U.origin(x), "_video": F.when(resolver == "youtube", embed(x))}
+    up = cdn.upgraded(dispatch(urls, url), url).withColumns({k: interpreted(v) for k, v in parts.items()})
+    with as_text():
+        p, h, q, base, video_id = map(F.col, parts)
         blob = F.regexp_extract(p, r"^/img/([^/]+)/plain/([^/]+)/([^@/]+)", 1)
         did, cid = (F.regexp_extract(p, r"^/img/[^/]+/plain/([^/]+)/([^@/]+)", i) for i in (1, 2))
         bsky_path = F.regexp_replace(F.regexp_replace(p, "^/img/feed_thumbnail/", "/img/feed_fullsize/"), "^/img/avatar_thumbnail/", "/img/avatar/")
         special = (
             F.when(resolver == "reddit", F.when(h == "v.redd.it", x).otherwise(F.concat(F.lit("https://i.redd.it"), p)))
             .when((resolver == "bsky") & (blob != ""), U.assemble(base, bsky_path, q))
-            .when(F.when(resolver == "youtube", video_id.isNotNull()).otherwise(False), F.concat(F.lit("https://i.ytimg.com/vi/"), video_id["id"], F.lit("/hqdefault.jpg")))
+            .when(video_id.isNotNull(), F.concat(F.lit("https://i.ytimg.com/vi/"), video_id["id"], F.lit("/hqdefault.jpg")))
             .when((resolver == "pixiv") & p.rlike(r"(?i)^/c/[^/]+/img-master/.*_master1200\.[a-z0-9]+$"), F.concat(base, F.regexp_replace(p, r"^/c/[^/]+/", "/")))
             .when(p.rlike(r"media_attachments/.*/small/[^/]+$"), U.assemble(base, F.regexp_replace(p, r"/small/([^/]+)$", "/original/$1"), q))
             .when(F.when(resolver == "unsplash", U.param_of(q, "s").isNotNull()).otherwise(False), x)
@@ -117,7 +117,7 @@ def candidates(urls: DataFrame, url: str = "url") -> DataFrame:
         thumbnail = F.when(F.col("original") != x, x)
         kind = F.when(F.col("pending"), "video").otherwise(F.when(U.av_type(F.col("original")).isin("mp4", "webm"), "video").otherwise("image"))
     out = up.withColumns({"original": column(original), "pending": column(pending)})
-    return out.withColumns({"hint": column(hint), "thumbnail": column(thumbnail), "kind": column(kind)})
+    return out.withColumns({"hint": column(hint), "thumbnail": column(thumbnail), "kind": column(kind)}).drop(*parts)
 
 
 def by_owner(tiles: DataFrame, sniffed: DataFrame) -> DataFrame:
