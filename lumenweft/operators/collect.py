@@ -26,6 +26,7 @@ from lumenweft.operators import media as M
 from lumenweft.operators import offers as O
 from lumenweft.operators import originals as E
 from lumenweft.operators import resolve as R
+from lumenweft.operators import sheets as H
 from lumenweft.operators import tree as T
 from lumenweft.operators import variants as V
 from lumenweft.sources.shared import stored
@@ -113,6 +114,8 @@ def _element_rows(elems: DataFrame, resolve_originals: bool) -> DataFrame:
     """The rows of all passes over elements, as COLUMNS."""
     tags = ("img", "source", "video", "audio", "a", "noscript", "iframe", "meta", "link", X.PAGE)
     around = stored(_around(elems), "around")
+    if not elems.where(H.declares()).isEmpty():  # sheets decide, not attributes alone
+        elems = H.styled(elems)
     holders = elems.where(F.col("tag").isin(*tags) | (F.size("found") > 0))
     rows = holders.withColumnRenamed("elem_ordinal", "a").join(around, ["page_key", "a"], "left").join(_page_facts(elems), "page_key", "left").withColumn("_named", _text(_named)).where(F.size("_named") > 0)
     hero = F.when(F.col("tag") == "meta", F.col("hero"))

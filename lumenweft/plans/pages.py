@@ -14,6 +14,7 @@ from lumenweft.operators import graph as G
 from lumenweft.operators import offers as O
 from lumenweft.operators import originals as E
 from lumenweft.operators import resolve as R
+from lumenweft.operators import sheets as H
 from lumenweft.operators import variants as V
 from lumenweft.sources.shared import stored
 
@@ -264,6 +265,29 @@ def nested_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.media(p).where("kind in ('image', 'video') and src rlike '/(?:page|shadow|deep|frame|inert)/'").select("page_id", "src", "kind", F.row_number().over(W.partitionBy("page_id").orderBy("seq")).alias("place"))
 
 
+_S = "https://s.example/{n}-"
+#: What follows a page's markup: a sheet, or several, and elements of which some are named by its rules.
+STYLED_PAGES = (
+    f'<style>#x{{n}} {{background:url({_S}id.png)}} .c {{background:url({_S}class.png)}} i {{background:url({_S}tag.png)}}</style><i id="x{{n}}" class="c"></i><b class="d c"></b><i></i><b></b>',
+    f'<style>.a{{background-image:url({_S}old.png)}} .a{{background-image:url({_S}new.png)}} .b{{background:url({_S}strong.png) !important}}</style><u class="a"></u><u class="b" style="background:url({_S}weak.png)"></u><u class="a" style="background-image:url({_S}own.png)"></u><u class="a" style="background:none"></u>',
+    f'<style>.p > u{{background:url({_S}child.png)}} .p b{{background:url({_S}below.png)}} s + q{{background:url({_S}next.png)}} s ~ u.z{{background:url({_S}later.png)}}</style><div class="p"><u><b></b></u><em><u></u></em></div><b></b><s></s><q></q><q></q><u class="z"></u>',
+    f'<style media="print">u{{background:url({_S}print.png)}}</style><style>@media (max-width: 9px){{u{{background:url({_S}small.png)}}}} @media screen{{u[data-k^="on"]{{background:image-set(url({_S}1x.png) 1x, url({_S}2x.png) 2x), url({_S}layer.png)}}}} u:hover{{background:url({_S}hover.png)}}</style><u data-k="one"></u><u data-k="two"></u>',
+    f'<style>u{{background:url({_S}page.png)}}</style><div><template shadowrootmode="open"><style>u{{background:url({_S}shadow.png)}} b{{background:url({_S}shadow-b.png)}}</style><u></u></template></div><u></u><b></b>',
+    f'<style>/* u{{background:url({_S}no.png)}} */ .w{{background-image:url({_S}w.png)}} u.w{{background:red}} q.w{{background-image:url("{_S}(;}}).png")}}</style><u class="w"></u><q class="w"></q><noscript><style>u{{background:url({_S}ns.png) !important}}</style></noscript>',
+)
+#: Their backgrounds: place in the element's list, name.
+STYLED = (
+    ((0, "id.png"), (0, "class.png"), (0, "tag.png")), ((0, "new.png"), (0, "strong.png"), (0, "own.png")), ((0, "child.png"), (0, "below.png"), (0, "next.png"), (0, "later.png")), ((0, "2x.png"), (1, "layer.png")),
+    ((0, "shadow.png"), (0, "page.png")), ((0, "(;}).png"),),
+)
+
+
+def styled_backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The backgrounds of elements by the cascade of sheets and attributes; each page's stored markup, its own sheets among it, ends with sheets and elements in turn."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", F.concat(F.coalesce("html", F.lit("")), F.expr(_in_turn(STYLED_PAGES))).alias("html"))
+    return H.sheet_backgrounds(stored(X.elements(p), "elements")).select("page_id", "sub_ordinal", "src")
+
+
 def embed_id_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id")
     n = F.lpad(F.col("page_id").cast("string"), 11, "0")
@@ -284,7 +308,7 @@ def resolver_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.candidates(p.withColumn("url", made)).select("page_id", "resolver", "original")
 
 
-QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, collected_media, site_reader_media, listed_originals, element_originals, captured_items, nested_roots, embed_id_scan, resolver_dispatch)}
+QUERIES = {f.__name__: f for f in (anchor_scan, anchor_dedup_first_seen, page_host, open_pages, resolved_anchors, element_counts, gallery_page_gate_whole, anchor_embeds, collected_media, site_reader_media, listed_originals, element_originals, captured_items, nested_roots, styled_backgrounds, embed_id_scan, resolver_dispatch)}
 _H = "lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1))"
 _O = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 _A = """a AS (SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"', 1)) AS href,
@@ -329,4 +353,7 @@ UNION ALL SELECT DISTINCT * FROM (SELECT page_id, 'https://vimeo.com/' || page_i
     ),
     "nested_roots": f"""WITH p AS (SELECT page_id, {_O} AS o FROM pages WHERE html IS NOT NULL)
 SELECT page_id, o || '/' || name || '/' || page_id || ext AS src, kind, place FROM p, (VALUES ('page', '.png', 'image', 1), ('shadow', '.png', 'image', 2), ('deep', '.png', 'image', 3), ('frame', '.mp4', 'video', 4)) AS v(name, ext, kind, place)""",
+    "styled_backgrounds": " UNION ALL ".join(
+        f"SELECT page_id, CAST({k} AS INTEGER) AS sub_ordinal, {_padded(_S + name, 'VARCHAR')} AS src FROM pages WHERE page_id % {len(STYLED)} = {i}" for i, found in enumerate(STYLED) for k, name in found
+    ),
 }
