@@ -1,17 +1,21 @@
 """The download queue as a fold of its events, in batch and in a stream.
 
 Events of a queue, in order of seq: (seq, now_ms, event, id, url, filename, download_id, error). The state is a small
-list of items; live items are never dropped, finished ones are pruned to the newest FINISHED_CAP.
+list of items; live items are never dropped, finished ones are pruned to the newest FINISHED_CAP and, of these, to those within FINISHED_BYTES.
 """
 
 from __future__ import annotations
 
+import json
+from itertools import accumulate
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_ATTEMPTS = 3
 FINISHED_CAP = 200
+FINISHED_BYTES = 1_000_000
 RECOVER_GRACE_MS = 10_000
 ITEM = "id string, url string, filename string, status string, attempts int, error string, download_id bigint, claimed_at bigint, ready_at bigint, added_at bigint, use_referer boolean, bytes_received bigint, total_bytes bigint"
 FIELDS = [c.split()[0] for c in ITEM.split(", ")]
@@ -36,7 +40,8 @@ class Queue:
 
     def _prune(self) -> None:
         done = sorted((i for i in self.items if not self.live(i)), key=lambda i: -i["added_at"])[:FINISHED_CAP]
-        kept = {id(i) for i in done}
+        sizes = accumulate(len(json.dumps({k: v for k, v in i.items() if v is not None}, ensure_ascii=False, separators=(",", ":")).encode()) for i in done)
+        kept = {id(i) for i, size in zip(done, sizes, strict=True) if size <= FINISHED_BYTES}
         self.items = [i for i in self.items if self.live(i) or id(i) in kept]
 
     def enqueue(self, now: int, id: str, url: str, filename: str) -> None:
@@ -147,6 +152,40 @@ def counters(items: DataFrame) -> DataFrame:
 
 
 def adopt(stuck: DataFrame, downloads: DataFrame) -> DataFrame:
-    """stuck (id, url) with the first download (url, download_id, state, start_ms) of its address that is not interrupted."""
-    first = downloads.where("state <> 'interrupted'").groupBy("url").agg(F.min_by("download_id", "start_ms").alias("download_id"))
-    return stuck.join(first, "url", "left")
+    """stuck (id, url, …) with download_id and state of the first download (url, download_id, state, start_ms) of its address that runs or is complete; ties by the smaller download_id."""
+    fine = downloads.where("state in ('complete', 'in_progress')")
+    first = fine.groupBy("url").agg(F.min_by(F.struct("download_id", "state"), F.struct("start_ms", "download_id")).alias("_hit"))
+    return stuck.join(first, "url", "left").select(*stuck.columns, "_hit.*")
+
+
+def reconciled(items: DataFrame, downloads: DataFrame, now_ms: int) -> DataFrame:
+    """items (queue_id, place, and ITEM) as they are after a restart, given the downloads (url, download_id, state, start_ms) that there are; and finished, whether the item was found complete.
+
+    An active item without a download that was claimed longer than the grace ago takes the first download of its address that
+    runs or is complete; where there is none it is queued again. One whose download is complete is done; one whose
+    download is interrupted or gone is retried, and fails with its last attempt. Of several downloads of one id the
+    one that began last counts. All other items stay as they are; a null status is none of these.
+    """
+    active, own = F.col("status") == "active", F.col("download_id").isNotNull()
+    stuck = active & ~own & (F.lit(now_ms) - F.coalesce("claimed_at", F.lit(0)) > RECOVER_GRACE_MS)
+    rows = items.withColumn("_stuck", F.coalesce(stuck, F.lit(False)))
+    addresses = downloads.select("url", "download_id", "state", "start_ms")
+    by_url = adopt(rows.where("_stuck").select("url").distinct(), addresses).withColumnsRenamed({"download_id": "_taken", "state": "_taken_state"})
+    by_id = addresses.groupBy("download_id").agg(F.max_by("state", F.struct("start_ms", "state")).alias("_state"))
+    rows = rows.join(by_url, "url", "left").join(by_id, "download_id", "left")
+    taken = F.when(F.col("_stuck"), F.col("_taken_state"))
+    orphan = F.col("_stuck") & F.col("_taken").isNull()
+    known = F.coalesce(active & own, F.lit(False))
+    finished = F.coalesce(taken == "complete", F.lit(False)) | (known & F.coalesce(F.col("_state") == "complete", F.lit(False)))
+    lost = known & ~F.coalesce(F.col("_state").isin("complete", "in_progress"), F.lit(False))
+    attempts = F.col("attempts") + lost.cast("int")
+    failed = lost & (attempts >= MAX_ATTEMPTS)
+    again = lost & ~failed
+    backoff = F.least(F.lit(1000) * F.pow(F.lit(2.0), attempts - 1), F.lit(30_000.0)).cast("bigint")
+    values = {
+        "status": F.when(finished, "done").when(failed, "failed").when(orphan | again, "queued").otherwise(F.col("status")), "attempts": attempts, "error": F.when(failed, F.coalesce("error", F.lit("retry limit reached"))).otherwise(F.col("error")),
+        "download_id": F.when(lost, None).when(taken == "in_progress", F.col("_taken")).otherwise(F.col("download_id")), "claimed_at": F.when(orphan | (taken == "in_progress"), None).otherwise(F.col("claimed_at")),
+        "ready_at": F.when(orphan, F.lit(now_ms)).when(again, F.lit(now_ms) + backoff).otherwise(F.col("ready_at")), "bytes_received": F.when(again, None).otherwise(F.col("bytes_received")), "total_bytes": F.when(again, None).otherwise(F.col("total_bytes")),
+    }
+    kinds = dict(items.dtypes)
+    return rows.select(*[(values[c].cast(kinds[c]) if c in values else F.col(c)).alias(c) for c in items.columns], finished.alias("finished"))

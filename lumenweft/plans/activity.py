@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenweft.functions import scalar as S
+from lumenweft.operators import bounded as B
 from lumenweft.operators import deepscan as D
 from lumenweft.operators import queue as Q
 from lumenweft.operators import stores as T
@@ -76,8 +77,57 @@ def store_heal(spark, d):
     return T.healed(u.where("user_id % 2 = 0").select(key, F.when(F.col("user_id") % 4 == 0, "local").alias("value")), u.where("user_id % 3 = 0").select(key, F.lit("mirror").alias("value")))
 
 
-QUERIES = {f.__name__: f for f in (queue_fold, queue_counters, backoff_schedule, scan_memory_ema, deep_scan_rounds, quiet_waits, settings_overlay, store_heal)}
+def puts(spark, d) -> DataFrame:
+    """Forty users a tab; each event a put of one of 1,700 keys by one of the passes that overlap, some a close of the tab."""
+    e = F.col("event_id")
+    return events(spark, d).select(
+        F.floor(F.col("user_id") / 40).cast("string").alias("store_id"), e.alias("seq"), F.when(e % 2999 != 0, F.concat(F.lit("m"), (e * 7919 % 1700).cast("string"))).alias("key"), F.concat(F.lit("https://v.example/"), e.cast("string"), F.lit(".mp4")).alias("value"),
+        F.when(e % 3 != 0, F.floor(e / 50).cast("bigint") - F.when(e % 7 == 0, 1).otherwise(0)).alias("generation"),
+    )
+
+
+def sniffed_stores(spark, d):
+    return B.first_in(puts(spark, d))
+
+
+def product_stores(spark, d):
+    return B.most_recent(puts(spark, d))
+
+
+def restarted_queue(spark, d):
+    """Each event an item of its user's queue as a restart finds it, and what was downloaded meanwhile."""
+    e, no = F.col("event_id"), F.lit(None)
+    url, status = F.concat(F.lit("https://a.example/"), (e % 5000).cast("string")), F.element_at(F.array(*map(F.lit, ("active", "active", "queued", "done", "failed"))), (e % 5 + 1).cast("int"))
+    items = events(spark, d).select(
+        F.col("user_id").cast("string").alias("queue_id"), e.cast("int").alias("place"), e.cast("string").alias("id"), url.alias("url"), F.lit("f.jpg").alias("filename"), status.alias("status"), (e % 3).cast("int").alias("attempts"), no.cast("string").alias("error"),
+        F.when(e % 5 == 1, e).alias("download_id"), F.when(e % 4 != 0, 1_000_000 - e % 20 * 1000).alias("claimed_at"), F.lit(5).cast("bigint").alias("ready_at"), e.alias("added_at"), F.lit(False).alias("use_referer"), F.lit(7).cast("bigint").alias("bytes_received"), F.lit(9).cast("bigint").alias("total_bytes"),
+    )
+    state = F.element_at(F.array(*map(F.lit, ("complete", "in_progress", "interrupted"))), (e * 7 % 11 % 3 + 1).cast("int"))
+    downloads = events(spark, d).where(e % 4 > 0).select(url.alias("url"), e.alias("download_id"), state.alias("state"), (e * 31 % 1009).alias("start_ms"))
+    return Q.reconciled(items, downloads, 1_000_000).select("id", "status", "attempts", "error", "download_id", "claimed_at", "ready_at", "bytes_received", "finished")
+
+
+QUERIES = {f.__name__: f for f in (queue_fold, queue_counters, backoff_schedule, scan_memory_ema, deep_scan_rounds, quiet_waits, settings_overlay, store_heal, sniffed_stores, product_stores, restarted_queue)}
+_PUTS = """p AS (SELECT user_id // 40 AS store, event_id AS seq, CASE WHEN event_id % 2999 <> 0 THEN event_id * 7919 % 1700 END AS k, CASE WHEN event_id % 3 <> 0 THEN event_id // 50 - CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END END AS gen FROM events),
+c AS (SELECT * FROM p QUALIFY k IS NULL OR gen IS NULL OR gen >= max(gen) OVER (PARTITION BY store ORDER BY seq))"""
 ORACLES = {
+    # keys in order of age, a put at a time
+    "sniffed_stores": f"""WITH RECURSIVE {_PUTS}, n AS MATERIALIZED (SELECT store, k, row_number() OVER (PARTITION BY store ORDER BY seq) AS i FROM c), last AS (SELECT store, k, max(seq) AS seq FROM c GROUP BY ALL), size AS MATERIALIZED (SELECT store, max(i) AS most FROM n GROUP BY store),
+f AS (SELECT store, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS keys FROM size
+  UNION ALL SELECT f.store, n.i, CASE WHEN n.k IS NULL THEN CAST([] AS BIGINT[]) WHEN list_contains(f.keys, n.k) THEN f.keys WHEN len(f.keys) >= 800 THEN list_append(f.keys[2:], n.k) ELSE list_append(f.keys, n.k) END FROM f JOIN n ON n.store = f.store AND n.i = f.i + 1),
+o AS (SELECT f.store, unnest(keys) AS k, unnest(range(1, len(keys) + 1)) AS place FROM f JOIN size ON size.store = f.store AND most = i)
+SELECT CAST(o.store AS VARCHAR) AS store_id, place, 'm' || o.k AS key, 'https://v.example/' || last.seq || '.mp4' AS value FROM o JOIN last ON last.store = o.store AND last.k = o.k""",
+    "product_stores": f"""WITH {_PUTS}, z AS (SELECT store, max(seq) AS closed FROM c WHERE k IS NULL GROUP BY store), l AS (SELECT store, k, max(seq) AS seq FROM c WHERE k IS NOT NULL GROUP BY ALL),
+h AS (SELECT l.*, row_number() OVER (PARTITION BY l.store ORDER BY seq DESC) AS n FROM l LEFT JOIN z ON z.store = l.store WHERE closed IS NULL OR seq > closed)
+SELECT CAST(store AS VARCHAR) AS store_id, row_number() OVER (PARTITION BY store ORDER BY n DESC) AS place, 'm' || k AS key, 'https://v.example/' || seq || '.mp4' AS value FROM h WHERE n <= 200""",
+    "restarted_queue": """WITH d AS (SELECT event_id % 5000 AS u, event_id AS did, (['complete', 'in_progress', 'interrupted'])[event_id * 7 % 11 % 3 + 1] AS state, event_id * 31 % 1009 AS start_ms FROM events WHERE event_id % 4 > 0),
+a AS (SELECT * FROM d WHERE state <> 'interrupted' QUALIFY row_number() OVER (PARTITION BY u ORDER BY start_ms, did) = 1),
+i AS (SELECT event_id AS e, event_id % 5 AS s, event_id % 3 AS attempts, CASE WHEN event_id % 4 <> 0 THEN 1000000 - event_id % 20 * 1000 END AS claimed FROM events),
+j AS (SELECT i.*, s = 0 AND 1000000 - coalesce(claimed, 0) > 10000 AS stuck, a.did AS taken, a.state AS taken_state, d.state AS own FROM i LEFT JOIN a ON a.u = e % 5000 LEFT JOIN d ON d.did = e),
+k AS (SELECT *, CASE WHEN stuck AND taken_state = 'complete' OR s = 1 AND own = 'complete' THEN 'done' WHEN stuck AND taken IS NULL THEN 'orphan' WHEN stuck THEN 'adopted' WHEN s = 1 AND coalesce(own, 'interrupted') = 'interrupted' THEN CASE attempts WHEN 2 THEN 'dead' ELSE 'again' END ELSE '' END AS turn FROM j)
+SELECT CAST(e AS VARCHAR) AS id, CASE turn WHEN 'done' THEN 'done' WHEN 'orphan' THEN 'queued' WHEN 'again' THEN 'queued' WHEN 'dead' THEN 'failed' ELSE (['active', 'active', 'queued', 'done', 'failed'])[s + 1] END AS status,
+  CAST(attempts + CASE WHEN turn IN ('again', 'dead') THEN 1 ELSE 0 END AS INTEGER) AS attempts, CASE WHEN turn = 'dead' THEN 'retry limit reached' END AS error, CASE WHEN turn IN ('again', 'dead') THEN NULL WHEN turn = 'adopted' THEN taken WHEN s = 1 THEN e END AS download_id,
+  CASE WHEN turn NOT IN ('orphan', 'adopted') THEN claimed END AS claimed_at, CAST(CASE turn WHEN 'orphan' THEN 1000000 WHEN 'again' THEN 1000000 + 1000 * (attempts + 1) ELSE 5 END AS BIGINT) AS ready_at, CAST(CASE WHEN turn <> 'again' THEN 7 END AS BIGINT) AS bytes_received, turn = 'done' AS finished FROM k""",
     "backoff_schedule": "SELECT event_id, CAST(least(1000 * pow(2, event_id % 12), 30000) AS BIGINT) AS wait_ms, CAST(least(1000 * pow(2, event_id % 12), 15000) AS BIGINT) AS short_ms FROM events",
     "quiet_waits": """WITH m AS (SELECT CAST(user_id % 40 AS VARCHAR) AS scan_id, CAST(event_id % 25 AS INTEGER) AS wait_no, event_id % 25 * 100000 AS start_ms, event_id % 25 * 100000 + event_id * 97 % 9000 AS ts_ms FROM events),
 g AS (SELECT *, ts_ms - coalesce(lag(ts_ms) OVER (PARTITION BY scan_id, wait_no ORDER BY ts_ms), start_ms) >= 400 AS gap FROM m WHERE ts_ms < start_ms + 2000),
