@@ -114,7 +114,7 @@ def _element_rows(elems: DataFrame, resolve_originals: bool) -> DataFrame:
     """The rows of all passes over elements, as COLUMNS."""
     tags = ("img", "source", "video", "audio", "a", "noscript", "iframe", "meta", "link", X.PAGE)
     around = stored(_around(elems), "around")
-    if not elems.where(H.declares()).isEmpty():  # sheets decide, not attributes alone
+    if not elems.where(F.size("keys") > 0).isEmpty():  # sheets decide, not attributes alone
         elems = H.styled(elems)
     holders = elems.where(F.col("tag").isin(*tags) | (F.size("found") > 0))
     rows = holders.withColumnRenamed("elem_ordinal", "a").join(around, ["page_key", "a"], "left").join(_page_facts(elems), "page_key", "left").withColumn("_named", _text(_named)).where(F.size("_named") > 0)

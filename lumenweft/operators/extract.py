@@ -14,8 +14,9 @@ from lumenweft.functions import url as U
 from lumenweft.functions.text import F
 from lumenweft.functions.url import absolute
 from lumenweft.operators import tree as T
+from lumenweft.operators.css import applies, backgrounds, element_keys, named_keys
 
-ELEMENTS = "page_key bigint, page_id bigint, url string, root_no int, doc_no int, elem_ordinal int, parent int, subtree_end int, tag string, attrs map<string,string>, text string, listed array<array<string>>, found array<string>"
+ELEMENTS = "page_key bigint, page_id bigint, url string, root_no int, doc_no int, elem_ordinal int, parent int, subtree_end int, tag string, attrs map<string,string>, text string, listed array<array<string>>, found array<string>, keys array<string>"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 # Attributes in their order of priority.
@@ -137,12 +138,21 @@ def _found(tag: str, attrs: dict[str, str], text: str) -> list[str]:
     return backgrounds(m[1]) if m else []
 
 
+def _sheet_keys(rows: list[tuple]) -> dict[int, set[str]]:
+    """For each root with sheets that give backgrounds the keys that their selectors ask for."""
+    out: dict[int, set[str]] = {}
+    for e in rows:
+        if e[5] == "style" and "background" in e[7].lower() and applies(e[6].get("media")):
+            out.setdefault(e[0], set()).update(named_keys(e[7]))
+    return out
+
+
 PAGE = "#page"
 
 
 def _arrow(rows: list[tuple]) -> pa.RecordBatch:
     whole, text = {"page_key": pa.int64(), "page_id": pa.int64()}, pa.string()
-    kinds = {"url": text, "tag": text, "text": text, "attrs": pa.map_(text, text), "listed": pa.list_(pa.list_(text)), "found": pa.list_(text)} | whole
+    kinds = {"url": text, "tag": text, "text": text, "attrs": pa.map_(text, text), "listed": pa.list_(pa.list_(text)), "found": pa.list_(text), "keys": pa.list_(text)} | whole
     names = [c.split()[0] for c in ELEMENTS.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds.get(n, pa.int32())) for n, c in zip(names, zip(*rows, strict=True), strict=True)], names)
 
@@ -151,7 +161,8 @@ def elements(pages: DataFrame, page_rows: Column | None = None) -> DataFrame:
     """One row for each element of each page, in one pass. Store it before several scans use it. Null html: none.
 
     page_key tells the rows of pages apart: the column of that name where pages has one, else page_id. With page_rows
-    every page has one more row, of tag PAGE and ordinal -1, whose text is the page's html where page_rows holds.
+    every page has one more row, of tag PAGE and ordinal -1, whose text is the page's html where page_rows holds. keys are
+    those of an element that a sheet of its root asks for, so few elements have any.
     """
     key = F.col("page_key" if "page_key" in pages.columns else "page_id").cast("bigint").alias("page_key")
     whole = F.lit(None).cast("boolean") if page_rows is None else F.coalesce(page_rows, F.lit(False))
@@ -161,10 +172,11 @@ def elements(pages: DataFrame, page_rows: Column | None = None) -> DataFrame:
         for batch in batches:
             for k, p, u, h, w in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 rows = tokenise(h or "")
+                asked = _sheet_keys(rows)
                 if w is not None:
                     rows.append((0, 0, -1, -1, -1, PAGE, {}, (h or "") if w else ""))
                 for e in rows:
-                    held.append((k, p, u, *e[:6], list(e[6].items()), e[7], _listed(e[5], e[6]), _found(*e[5:8])))
+                    held.append((k, p, u, *e[:6], list(e[6].items()), e[7], _listed(e[5], e[6]), _found(*e[5:8]), [n for n in element_keys(e[5], e[6]) if n in asked[e[0]]] if e[0] in asked and e[5] != PAGE else []))
                     if len(held) == ELEMENT_ROWS:
                         yield _arrow(held)
                         held = []
@@ -195,35 +207,6 @@ def split_srcset(text: str | None) -> list[str]:
     return out
 
 
-def best_background(inner: str) -> str | None:
-    """The candidate of an image-set with the highest resolution, the last of as high ones."""
-    best, top = None, -1.0
-    for m in re.finditer(r"""(?:url\(\s*(['"]?)(.*?)\1\s*\)|(['"])(.*?)\3)(?:\s*([\d.]+)\s*(?:x|dppx))?""", inner, re.I):
-        found = m[2] or m[4]
-        if found:
-            res = float(m[5] or 1) or 1.0
-            if res >= top:
-                best, top = found, res
-    return best
-
-
-def backgrounds(value: str | None) -> list[str]:
-    """URLs of a background-image: the best of each image-set, then the plain layers. Parentheses are balanced."""
-    sets, plain, at, value = [], [], 0, value or ""
-    for m in re.finditer(r"(?:-webkit-)?image-set\(", value, re.I):
-        if m.start() < at:
-            continue
-        plain.append(value[at : m.start()])
-        depth, i = 1, m.end()
-        while i < len(value) and depth:
-            depth += {"(": 1, ")": -1}.get(value[i], 0)
-            i += 1
-        sets.append(best_background(value[m.end() : i - (depth == 0)]))
-        at = i
-    plain.append(value[at:])
-    return [s for s in sets if s] + [m[2] for p in plain for m in re.finditer(r"""url\(\s*(['"]?)(.*?)\1\s*\)""", p) if m[2]]
-
-
 NOSCRIPT_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#039;", "'"), ("&amp;", "&"))
 
 

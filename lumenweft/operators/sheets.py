@@ -1,19 +1,18 @@
 """Style sheets of stored pages: which background each element has by the cascade.
 
-Sheets are read once into rules as data: a rank (important, inline, specificity, place) and the compounds of a selector.
+Sheets are read into rules as data: a rank (important, inline, specificity, place) and the compounds of a selector.
 All compounds of all selectors meet elements in one equi-join on page, root and one key of the compound (its id, else its
-first class, else its tag), so no rule is tried on elements that it cannot name. Combinators are then followed from the left:
+first class, else its tag), so no rule is tried on elements that it cannot name. The map that finds the elements notes which
+of their keys a sheet of their root asks for, so the others never reach the shuffle. Combinators are then followed from the left:
 each step keeps the elements that end a selector's first compounds, by equi-joins for >, + and ~, and by intervals for
 descendants, of which the outermost suffice. The greatest rank of an element is one aggregate, combined before the shuffle.
 
 Rules hold in the root of their sheet alone. Read are style elements and style attributes; sheets of other addresses are not
-stored. @media all and screen, @supports and @layer groups hold, other at-rules do not (layers count by place). A selector with
-pseudo-classes other than :root, with pseudo-elements or of no known form names nothing; rules nested in rules are skipped.
+stored. What of their text counts is said in operators.css.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lumenweft.functions.url import absolute
 from lumenweft.operators import tree as T
-from lumenweft.operators.extract import backgrounds
+from lumenweft.operators.css import applies, declared, listed, rules, selector
 from lumenweft.sources.shared import stored
 
 COMPOUND = pa.struct([("comb", pa.string()), ("key", pa.string()), ("tag", pa.string()), ("id", pa.string()), ("classes", pa.list_(pa.string())), ("tests", pa.list_(pa.struct([("name", pa.string()), ("how", pa.string()), ("value", pa.string())])))])
@@ -37,136 +36,6 @@ RULE = ["page_key", "root_no", "sheet", "sel"]
 #: Declarations that a task hands over at once.
 RULE_ROWS = 5_000
 
-# ---- the text of a sheet ----------------------------------------------------------------------------------------
-
-_STRING = r'"(?:[^"\\]|\\.)*"|' + r"'(?:[^'\\]|\\.)*'"
-_COMMENT = re.compile(rf"({_STRING})|/\*.*?(?:\*/|\Z)", re.S)
-_TOKEN = re.compile(rf"""{_STRING}|(?i:url)\(\s*[^"'\s)][^)]*\)|[{{}};]|\\.|[^"'{{}};\\uU]+|.""", re.S)
-_GROUPS = re.compile(r"@(?:supports|layer)\b", re.I)
-
-
-def applies(media: str | None) -> bool:
-    """Whether a list of media holds for a screen of unknown size."""
-    return not (media or "").strip() or any(re.fullmatch(r"(?i)(?:only\s+)?(?:all|screen)", m.strip()) for m in media.split(","))
-
-
-def rules(css: str) -> Iterator[tuple[str, str]]:
-    """(selectors, declarations) of the rules that hold, in order. What is left open ends with the sheet."""
-    css = _COMMENT.sub(lambda m: m[1] or " ", css.replace("<!--", " ").replace("-->", " "))
-    blocks: list[list] = []  # kind (group, rule, skip), selectors, pieces
-    held: list[str] = []
-    for m in _TOKEN.finditer(css):
-        token = m[0]
-        inside = blocks[-1][0] if blocks else "group"
-        if token == "{":
-            head, held = "".join(held).strip(), []
-            if inside == "group" and head[:1] != "@":
-                blocks.append(["rule", head, []])
-            elif inside == "group" and head[:1] == "@" and (_GROUPS.match(head) or (head[:6].lower() == "@media" and applies(head[6:]))):
-                blocks.append(["group", "", []])
-            else:
-                blocks.append(["skip", "", []])
-        elif token == "}":
-            if blocks:
-                kind, head, pieces = blocks.pop()
-                if kind == "rule":
-                    yield head, "".join([*pieces, *held])
-            held = []
-        elif token == ";":
-            if inside == "rule":
-                blocks[-1][2] += [*held, ";"]
-            held = []
-        else:
-            held.append(token)
-    for kind, head, pieces in reversed(blocks):
-        if kind == "rule":
-            yield head, "".join([*pieces, *held])
-
-
-def declared(text: str) -> list[tuple[bool, list[str]]]:
-    """(important, addresses) of the declarations of a background image or of a whole background, in order."""
-    out, held = [], []
-    for token in [*(m[0] for m in _TOKEN.finditer(_COMMENT.sub(lambda m: m[1] or " ", text))), ";"]:
-        if token != ";":
-            held.append(token)
-            continue
-        name, _, value = "".join(held).partition(":")
-        held = []
-        if name.strip().lower() in ("background", "background-image") and value.strip():
-            plain = re.sub(r"(?i)!\s*important\s*$", "", value.strip())
-            out.append((plain != value.strip(), backgrounds(plain)))
-    return out
-
-
-# ---- selectors --------------------------------------------------------------------------------------------------
-
-_NAME = r"(?:[\w-]|[^\x00-\x7f]|\\[0-9a-fA-F]{1,6}\s?|\\.)+"
-_PART = re.compile(
-    rf"""(?P<comb>\s*[>+~]\s*|\s+)|(?P<tag>\*|{_NAME})|\#(?P<id>{_NAME})|\.(?P<cls>{_NAME})|(?P<root>:root(?![\w(-]))
-    |\[\s*(?P<name>{_NAME})\s*(?:(?P<how>[~|^$*]?=)\s*(?:"(?P<a>[^"]*)"|'(?P<b>[^']*)'|(?P<c>[^\s\]"']+))\s*)?\]""",
-    re.X,
-)
-
-
-def _plain(name: str) -> str:
-    """A name without its escapes."""
-    return re.sub(r"\\(?:([0-9a-fA-F]{1,6})\s?|(.))", lambda m: chr(min(int(m[1], 16), 0x10FFFF)) if m[1] else m[2], name)
-
-
-def selector(text: str) -> tuple[tuple[int, int, int], list[dict]] | None:
-    """Specificity and compounds of one selector; None where it has parts that no element of a stored page can be told to have."""
-    parts, at, fresh = [dict(comb="", tag=None, id=None, classes=[], tests=[])], 0, True
-    ids = classes = tags = 0
-    text = text.strip()
-    while at < len(text):
-        m = _PART.match(text, at)
-        if m is None:
-            return None
-        at, part = m.end(), parts[-1]
-        if m["comb"] is not None:
-            if fresh:
-                return None
-            parts.append(dict(comb=m["comb"].strip() or " ", tag=None, id=None, classes=[], tests=[]))
-            fresh = True
-            continue
-        if m["tag"] is not None:
-            if not fresh:
-                return None
-            if m["tag"] != "*":
-                part["tag"], tags = _plain(m["tag"]).lower(), tags + 1
-        elif m["id"] is not None:
-            ids += 1
-            if part["id"] not in (None, _plain(m["id"])):
-                return None
-            part["id"] = _plain(m["id"])
-        elif m["cls"] is not None:
-            part["classes"].append(_plain(m["cls"]))
-            classes += 1
-        else:
-            classes += 1
-            test = ("", "root", "") if m["root"] else (_plain(m["name"]).lower(), m["how"] or "has", next((m[g] for g in "abc" if m[g] is not None), ""))
-            part["tests"].append(dict(zip(("name", "how", "value"), test, strict=True)))
-        fresh = False
-    if fresh:
-        return None
-    for part in parts:
-        part["key"] = f"#{part['id']}" if part["id"] else f".{part['classes'][0]}" if part["classes"] else part["tag"] or "*"
-    return (ids, classes, tags), parts
-
-
-def listed(text: str) -> list[str]:
-    """The selectors of a list; commas in brackets, parentheses and strings part nothing."""
-    out, depth, held = [], 0, []
-    for m in re.finditer(rf"{_STRING}|\\.|.", text, re.S):
-        depth += {"(": 1, "[": 1, ")": -1, "]": -1}.get(m[0], 0)
-        if m[0] == "," and depth <= 0:
-            out.append("".join(held))
-            held = []
-        else:
-            held.append(m[0])
-    return [*out, "".join(held)]
-
-
 def _of_sheet(page: int, root: int, at: int, css: str) -> Iterator[tuple]:
     place = sel = 0
     for heads, body in rules(css):
@@ -189,16 +58,16 @@ def _of_attribute(page: int, root: int, at: int, style: str) -> Iterator[tuple]:
 # ---- rules and elements -----------------------------------------------------------------------------------------
 
 
-def declares() -> Column:
-    """Whether a row of elements is a sheet that may give backgrounds."""
-    return (F.col("tag") == "style") & F.lower("text").contains("background")
+def touched() -> Column:
+    """Whether a sheet or an attribute may give an element a background."""
+    return (F.size("keys") > 0) | F.coalesce(F.lower(F.try_element_at("attrs", F.lit("style"))).contains("background"), F.lit(False))
 
 
 def declarations(elems: DataFrame) -> DataFrame:
     """DECLARED: the background declarations of the sheets (parts: their selectors) and style attributes (no parts) of elements."""
     style, attribute = F.col("tag") == "style", lambda n: F.try_element_at("attrs", F.lit(n))
     kind = F.lower(F.trim(F.coalesce(attribute("type"), F.lit(""))))
-    fine = F.when(style, declares() & kind.isin("", "text/css")).otherwise(F.coalesce(F.lower(attribute("style")).contains("background"), F.lit(False)))
+    fine = F.when(style, F.lower("text").contains("background") & kind.isin("", "text/css")).otherwise(F.coalesce(F.lower(attribute("style")).contains("background"), F.lit(False)))
     rows = elems.where(fine).select("page_key", "root_no", "elem_ordinal", F.when(style, F.coalesce(attribute("media"), F.lit(""))).alias("media"), F.when(style, F.col("text")).otherwise(attribute("style")).alias("css"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,12 +94,10 @@ def declarations(elems: DataFrame) -> DataFrame:
 
 
 def _keyed(elems: DataFrame) -> DataFrame:
-    """Elements by each key that a compound may have: #id, .class, tag and *."""
+    """Elements by each of their keys that a sheet asks for."""
     words = F.filter(F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"[ \t\n\f\r]+"), lambda w: w != "")
-    own = F.try_element_at("attrs", F.lit("id"))
-    keys = F.array_distinct(F.concat(F.array_compact(F.array(F.concat(F.lit("#"), own), F.col("tag"), F.lit("*"))), F.transform(words, lambda w: F.concat(F.lit("."), w))))
     attrs = F.map_filter("attrs", lambda k, v: k != "style")
-    return elems.where(~F.col("tag").startswith("#")).select("page_key", "root_no", F.col("elem_ordinal").alias("at"), F.col("subtree_end").alias("last"), "parent", "tag", attrs.alias("attrs"), own.alias("own"), words.alias("words"), F.explode(keys).alias("key"))
+    return elems.where(F.size("keys") > 0).select("page_key", "root_no", F.col("elem_ordinal").alias("at"), F.col("subtree_end").alias("last"), "parent", "tag", attrs.alias("attrs"), F.try_element_at("attrs", F.lit("id")).alias("own"), words.alias("words"), F.explode("keys").alias("key"))
 
 
 def _tested(test: Column) -> Column:
@@ -286,13 +153,16 @@ def cascaded(elems: DataFrame) -> DataFrame:
 
 
 def styled(elems: DataFrame) -> DataFrame:
-    """elems with found as the cascade decides it; noscript elements keep theirs."""
-    both = elems.join(cascaded(elems), ["page_key", "elem_ordinal"], "left")
-    return both.withColumn("found", F.when(F.col("tag") == "noscript", F.col("found")).otherwise(F.coalesce("styled", F.array().cast("array<string>")))).drop("styled")
+    """elems with found as the cascade decides it; noscript elements keep theirs. Only elements that a declaration may touch are joined."""
+    may = touched() & (F.col("tag") != "noscript")
+    both = elems.where(may).join(cascaded(elems), ["page_key", "elem_ordinal"], "left")
+    both = both.withColumn("found", F.coalesce("styled", F.array().cast("array<string>"))).drop("styled")
+    return both.unionByName(elems.where(~may))
 
 
 def sheet_backgrounds(elems: DataFrame) -> DataFrame:
     """page_key, page_id, elem_ordinal, sub_ordinal, src: the backgrounds that elements have by sheets and attributes."""
-    rows = cascaded(elems).where(F.size("styled") > 0).join(elems.where("tag <> 'noscript'").select("page_key", "page_id", "url", "elem_ordinal"), ["page_key", "elem_ordinal"])
+    named = elems.where(touched() & (F.col("tag") != "noscript")).select("page_key", "page_id", "url", "elem_ordinal")
+    rows = cascaded(elems).where(F.size("styled") > 0).join(named, ["page_key", "elem_ordinal"])
     rows = rows.select("page_key", "page_id", "url", "elem_ordinal", F.posexplode("styled").alias("sub_ordinal", "raw"))
     return rows.select("page_key", "page_id", "elem_ordinal", "sub_ordinal", absolute(F.col("raw"), F.col("url")).alias("src"))
