@@ -172,7 +172,11 @@ def reconciled(items: DataFrame, downloads: DataFrame, now_ms: int) -> DataFrame
     addresses = downloads.select("url", "download_id", "state", "start_ms")
     by_url = adopt(rows.where("_stuck").select("url").distinct(), addresses).withColumnsRenamed({"download_id": "_taken", "state": "_taken_state"})
     by_id = addresses.groupBy("download_id").agg(F.max_by("state", F.struct("start_ms", "state")).alias("_state"))
-    rows = rows.join(by_url, "url", "left").join(by_id, "download_id", "left")
+    # rows that a join has nothing for are dealt by a hash, whatever it finds for them is not looked at
+    dealt = F.xxhash64("queue_id", "id")
+    by_url, by_id = by_url.withColumnRenamed("url", "_url"), by_id.withColumnRenamed("download_id", "_own")
+    rows = rows.withColumns({"_u": F.when(F.col("_stuck"), F.col("url")).otherwise(dealt.cast("string")), "_d": F.coalesce("download_id", dealt)})
+    rows = rows.join(by_url, F.col("_u") == F.col("_url"), "left").join(by_id, F.col("_d") == F.col("_own"), "left")
     taken = F.when(F.col("_stuck"), F.col("_taken_state"))
     orphan = F.col("_stuck") & F.col("_taken").isNull()
     known = F.coalesce(active & own, F.lit(False))
