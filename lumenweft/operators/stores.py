@@ -44,6 +44,14 @@ def removed(entries: DataFrame, gone: DataFrame) -> DataFrame:
     return entries.withColumn("_key", U.canonical_key(F.col("src"))).join(keys, "_key", "left_anti").drop("_key")
 
 
+def first_seen(held: DataFrame, added: DataFrame) -> DataFrame:
+    """held and, for each key that it does not have, the first of added (by seq, then src); rows without an address go."""
+    key, columns = U.canonical_key(F.col("src")), held.columns
+    firsts = added.where("src <> ''").withColumn("_key", key).groupBy("_key").agg(F.min_by(F.struct(*columns), F.struct("seq", "src")).alias("_row"))
+    fresh = firsts.join(held.select(key.alias("_key")), "_key", "left_anti")
+    return held.unionByName(fresh.select("_row.*"))
+
+
 ENTRY = "struct<src:string,filename:string,kind:string,type:string,thumbnailSrc:string,sourcePage:struct<url:string,title:string>,time:bigint>"
 BACKUP = f"struct<app:string,version:int,exportedAt:bigint,settings:map<string,string>,favourites:array<{ENTRY}>,history:array<{ENTRY}>,excluded:array<struct<value:string,kind:string,time:bigint>>>"
 

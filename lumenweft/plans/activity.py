@@ -10,6 +10,9 @@ from lumenweft.operators import bounded as B
 from lumenweft.operators import deepscan as D
 from lumenweft.operators import queue as Q
 from lumenweft.operators import stores as T
+from lumenweft.operators.media import merge_entries
+from lumenweft.sources.shared import scratch
+from lumenweft.sources.versioned import Store
 
 KINDS = ("enqueue", "claim", "active", "complete", "interrupted", "retry", "recover")
 
@@ -107,10 +110,39 @@ def restarted_queue(spark, d):
     return Q.reconciled(items, downloads, 1_000_000).select("id", "status", "attempts", "error", "download_id", "claimed_at", "ready_at", "bytes_received", "finished")
 
 
-QUERIES = {f.__name__: f for f in (queue_fold, queue_counters, backoff_schedule, scan_memory_ema, deep_scan_rounds, quiet_waits, settings_overlay, store_heal, sniffed_stores, product_stores, restarted_queue)}
+def _batches(rows: DataFrame, store: Store, merge) -> None:
+    """rows in three batches of one writer, by event; the first once more after the second, and the last twice."""
+    for number in (0, 1, 0, 2, 2):
+        store.put(rows.where(F.col("seq") % 3 == number), merge, "events", number)
+
+
+def versioned_history(spark, d):
+    """Every event a download of its user, written to a store of histories in batches and read back."""
+    e = F.col("event_id")
+    rows = events(spark, d).select(F.col("user_id").alias("user"), F.concat(F.lit("https://a.example/"), (e * 7919 % 400).cast("string"), F.lit(".jpg")).alias("src"), (e * 31 % 100_003).alias("time_ms"), e.alias("seq"))
+    store = Store(spark, scratch(spark, "history"), rows.schema.simpleString()[7:-1].replace(":", " "), F.col("user"), 16)
+    _batches(rows, store, lambda held, added: merge_entries(held, added, partition=("user",)))
+    return store.read()
+
+
+def collected_store(spark, d):
+    """Every event an item of a store that keeps the first of each address, and the version that brought it."""
+    e = F.col("event_id")
+    rows = events(spark, d).select(F.concat(F.lit("https://a.example/"), (e * 7919 % 20_011).cast("string"), F.lit(".jpg")).alias("src"), F.col("user_id").alias("user"), e.alias("seq"))
+    store = Store(spark, scratch(spark, "collected"), rows.schema.simpleString()[7:-1].replace(":", " "), T.U.canonical_key(F.col("src")), 16)
+    _batches(rows, store, T.first_seen)
+    versions = [store.added(v, ["src"]).withColumn("version", F.lit(v)) for v in range(1, store.manifest().version + 1)]
+    return versions[0].unionAll(versions[1]).unionAll(versions[2])
+
+
+QUERIES = {f.__name__: f for f in (queue_fold, queue_counters, backoff_schedule, scan_memory_ema, deep_scan_rounds, quiet_waits, settings_overlay, store_heal, sniffed_stores, product_stores, restarted_queue, versioned_history, collected_store)}
 _PUTS = """p AS (SELECT user_id // 40 AS store, event_id AS seq, CASE WHEN event_id % 2999 <> 0 THEN event_id * 7919 % 1700 END AS k, CASE WHEN event_id % 3 <> 0 THEN event_id // 50 - CASE WHEN event_id % 7 = 0 THEN 1 ELSE 0 END END AS gen FROM events),
 c AS (SELECT * FROM p QUALIFY k IS NULL OR gen IS NULL OR gen >= max(gen) OVER (PARTITION BY store ORDER BY seq))"""
 ORACLES = {
+    "versioned_history": """SELECT user_id AS user, 'https://a.example/' || (event_id * 7919 % 400) || '.jpg' AS src, event_id * 31 % 100003 AS time_ms, event_id AS seq FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_id * 7919 % 400 ORDER BY event_id % 3 DESC, event_id * 31 % 100003 DESC, event_id) = 1""",
+    "collected_store": """SELECT 'https://a.example/' || (event_id * 7919 % 20011) || '.jpg' AS src, user_id AS user, event_id AS seq, CAST(event_id % 3 + 1 AS INTEGER) AS version FROM events
+QUALIFY row_number() OVER (PARTITION BY event_id * 7919 % 20011 ORDER BY event_id % 3, event_id) = 1""",
     # keys in order of age, a put at a time
     "sniffed_stores": f"""WITH RECURSIVE {_PUTS}, n AS MATERIALIZED (SELECT store, k, row_number() OVER (PARTITION BY store ORDER BY seq) AS i FROM c), last AS (SELECT store, k, max(seq) AS seq FROM c GROUP BY ALL), size AS MATERIALIZED (SELECT store, max(i) AS most FROM n GROUP BY store),
 f AS (SELECT store, CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS keys FROM size

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lumenweft.plans import activity, media, pages, streams
+from lumenweft.plans import activity, images, media, pages, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-for _module in (pages, media, streams, activity):
+for _module in (pages, media, streams, activity, images):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
