@@ -13,9 +13,22 @@ def iso_seconds(x: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), part("H") * 3600 + part("M") * 60 + part("S")).otherwise(0.0)
 
 
+def _tenths(bandwidth: Column) -> Column:
+    """Tenths of a Mbps as printf's %.1f rounds them: by the double's exact value, of two equally near ones to the even one.
+
+    format_string rounds the shortest decimal that stands for the double, so 1.95, which is a little less as a double, became 2.0.
+    """
+    mbps, whole, rest = bandwidth / 1_000_000, F.floor(bandwidth / 100_000), bandwidth % 100_000
+    # twenty times the double against the odd number in the middle; all three terms are exact
+    side = mbps * 4 - (whole * 2 + 1 - mbps * 16)
+    up = (rest > 50_000) | ((rest == 50_000) & ((side > 0) | ((side == 0) & (whole % 2 == 1))))
+    return whole + up.cast("int")
+
+
 def variant_label(height: Column, bandwidth: Column) -> Column:
     """1080p · 5.2 Mbps; only the rate where no height is known; kbps below 1 Mbps."""
-    rate = F.when(bandwidth >= 1_000_000, F.format_string("%.1f Mbps", bandwidth / 1_000_000)).otherwise(F.concat(F.floor(bandwidth / 1000 + 0.5).cast("string"), F.lit(" kbps")))
+    n = _tenths(bandwidth)
+    rate = F.when(bandwidth >= 1_000_000, F.concat(F.floor(n / 10).cast("string"), F.lit("."), (n % 10).cast("string"), F.lit(" Mbps"))).otherwise(F.concat(F.floor(bandwidth / 1000 + 0.5).cast("string"), F.lit(" kbps")))
     return F.when(F.coalesce(height, F.lit(0)) > 0, F.concat(height.cast("string"), F.lit("p · "), rate)).otherwise(rate)
 
 
