@@ -409,28 +409,35 @@ def _private_v4(a: Column) -> Column:
 def _v4(h: Column) -> Column:
     """The number of a dotted, decimal, hexadecimal or octal address of one or four parts; else null."""
     part = lambda x: F.when(x.rlike(r"^0[xX][0-9a-fA-F]{1,8}$"), F.conv(F.substring(x, 3, 8), 16, 10)).when(x.rlike(r"^0[0-7]{1,11}$"), F.conv(x, 8, 10)).when(x.rlike(r"^\d{1,10}$"), x).cast("bigint")
-    parts = F.split(h, r"\.")
-    four = reduce(lambda acc, i: acc * 256 + part(F.get(parts, F.lit(i))), range(4), F.lit(0).cast("bigint"))
-    return F.when(F.size(parts) == 1, part(h)).when(F.size(parts) == 4, four)
+    four = lambda n: reduce(lambda acc, i: acc * 256 + F.get(n, F.lit(i)), range(4), F.lit(0).cast("bigint"))
+    return let(F.transform(F.split(h, r"\."), part), lambda n: F.when(F.size(n) == 1, F.get(n, F.lit(0))).when(F.size(n) == 4, four(n)))
 
 
 @compiled
 def safe_capture(url: Column) -> Column:
     """False for what a server must not fetch: other schemes, local names, private, loopback and link-local addresses in any spelling, alone or inside of a name."""
-    return let(url, _safe_capture)
-
-
-def _safe_capture(url: Column) -> Column:
     bracket = F.lower(F.regexp_extract(url, r"(?i)^https?://(?:[^/?#@]*@)?\[([0-9a-f:.%]+)\]", 1))
     h = F.regexp_replace(host(url), r"\.$", "")
-    local = (h == "localhost") | h.rlike(r"\.(?:localhost|local|internal|lan|home|corp|intranet)$") | ((~F.contains(h, F.lit("."))) & ~h.rlike(r"^(?:0x[0-9a-f]+|\d+)$"))
-    number = _v4(h)
-    inside = F.regexp_extract(h, r"(?:^|[.-])(\d{1,3})[.-](\d{1,3})[.-](\d{1,3})[.-](\d{1,3})(?:[.-]|$)", 0)
-    embedded = _v4(F.regexp_replace(F.regexp_replace(inside, r"^[.-]|[.-]$", ""), "-", "."))
-    mapped = F.regexp_extract(bracket, r"(\d+\.\d+\.\d+\.\d+)$", 1)
-    v6 = bracket.rlike(r"^(?:::1?|0*(?::0*)*:0*1?)$") | bracket.rlike(r"^f[cd]") | bracket.rlike(r"^fe[89ab]") | bracket.rlike(r"^ff") | bracket.rlike(r"^(?:64:ff9b:|2002:)") | ((mapped != "") & F.coalesce(_private_v4(_v4(mapped)), F.lit(True))) | (bracket.startswith("::ffff:") & (mapped == ""))
-    v4_bad = F.coalesce(_private_v4(number), F.lit(False)) | ((inside != "") & F.coalesce(_private_v4(embedded), F.lit(False))) | F.coalesce(number >= 1 << 32, F.lit(False))
-    return F.coalesce(F.when(bracket != "", ~v6).otherwise(valid(url) & ~local & ~v4_bad), F.lit(False))
+    inside = lambda x: F.regexp_extract(x["h"], r"(?:^|[.-])(\d{1,3})[.-](\d{1,3})[.-](\d{1,3})[.-](\d{1,3})(?:[.-]|$)", 0)
+    mapped = lambda x: F.regexp_extract(x["bracket"], r"(\d+\.\d+\.\d+\.\d+)$", 1)
+    parts = F.struct(valid(url).alias("valid"), bracket.alias("bracket"), h.alias("h"))
+    return let(parts, lambda x: F.coalesce(F.when(x["bracket"] != "", ~let(mapped(x), lambda m: _private_v6(x["bracket"], m))).otherwise(x["valid"] & ~_local(x["h"]) & ~let(inside(x), lambda i: _refused_v4(x["h"], i))), F.lit(False)))
+
+
+def _local(h: Column) -> Column:
+    return (h == "localhost") | h.rlike(r"\.(?:localhost|local|internal|lan|home|corp|intranet)$") | ((~F.contains(h, F.lit("."))) & ~h.rlike(r"^(?:0x[0-9a-f]+|\d+)$"))
+
+
+def _private_v6(bracket: Column, mapped: Column) -> Column:
+    private = bracket.rlike(r"^(?:::1?|0*(?::0*)*:0*1?)$") | bracket.rlike(r"^f[cd]") | bracket.rlike(r"^fe[89ab]") | bracket.rlike(r"^ff") | bracket.rlike(r"^(?:64:ff9b:|2002:)")
+    return private | ((mapped != "") & let(_v4(mapped), lambda n: F.coalesce(_private_v4(n), F.lit(True)))) | (bracket.startswith("::ffff:") & (mapped == ""))
+
+
+def _refused_v4(h: Column, inside: Column) -> Column:
+    """h, or an address inside of it, is private, or h is a number that is no address."""
+    alone = let(_v4(h), lambda n: F.coalesce(_private_v4(n), F.lit(False)) | F.coalesce(n >= 1 << 32, F.lit(False)))
+    dotted = F.regexp_replace(F.regexp_replace(inside, r"^[.-]|[.-]$", ""), "-", ".")
+    return alone | ((inside != "") & let(_v4(dotted), lambda n: F.coalesce(_private_v4(n), F.lit(False))))
 
 
 # ---- names ------------------------------------------------------------------------------------------------------
