@@ -82,7 +82,7 @@ EMBEDDED = (
     ("rumble", "https://rumble.com/v{n}-a-title.html", "v{n}-a-title.html"), ("rumble", "https://rumble.com/embed/v{n}/", "embed/v{n}"), ("loom", "https://www.loom.com/share/{h}", "{h}"), ("streamable", "https://streamable.com/e/{n}", "{n}"),
     ("redgifs", "https://www.redgifs.com/watch/{l}", "{l}"), ("twitch-clip", "https://clips.twitch.tv/Clip{n}", "Clip{n}"), ("twitch-vod", "https://player.twitch.tv/?video=v{n}", "{n}"), ("twitch-clip", "https://www.twitch.tv/some/clip/Clip{n}", "Clip{n}"),
     ("twitch-vod", "https://www.twitch.tv/videos/{n}", "{n}"), ("kick-clip", "https://kick.com/a/clips/clip_{n}", "clip_{n}"), ("kick-vod", "https://kick.com/a/videos/{u}", "{u}"), ("soundcloud", "https://soundcloud.com/artist{n}/track{n}", "artist{n}/track{n}"),
-    ("9gag", "https://9gag.com/gag/a{n}", "a{n}"), ("peertube", "https://tube.example/w/{u}", "{u}"), (None, "https://example.com/video/1", None), (None, "https://www.youtube.com/watch?v=short{n}x", None),
+    ("9gag", "https://9gag.com/gag/a{n}", "a{n}"), ("peertube", "https://tube.example/w/{u}", "{u}"), (None, "https://example.com/video/1", None), (None, "https://www.youtube.com/watch?v=short&x={n}", None),
 )
 _HEX = "md5(cast(page_id AS STRING))"
 _HOLES = {
@@ -108,7 +108,7 @@ def _made(k: int) -> str:
 def anchor_embeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the links of the pages embed; each page's markup has one more link, to an address of a known site in turn."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    p = p.withColumn("html", F.concat("html", F.lit('<p><a class="x" href="'), F.expr(_made(1)), F.lit('">y</a>')))
+    p = p.withColumn("html", F.concat(F.coalesce("html", F.lit("")), F.lit('<p><a class="x" href="'), F.expr(_made(1)), F.lit('">y</a>')))
     a = addressed_anchors(p).withColumn("target", absolute(F.col("href"), F.col("url")))
     return a.withColumn("e", R.embed(F.col("target"))).where("e is not null").select("page_id", "ord", "e.site", "e.id")
 
