@@ -12,6 +12,8 @@ from lumenweft.sources.shared import stored
 
 SIDE, LOW, BITS = 32, 8, 64
 DEFAULT_THRESHOLD = 8
+MOST_BANDED = 9  # beyond it two bands are so few bits that a join on them costs more than comparing all
+BLOCK, TILE = 16_384, 8
 _BASIS = np.cos(np.pi / SIDE * (np.arange(SIDE)[None, :] + 0.5) * np.arange(LOW)[:, None])
 
 
@@ -49,20 +51,57 @@ def bits_of(p_hash: Column) -> Column:
     return F.struct(half(1).alias("hi"), half(9).alias("lo"))
 
 
+def _whole() -> Column:
+    return F.shiftleft("hi", 32).bitwiseOR(F.col("lo"))
+
+
+def _block_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
+    """near_pairs() by comparing all hashes: rows are dealt into blocks, and every two blocks are one small group of their own.
+
+    The work grows with the square of the rows, by a few nanoseconds a pair; a task holds two blocks and what is near in them.
+    """
+    rows = stored(hashes.select("seq", _whole().alias("h")).where("seq is not null and h is not null"), "hashes")
+    n = max(1, -(-rows.count() // BLOCK))
+    dealt = rows.select("seq", "h", F.pmod(F.xxhash64("seq"), F.lit(n)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
+    dealt = dealt.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("first"), "seq", "h")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        seq, h, first = rows["seq"].to_numpy(np.int64), rows["h"].to_numpy(np.int64).view(np.uint64), rows["first"].to_numpy(bool)
+        one = key[0] == key[1]
+        (x, hx), (y, hy) = ((seq[side], h[side]) for side in (first, first if one else ~first))
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
+        for at in range(0, len(x), TILE):
+            begin = at if one else 0
+            apart = np.bitwise_count(hx[at : at + TILE, None] ^ hy[None, begin:])
+            near = np.flatnonzero(apart <= threshold)
+            r, c = np.divmod(near, max(1, apart.shape[1]))
+            if one:  # every two rows of the block once
+                r, c = r[r < c], c[r < c]
+            if r.size:
+                a, b = x[at + r], y[begin + c]
+                found.append((np.minimum(a, b), np.maximum(a, b), apart[r, c].astype(np.int32)))
+        a, b, distance = (np.concatenate(v) for v in zip(*found, strict=True))
+        return pd.DataFrame({"a": a, "b": b, "distance": distance})[a != b]
+
+    return dealt.repartition(min(n * (n + 1) // 2, 4096), "i", "j").groupBy("i", "j").applyInPandas(compare, "a bigint, b bigint, distance int")
+
+
 def near_pairs(hashes: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
     """hashes (seq, hi, lo) -> (a, b, distance), a < b, within the threshold.
 
     Two hashes that differ in t bits at most agree on two or more of t + 2 disjoint bands, so an equi-join on pairs of
     bands misses none and meets far fewer strangers than one on single bands. A pair is emitted by the first two bands
     on which it agrees, so no distinct is needed. Give each hash once; see clusters() for rows that share one.
+    Larger thresholds compare blocks of hashes instead.
     """
+    if threshold > MOST_BANDED:
+        return _block_pairs(hashes, threshold)
     n = threshold + 2
     cuts = [round(i * BITS / n) for i in range(n + 1)]
     table = [(BITS - b, (1 << (b - a)) - 1) for a, b in zip(cuts, cuts[1:], strict=False)]
     spec = F.array(*[F.struct(F.lit(s).alias("shift"), F.lit(m).cast("bigint").alias("mask")) for s, m in table])
     twos = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(n) for j in range(i + 1, n)])
-    whole = F.shiftleft("hi", 32).bitwiseOR(F.col("lo"))
-    rows = hashes.select("seq", whole.alias("h"))
+    rows = hashes.select("seq", _whole().alias("h"))
     rows = rows.withColumn("bands", F.transform(spec, lambda c: F.call_function("shiftrightunsigned", F.col("h"), c["shift"]).bitwiseAND(c["mask"])))
     keys = F.transform(twos, lambda c: F.struct(c["i"].alias("i"), c["j"].alias("j"), F.get("bands", c["i"]).alias("v"), F.get("bands", c["j"]).alias("w")))
     keyed = rows.select("seq", "h", "bands", F.explode(keys).alias("k")).select("seq", "h", "bands", "k.*")
@@ -97,7 +136,9 @@ def clusters(hashes: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame
     """
     each = stored(hashes.groupBy("hi", "lo").agg(F.min("seq").alias("seq")), "hashes")
     near = stored(near_pairs(each, threshold), "near")
-    parts = labelled(each, near).join(each, "seq")
+    # what is near to nothing is a group of its own and takes no part in the rounds
+    linked = near.select(F.explode(F.array("a", "b")).alias("seq")).distinct()
+    parts = labelled(linked, near).join(each.hint("merge"), "seq")
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq", kind="stable")
@@ -122,8 +163,8 @@ def clusters(hashes: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame
     sized = sized.join(full, "label", "left").withColumn("_whole", F.coalesce("_pairs", F.lit(0)) * 2 == F.col("_n") * (F.col("_n") - 1))
     plain = sized.where("_whole").select("seq", F.col("label").alias("cluster"))
     found = plain.unionByName(sized.where("not _whole").groupBy("label").applyInPandas(greedy, "seq bigint, cluster bigint"))
-    decided = found.join(each, "seq").select("hi", "lo", "cluster")
-    return hashes.select("seq", "hi", "lo").join(decided, ["hi", "lo"]).select("seq", "cluster")
+    decided = each.join(found.hint("merge"), "seq", "left").select("hi", "lo", F.coalesce("cluster", "seq").alias("cluster"))
+    return hashes.select("seq", "hi", "lo").join(decided.hint("merge"), ["hi", "lo"]).select("seq", "cluster")
 
 
 def keepers(items: DataFrame) -> DataFrame:
