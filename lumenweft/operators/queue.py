@@ -7,9 +7,11 @@ list of items; live items are never dropped, finished ones are pruned to the new
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from itertools import accumulate
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,7 @@ FINISHED_BYTES = 1_000_000
 RECOVER_GRACE_MS = 10_000
 ITEM = "id string, url string, filename string, status string, attempts int, error string, download_id bigint, claimed_at bigint, ready_at bigint, added_at bigint, use_referer boolean, bytes_received bigint, total_bytes bigint"
 FIELDS = [c.split()[0] for c in ITEM.split(", ")]
+ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 
 
 def backoff_ms(attempts: int, cap: int = 30_000) -> int:
@@ -39,6 +42,9 @@ class Queue:
         return next((i for i in self.items if i[key] == value), None) if value is not None else None
 
     def _prune(self) -> None:
+        # no character is longer than six bytes in JSON, so sizes are only taken where the bytes may be too many
+        if sum(not self.live(i) for i in self.items) <= FINISHED_CAP and sum(400 + 6 * sum(len(v) for v in i.values() if isinstance(v, str)) for i in self.items if not self.live(i)) <= FINISHED_BYTES:
+            return
         done = sorted((i for i in self.items if not self.live(i)), key=lambda i: -i["added_at"])[:FINISHED_CAP]
         sizes = accumulate(len(json.dumps({k: v for k, v in i.items() if v is not None}, ensure_ascii=False, separators=(",", ":")).encode()) for i in done)
         kept = {id(i) for i, size in zip(done, sizes, strict=True) if size <= FINISHED_BYTES}
@@ -138,12 +144,37 @@ def frame(queue_id: str, queue: Queue) -> pd.DataFrame:
 
 
 def fold(events: DataFrame, concurrency: int = 5) -> DataFrame:
-    """Each queue's items after all of its events. A queue's events are one group; a queue is one user's session."""
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return frame(key[0], fold_rows(Queue(concurrency=concurrency), rows))
-
-    return events.groupBy("queue_id").applyInPandas(run, f"queue_id string, place int, {ITEM}")
+    """Each queue's items after all of its events. A queue is one user's session; its events stream through one task in order, and only the queue's items are held."""
+    schema = pa.schema([(c, ARROW[kind]) for c, kind in (f.split() for f in f"queue_id string, place int, {ITEM}".split(", "))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = zip(*out, strict=True) if out else [()] * len(schema)
+            made = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(columns, schema, strict=True)], schema=schema)
+            out.clear()
+            return made
+
+        current, queue = None, None
+
+        def finish() -> None:
+            if queue is not None:
+                out.extend((current, k, *[i[f] for f in FIELDS]) for k, i in enumerate(queue.items))
+
+        for b in batches:
+            for queue_id, now, event, *rest in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if queue is None or queue_id != current:
+                    finish()
+                    current, queue = queue_id, Queue(concurrency=concurrency)
+                queue.apply(event, int(now), *rest)
+            yield batch()
+        finish()
+        yield batch()
+
+    rows = events.select("queue_id", "now_ms", "event", "id", "url", "filename", F.col("download_id").cast("bigint"), "error", "seq")
+    rows = rows.repartition("queue_id").sortWithinPartitions("queue_id", F.asc_nulls_last("seq")).drop("seq")
+    return rows.mapInArrow(run, f"queue_id string, place int, {ITEM}")
 
 
 def counters(items: DataFrame) -> DataFrame:
