@@ -283,21 +283,27 @@ def unique_names(plan: DataFrame, style: str = "dash") -> DataFrame:
     """plan (batch_id, seq, path) plus unique_path. dash: name-2.ext, whatever the case; zip: name (2).ext, by case.
 
     A made-up name may itself be taken, so each batch is folded in order. A batch is what one request downloads.
+    Names stay taken, so a path's next number is looked for from its last one on.
     """
     fmt, fold_case = ("{}-{}{}", True) if style == "dash" else ("{} ({}){}", False)
 
     def fold(batches: pd.DataFrame) -> pd.DataFrame:
         batches = batches.sort_values("seq", kind="stable")
         taken: set[str] = set()
+        tried: dict[str, int] = {}
         out = []
         for p in batches["path"]:
             folder, slash, file = p.rpartition("/")
             dot = file.rfind(".")
             base, ext = (file[:dot], file[dot:]) if dot > 0 else (file, "")
-            name, n = p, 2
+            # the letters of a name beyond ASCII may depend on their neighbours in lower case, so only those spelled alike go together
+            key = p.lower() if fold_case and p.isascii() else p
+            n = tried.get(key, 1)
+            name = p if n == 1 else folder + slash + fmt.format(base, n, ext)
             while (name.lower() if fold_case else name) in taken:
-                name = folder + slash + fmt.format(base, n, ext)
                 n += 1
+                name = folder + slash + fmt.format(base, n, ext)
+            tried[key] = n
             taken.add(name.lower() if fold_case else name)
             out.append(name)
         return batches.assign(unique_path=out)
