@@ -114,6 +114,14 @@ def visited(parts: Column, t: Template = TEMPLATE, e: Expansion = EXPANSION) ->
     return F.transform(parts, visit)
 
 
+def parts_of(turns: DataFrame, content: str) -> Column:
+    """The column content as the typed parts that the visitor goes over, whether turns[content] is such a list or a text."""
+    if isinstance(turns.schema[content].dataType, ArrayType):
+        return F.coalesce("content", F.array()).cast(f"array<{PART}>")
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in (("ref", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int"))]
+    return F.array(F.struct(F.lit("text").alias("kind"), F.col("content").alias("text"), *none))
+
+
 def _attachments(seen: Column, before: Column) -> Column:
     """The attachments among visited parts; their places count from `before` characters on."""
 
@@ -130,12 +138,12 @@ def format_chats(turns: DataFrame, template: Template = TEMPLATE, expansion: Exp
     """One row for each turn: conv_id, place (from 0), piece, start, loss_start, loss_end, attachments, n_tokens_expanded.
 
     start: characters of the conversation before the piece. loss_start, loss_end: the part of the piece under the loss,
-    null if none. attachments: kind, ref, start (of the placeholder in the conversation), tokens. Turns are in the order
+    null if none. attachments: kind, ref, start (of the placeholder in the conversation), tokens. A content that is a
+    text is a list of one text part, so that every turn goes through the visitor. Turns are in the order
     of turn, nulls first, ties by role and content; repeated rows are turns each. Null content: an empty text; null
     role: an empty name. Rows of null conv_id are one conversation. Other columns go. Empty table: no rows.
     """
     t = template
-    listed = isinstance(turns.schema[content].dataType, ArrayType)
     rows = turns.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.col(content).alias("content"))
     in_order = W.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "role", F.asc_nulls_first("content"))
     rows = rows.withColumn("place", F.row_number().over(in_order) - 1)
@@ -143,18 +151,14 @@ def format_chats(turns: DataFrame, template: Template = TEMPLATE, expansion: Exp
     for name, head, foot in t.marks:
         opening, ending = F.when(F.col("role") == name, head).otherwise(opening), F.when(F.col("role") == name, foot).otherwise(ending)
     opening = F.concat(F.when(F.col("place") == 0, t.begin).otherwise(""), opening)
-    if listed:
-        part = F.coalesce("content", F.array()).cast(f"array<{PART}>")
-        rows = rows.withColumn("seen", visited(part, t, expansion)).withColumn("flat", F.array_join(F.transform("seen", lambda p: p["piece"]), ""))
-    else:
-        rows = rows.withColumn("flat", escaped(F.coalesce("content", F.lit("")), t))
+    rows = rows.withColumn("seen", visited(parts_of(turns, content), t, expansion)).withColumn("flat", F.array_join(F.transform("seen", lambda p: p["piece"]), ""))
     rows = rows.select("*", opening.alias("opening"), ending.alias("ending"))
     head = F.length("opening")
     rows = rows.select("*", F.concat("opening", "flat", "ending").alias("piece"), head.alias("head"))
     run = W.partitionBy("conv_id").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("piece")).over(run), F.lit(0)).cast("bigint")
     rows = rows.withColumn("start", start)
-    found = _attachments(F.col("seen"), F.col("start") + F.col("head")) if listed else F.array().cast(ATTACHMENT)
+    found = _attachments(F.col("seen"), F.col("start") + F.col("head"))
     loss = F.col("role").isin(*t.learned)
     out = rows.select("conv_id", "place", "piece", "start", F.when(loss, F.col("head")).alias("loss_start"), F.when(loss, F.col("head") + F.length("flat")).alias("loss_end"), found.alias("attachments"))
     return out.withColumn("n_tokens_expanded", F.aggregate("attachments", F.lit(0).cast("bigint"), lambda n, a: n + a["tokens"]))
