@@ -114,8 +114,23 @@ def param(url: Column, name: str) -> Column:
 
 
 def parts(url: Column) -> Column:
-    """struct<ok, origin, host, path, query> of a URL."""
-    return let(url, lambda x: F.struct(valid(x).alias("ok"), origin(x).alias("origin"), host(x).alias("host"), path(x).alias("path"), query(x).alias("query")))
+    """struct<ok, origin, host, path, query> of a URL, as the functions of these names; the pattern is matched once for each group."""
+
+    def named(ok: bool, *values: Column) -> Column:
+        return F.struct(F.lit(ok).alias("ok"), *[v.alias(n) for n, v in zip(("origin", "host", "path", "query"), values, strict=True)])
+
+    def read(g: Column) -> Column:
+        scheme, h, port, p = (g[i] for i in range(4))
+        odd = (port != "") & ~((scheme == "http") & (port == "80")) & ~((scheme == "https") & (port == "443"))
+        base = F.concat(scheme, F.lit("://"), h, F.when(odd, F.concat(F.lit(":"), port)).otherwise(""))
+        return named(True, base, h, F.replace(F.when(p == "", "/").otherwise(p), F.lit(" "), F.lit("%20")), g[4])
+
+    def split(x: Column) -> Column:
+        group = lambda i: F.regexp_extract(x, ABSOLUTE, i)
+        groups = F.array(F.lower(group(1)), F.lower(group(2)), group(3), group(4), group(5))
+        return F.when(valid(x), let(groups, read)).otherwise(named(False, F.lit(None).cast("string"), F.lit(""), F.lit(""), F.lit("")))
+
+    return let(url, split)
 
 
 def without_params(q: Column, names, fold: bool = False) -> Column:
@@ -173,7 +188,7 @@ def image_extension(url: Column) -> Column:
 
 
 def _mapped(value: Column, table: dict[str, str]) -> Column:
-    return reduce(lambda acc, kv: acc.when(value == kv[0], F.lit(kv[1])), table.items(), F.when(F.lit(False), F.lit(None).cast("string")))
+    return let(value, lambda v: reduce(lambda acc, kv: acc.when(v == kv[0], F.lit(kv[1])), table.items(), F.when(F.lit(False), F.lit(None).cast("string"))))
 
 
 @compiled

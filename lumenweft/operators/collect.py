@@ -147,10 +147,12 @@ def _tested(resolve_originals: bool) -> tuple[dict, Column]:
     t, number = F.col("target"), F.col("pass")
     link = number == 6
     av = F.when(t.rlike(r"(?i)\.(?:mp4|m4v|webm|ogv|mov)(?:$|[?#])"), "video").when(t.rlike(r"(?i)\.(?:mp3|wav|ogg|oga|m4a|aac|flac|opus)(?:$|[?#])"), "audio")
+    # most pages are told from those of the site without their address being taken apart
+    on_x = F.when(link & F.col("url").rlike(r"(?i)(?:x|twitter)\.com"), F.coalesce(U.host(F.col("url")).rlike(r"(?:^|\.)(?:x|twitter)\.com$"), F.lit(False))).otherwise(False)
     facts = {
         "e": F.when(number.isin(6, 8, 12), R.embed(t)), "hls": U.is_hls(t), "dash": U.is_dash(t), "file": F.when(link, F.coalesce(U.looks_like_media(t), F.lit(False))).otherwise(False),
-        "av": F.when(link, av).when(number == 5, "audio").when(number.isin(4, 10), "video"), "thumb": F.when(link, absolute(F.col("img.s"), F.col("url"))), "on_x": F.coalesce(U.host(F.col("url")).rlike(r"(?:^|\.)(?:x|twitter)\.com$"), F.lit(False)),
-        "cell": F.when(link, F.array(*[F.regexp_extract(U.path(t), STATUS_CELL, g) for g in (1, 2, 3)])),
+        "av": F.when(link, av).when(number == 5, "audio").when(number.isin(4, 10), "video"), "thumb": F.when(link, absolute(F.col("img.s"), F.col("url"))), "on_x": on_x,
+        "cell": F.when(on_x, F.array(*[F.regexp_extract(U.path(t), STATUS_CELL, g) for g in (1, 2, 3)])),
     }
     site, stream = F.coalesce(F.col("e.site"), F.lit("")), F.col("hls") | F.col("dash")
     youtube, fetched = site == "youtube", t.rlike(HTTP)

@@ -7,7 +7,6 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
-from pyspark.sql import functions as SF
 
 from lumenweft.functions import cdn
 from lumenweft.functions import url as U
@@ -79,22 +78,30 @@ def register_resolver(spark: SparkSession, name: str, suffix: str, priority: int
 
 
 def dispatch(urls: DataFrame, url: str = "url") -> DataFrame:
-    """urls plus resolver: the resolver of the highest priority whose host suffix the URL has; by an equi-join on exploded suffixes, else generic."""
-    table = SF.broadcast(urls.sparkSession.createDataFrame(hosts_of(urls.sparkSession), "resolver string, suffix string, priority int"))
-    hosts = urls.select(U.host(F.col(url)).alias("_host")).distinct()
-    keyed = hosts.select("_host", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("_host", r"\."))), lambda i: F.array_join(F.slice(F.split("_host", r"\."), i, F.size(F.split("_host", r"\."))), "."))).alias("suffix"))
-    best = keyed.join(table, "suffix").groupBy("_host").agg(F.min_by("resolver", "priority").alias("resolver"))
-    return urls.withColumn("_host", U.host(F.col(url))).join(best, "_host", "left").withColumn("resolver", F.coalesce("resolver", F.lit("generic"))).drop("_host")
+    """urls plus resolver: the resolver of the highest priority whose host suffix the URL has, else generic.
+
+    Each suffix of a host is looked up in a map of the resolvers, so no row is shuffled, least of all by its host.
+    """
+    first: dict[str, tuple[int, str]] = {}
+    for name, suffix, priority in hosts_of(urls.sparkSession):
+        first[suffix] = min(first.get(suffix, (priority, name)), (priority, name))
+    with as_text():
+        table = F.create_map(*[x for suffix, (priority, name) in first.items() for x in (F.lit(suffix), F.struct(F.lit(priority).alias("priority"), F.lit(name).alias("resolver")))])
+        found = lambda labels: F.transform(F.sequence(1, F.size(labels)), lambda i: F.try_element_at(table, F.array_join(F.slice(labels, i, F.size(labels)), ".")))
+        best = U.let(F.split(U.host(F.col(url)), r"\."), lambda labels: F.array_min(F.array_compact(found(labels))))
+        resolver = F.coalesce(best["resolver"], F.lit("generic"))
+    return urls.withColumn("resolver", column(resolver))
 
 
 def candidates(urls: DataFrame, url: str = "url") -> DataFrame:
     """urls plus original, thumbnail, kind, pending and hint, by the URL alone."""
     with as_text():
         x, resolver = F.col(url), F.col("resolver")
-        parts = {"_path": U.path(x), "_host": U.host(x), "_query": U.query(x), "_base": U.origin(x), "_video": F.when(resolver == "youtube", embed(x))}
+        parts = {"_parts": U.parts(x), "_video": F.when(resolver == "youtube", embed(x))}
     up = cdn.upgraded(dispatch(urls, url), url).withColumns({k: interpreted(v) for k, v in parts.items()})
     with as_text():
-        p, h, q, base, video_id = map(F.col, parts)
+        p, h, q, base = (F.col(f"_parts.{x}") for x in ("path", "host", "query", "origin"))
+        video_id = F.col("_video")
         blob = F.regexp_extract(p, r"^/img/([^/]+)/plain/([^/]+)/([^@/]+)", 1)
         did, cid = (F.regexp_extract(p, r"^/img/[^/]+/plain/([^/]+)/([^@/]+)", i) for i in (1, 2))
         bsky_path = F.regexp_replace(F.regexp_replace(p, "^/img/feed_thumbnail/", "/img/feed_fullsize/"), "^/img/avatar_thumbnail/", "/img/avatar/")
