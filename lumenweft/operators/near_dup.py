@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,6 +17,7 @@ SIDE, LOW, BITS = 32, 8, 64
 DEFAULT_THRESHOLD = 8
 MOST_BANDED = 9  # beyond it two bands are so few bits that a join on them costs more than comparing all
 BLOCK, TILE = 16_384, 8
+FOUND = 1_000_000  # pairs that a task hands over at once
 _BASIS = np.cos(np.pi / SIDE * (np.arange(SIDE)[None, :] + 0.5) * np.arange(LOW)[:, None])
 
 
@@ -58,18 +62,27 @@ def _whole() -> Column:
 def _block_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
     """near_pairs() by comparing all hashes: rows are dealt into blocks, and every two blocks are one small group of their own.
 
-    The work grows with the square of the rows, by a few nanoseconds a pair; a task holds two blocks and what is near in them.
+    The work grows with the square of the rows, by a few nanoseconds a pair; a task holds two blocks and hands over
+    what is near in them a part at a time, as in blocks of copies all pairs are.
     """
     rows = stored(hashes.select("seq", _whole().alias("h")).where("seq is not null and h is not null"), "hashes")
     n = max(1, -(-rows.count() // BLOCK))
     dealt = rows.select("seq", "h", F.pmod(F.xxhash64("seq"), F.lit(n)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("other"))
     dealt = dealt.select(F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), (F.col("mine") <= F.col("other")).alias("first"), "seq", "h")
 
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        seq, h, first = rows["seq"].to_numpy(np.int64), rows["h"].to_numpy(np.int64).view(np.uint64), rows["first"].to_numpy(bool)
-        one = key[0] == key[1]
+    def batch(found: list[tuple]) -> pa.RecordBatch:
+        a, b, distance = (np.concatenate(v) for v in zip(*found, strict=True))
+        kept = a != b
+        return pa.RecordBatch.from_arrays([pa.array(v[kept]) for v in (a, b, distance)], ["a", "b", "distance"])
+
+    def compare(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches)
+        seq, h, first = (rows[c].to_numpy() for c in ("seq", "h", "first"))
+        h, first = h.view(np.uint64), first.astype(bool)
+        one = key[0].as_py() == key[1].as_py()
         (x, hx), (y, hy) = ((seq[side], h[side]) for side in (first, first if one else ~first))
-        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))]
+        none = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32))
+        found, size = [none], 0
         for at in range(0, len(x), TILE):
             begin = at if one else 0
             apart = np.bitwise_count(hx[at : at + TILE, None] ^ hy[None, begin:])
@@ -80,10 +93,13 @@ def _block_pairs(hashes: DataFrame, threshold: int) -> DataFrame:
             if r.size:
                 a, b = x[at + r], y[begin + c]
                 found.append((np.minimum(a, b), np.maximum(a, b), apart[r, c].astype(np.int32)))
-        a, b, distance = (np.concatenate(v) for v in zip(*found, strict=True))
-        return pd.DataFrame({"a": a, "b": b, "distance": distance})[a != b]
+                size += r.size
+            if size >= FOUND:
+                yield batch(found)
+                found, size = [none], 0
+        yield batch(found)
 
-    return dealt.repartition(min(n * (n + 1) // 2, 4096), "i", "j").groupBy("i", "j").applyInPandas(compare, "a bigint, b bigint, distance int")
+    return dealt.repartition(min(n * (n + 1) // 2, 4096), "i", "j").groupBy("i", "j").applyInArrow(compare, "a bigint, b bigint, distance int")
 
 
 def near_pairs(hashes: DataFrame, threshold: int = DEFAULT_THRESHOLD) -> DataFrame:
