@@ -121,7 +121,7 @@ _MARKUP = """concat('<html><head><meta property="og:image" content="/og/', page_
 def collected_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole scan over every page's address, with markup that holds an item for most of its passes."""
     p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    items = C.media(p.withColumn("html", F.expr(_MARKUP.replace("MADE", _made(1)))))
+    items = C.media(p.withColumn("html", F.expr(_MARKUP.replace("MADE", f"coalesce({_made(1)}, '')"))))  # no site is a negative number's turn
     return items.select("page_id", "src", "kind", "type", "width", "height", F.coalesce("unresolved_video", F.lit(False)).alias("pending"))
 
 
