@@ -33,11 +33,11 @@ def queue_events(spark, d) -> DataFrame:
 
 
 def queue_fold(spark, d):
-    return Q.fold(queue_events(spark, d)).select("queue_id", "place", "id", "status", "attempts", "ready_at")
+    return Q.fold(queue_events(spark, d), fields=("id", "status", "attempts", "ready_at"))
 
 
 def queue_counters(spark, d):
-    return Q.counters(Q.fold(queue_events(spark, d)))
+    return Q.counters(Q.fold(queue_events(spark, d), fields=("status",)))
 
 
 def backoff_schedule(spark, d):
